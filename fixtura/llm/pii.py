@@ -180,15 +180,16 @@ def fit(texts: list[str]) -> Field:
         labels.append(y)
         for a, b in near:
             pair[y[a], y[b]] += 1
-        for a, b in far:
-            same[int(y[a] == y[b])] += 1
+        for a, b in far:  # a token outside every base span has no known label, so only pairs of known ones, or of none, count
+            if (told[a] < 0) == (told[b] < 0):
+                same[int(y[a] == y[b])] += 1
     unary = np.zeros((FEATURES, k))
     x, y = (np.concatenate(rows), np.concatenate(labels)) if rows else (np.zeros((0, FEATURES)), np.zeros(0, int))
     target = np.eye(k)[y]
     for _ in range(300 if len(x) else 0):
         unary += 2.0 * (x.T @ (target - _softmax(x @ unary)) / len(x) - 1e-4 * unary)
     chain = np.log(pair * pair.sum() / (pair.sum(1, keepdims=True) * pair.sum(0, keepdims=True)))
-    return Field(unary, np.clip(chain, -2, 2), float(np.clip(np.log(same[1] / same[0]) + np.log(k - 1), 0.5, 6)))
+    return Field(unary, np.clip(chain, -2, 2), float(np.clip(np.log(same[1] / same[0]) + np.log(k - 1), 0.5, 8)))
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
