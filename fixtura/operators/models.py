@@ -68,9 +68,16 @@ def shifted_quantiles(scored: DataFrame, calibration: DataFrame, actual: str, ke
 
 
 def folds(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int = SEED) -> DataFrame:
-    """`fold` 0 to n - 1, stratified by label; the same rows give the same folds. Labels are few, so places come from hash order in hash ranges, never from one window a label."""
-    h = F.xxhash64(F.lit(seed), *key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label, F.shiftrightunsigned(h, 54)).orderBy(h, *key)) + F.shiftrightunsigned(h, 54), F.lit(n)).cast("int"))
+    """`fold` 0 to n - 1, stratified by label; the same rows give the same folds.
+
+    A row's rank by hash within its label, modulo n. Ranks are two-level: inside 1024 hash ranges by window, plus the ranges before,
+    so no task orders a whole label.
+    """
+    own = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__b", F.shiftrightunsigned("__h", 54))
+    before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows a label
+    offset = own.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n")).select(label, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", *key))
+    return own.join(F.broadcast(offset), [label, "__b"]).withColumn("fold", F.pmod(F.col("__o") + inside - 1, F.lit(n)).cast("int")).select(*df.columns, "fold")
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], trees: int = 400, n: int = 5) -> DataFrame:
