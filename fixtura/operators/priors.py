@@ -101,7 +101,8 @@ def attach_orders(df: DataFrame, prior: DataFrame, columns: Sequence[str], playe
 
 def set_piece_orders(df: DataFrame, players: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Orders from the registry, by season and element if both sides have it, else by player code; each key's least row counts."""
-    keys = ["season", "element"] if {"season", "element"} <= set(df.columns) & set(players.columns) else ["season", "player_code"]
+    both = set(df.columns) & set(players.columns)
+    keys = ["season", "element"] if {"season", "element"} <= both else ["season", "player_code"] if "season" in both else ["player_code"]
     have = [c for c in columns if c in players.columns]
     told = players.groupBy(*keys).agg(F.min(F.struct(*have)).alias("__o")).select(*keys, *[F.col(f"__o.{c}").alias(c) for c in have])
     return df.drop(*[c for c in columns if c in df.columns]).join(told, keys, "left").withColumns({c: F.lit(None).cast("double") for c in columns if c not in have})
