@@ -77,23 +77,25 @@ def one_transfer(squads: DataFrame, market: DataFrame, bank: DataFrame, hit: flo
 
     ``market`` (id, position, club, cost, points, flagged; whole prices) is first cut to the players that can be anyone's best buys:
     of one position, price and club, the ``best`` + 15 first by points, since a squad owns 15 at most. Squads meet the rest by
-    position and price, for the prices that they can pay.
+    position and price, for the prices that they can pay. A transfer gains only if the buy starts, and then gains more the more
+    points the buy has; so of the buys for one player only the ``best`` first by points, then id, are valued.
     """
-    per_price = best + 15
-    price_band = lambda c: F.col(c).cast("int")
-    rank = F.row_number().over(Window.partitionBy("position", "__band", "club").orderBy(F.desc("points"), "cost", "id"))
-    goods = market.where(~F.coalesce(F.col("flagged"), F.lit(False))).withColumn("__band", price_band("cost")).withColumn("__rank", rank).where(F.col("__rank") <= per_price)
-    goods = goods.select(F.col("id").alias("in_id"), "position", F.col("club").alias("in_club"), F.col("cost").alias("in_cost"), F.col("points").alias("in_points"), "__band")
-    hold = xi_value(best_xi(squads))
+    whole_price = lambda c: F.col(c).cast("int")
+    rank = F.row_number().over(Window.partitionBy("position", "__price", "club").orderBy(F.desc("points"), "id"))
+    goods = market.where(~F.coalesce(F.col("flagged"), F.lit(False))).withColumn("__price", whole_price("cost")).withColumn("__rank", rank).where(F.col("__rank") <= best + 15)
+    goods = goods.select(F.col("id").alias("in_id"), "position", F.col("club").alias("in_club"), F.col("points").alias("in_points"), "__price")
+    lowest = goods.agg(F.min("__price").alias("__from"))
     whole = squads.groupBy("squad_id").agg(F.collect_list(F.struct("id", "position", "club", "points")).alias("team"))  # 15 rows
-    lowest = goods.agg(F.min("__band").alias("__from"))
-    asks = squads.join(bank, "squad_id").crossJoin(F.broadcast(lowest)).withColumn("limit", F.col("cost") + F.col("bank"))
-    asks = asks.where(price_band("limit") >= F.col("__from")).select("squad_id", F.col("id").alias("out_id"), "position", "limit", F.explode(F.sequence(F.col("__from"), price_band("limit"))).alias("__band"))
-    pairs = asks.join(goods, ["position", "__band"]).where("in_cost <= limit").join(whole, "squad_id")
-    left = F.filter("team", lambda t: t["id"] != F.col("out_id"))
-    pairs = pairs.withColumn("rest", left).where(~F.exists("rest", lambda t: t["id"] == F.col("in_id")) & (F.col("in_id") != F.col("out_id")) & (F.size(F.filter("rest", lambda t: t["club"] == F.col("in_club"))) < club_cap))
-    new = F.concat("rest", F.array(F.struct(F.col("in_id").alias("id"), "position", F.col("in_club").alias("club"), F.col("in_points").alias("points"))))
-    valued = pairs.withColumn("value", _xi_of(new)).join(hold, "squad_id").withColumn("gain", F.col("value") - F.col("xi_value") - hit).where("gain > 0")
+    asks = squads.join(bank, "squad_id").join(whole, "squad_id").crossJoin(F.broadcast(lowest)).withColumn("limit", whole_price("cost") + whole_price("bank"))  # one row on the right
+    rest = F.filter("team", lambda t: t["id"] != F.col("out_id"))
+    own = asks.where(F.col("limit") >= F.col("__from")).select("squad_id", F.col("id").alias("out_id"), "position", "limit", "__from", "team").withColumn("rest", rest)
+    full = F.filter(F.array_distinct(F.transform("rest", lambda t: t["club"])), lambda c: F.size(F.filter("rest", lambda t: t["club"] == c)) >= club_cap)
+    own = own.select("squad_id", "out_id", "position", "rest", full.alias("full"), F.transform("team", lambda t: t["id"]).alias("owned"), F.explode(F.sequence(F.col("__from"), F.col("limit"))).alias("__price"))
+    pairs = own.join(goods, ["position", "__price"]).where(~F.array_contains("owned", F.col("in_id")) & ~F.array_contains("full", F.col("in_club")))
+    first = F.row_number().over(Window.partitionBy("squad_id", "out_id").orderBy(F.desc("in_points"), "in_id"))
+    kept = pairs.select("squad_id", "out_id", "position", "in_id", "in_club", "in_points").withColumn("__first", first).where(F.col("__first") <= best).join(whole, "squad_id")
+    new = F.concat(rest, F.array(F.struct(F.col("in_id").alias("id"), "position", F.col("in_club").alias("club"), F.col("in_points").alias("points"))))
+    valued = kept.withColumn("value", _xi_of(new)).join(xi_value(best_xi(squads)), "squad_id").withColumn("gain", F.round(F.col("value") - F.col("xi_value") - hit, 9)).where("gain > 0")
     order = Window.partitionBy("squad_id").orderBy(F.desc("gain"), "out_id", "in_id")
     return valued.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("squad_id", "out_id", "in_id", "value", "gain", "rank")
 
