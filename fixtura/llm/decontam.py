@@ -2,10 +2,10 @@
 
 Words are lower-cased runs without ASCII white space, shingles are WORDS of them (a shorter item is one shingle). Items
 are dealt into classes by their number of distinct shingles, from 2**c to 2**(c + 1) - 1. For each class a document is
-seen as windows of 2 * 2**(c + 1) shingles that overlap by half, so that a passage of an item's size lies within one and
-short items stay comparable with parts of long documents. A window's MinHash signature holds the least value of each of
-PERMUTATIONS hash functions; the least values of a block of 2**c shingles serve all classes, as larger blocks' are the
-least of smaller ones'. An item is a candidate for a document if one of its values equals the window's at the same
+seen as windows of three blocks of 2**c shingles, one from each block on, so that a passage of an item's size lies within
+one and short items stay comparable with parts of long documents. A window's MinHash signature holds the least value of
+each of PERMUTATIONS hash functions; blocks of the smallest class serve all, as larger blocks' values are the least of
+smaller ones'. Many documents' blocks are hashed at once. An item is a candidate for a document if one of its values equals the window's at the same
 place. Candidates are verified over the whole document: at least THRESHOLD of the item's distinct shingles, as words,
 are among the document's.
 
@@ -68,43 +68,49 @@ class Index:
             table = np.zeros((permutations, TABLE), bool)
             for n in members:
                 seen = Words([b" ".join(x) for x in self.items[n][1]])  # each shingle as a text of its own
-                values = self.least((seen.rolled(k)[seen.bounds[:-1]] >> np.uint64(32)).astype(np.uint32)[None, :])[:, 0]
+                h = (seen.rolled(k)[seen.bounds[:-1]] >> np.uint64(32)).astype(np.uint32)
+                values = (h[None, :] * self.a[:, None] + self.b[:, None]).min(axis=1)
                 for i, v in enumerate(values.tolist()):
                     known[i][v].append(n)
                     table[i, v & (TABLE - 1)] = True
             self.classes[c] = known, table
 
-    def least(self, h: np.ndarray) -> np.ndarray:
-        """Least value of each function in each row of shingle hashes: functions by rows."""
-        a, b = self.a[:, None, None], self.b[:, None, None]
-        step = max(1, (1 << 19) // (len(self.a) * h.shape[1]))
-        return np.concatenate([(h[None, i : i + step] * a + b).min(axis=2) for i in range(0, len(h), step)], axis=1)
-
-    def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a signature value with a window over the shingle hashes of one document."""
-        found: set[int] = set()
-        if not len(h) or not self.classes:
+    def candidates(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> dict[int, set[int]]:
+        """Items that share a signature value with a window, by document: their shingle hashes are count[i] from first[i] on in h."""
+        found: dict[int, set[int]] = defaultdict(set)
+        own = np.flatnonzero(count > 0)
+        if not len(own) or not self.classes:
             return found
-        level, blocks = min(self.classes), None
+        level = min(self.classes)
+        n = -(-count[own] >> level)  #: blocks of each document
+        doc = np.repeat(np.arange(len(own)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, last = first[own][doc] + (place << level), (first[own] + count[own] - 1)[doc]
+        blocks = np.empty((len(self.a), len(doc)), np.uint32)
+        for s in range(0, len(doc), step := max(1, (1 << 16) >> level)):
+            some = h[np.minimum(start[s : s + step] + np.arange(1 << level)[:, None], last[s : s + step])]
+            for i, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+                blocks[i, s : s + step] = (some * a + b).min(axis=0)
         for c in range(level, max(self.classes) + 1):
-            if blocks is None:
-                size = 1 << c
-                pad = -len(h) % size
-                blocks = self.least(np.concatenate([h, np.full(pad, h[-1], np.uint32)]).reshape(-1, size))
-            elif blocks.shape[1] > 1:
-                if blocks.shape[1] % 2:
-                    blocks = np.concatenate([blocks, blocks[:, -1:]], axis=1)
-                blocks = np.minimum(blocks[:, ::2], blocks[:, 1::2])
+            if c > level:  # blocks of twice the size: each document's in pairs, an odd last one alone
+                half = -(-n >> 1)
+                left = np.repeat(np.cumsum(n) - n, half) + 2 * (np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half))
+                right = np.minimum(left + 1, np.repeat(np.cumsum(n) - 1, half))
+                blocks = np.minimum(blocks[:, left], blocks[:, right])
+                n = half
+                doc = np.repeat(np.arange(len(own)), n)
             if c not in self.classes:
                 continue
             known, table = self.classes[c]
-            window = blocks  # four blocks of 2**c in steps of two: 2 * 2**(c + 1) shingles that overlap by half
-            for _ in range(2):
-                if window.shape[1] > 1:
-                    window = np.minimum(window[:, :-1], window[:, 1:])
+            window = blocks
+            if len(doc) > 1:
+                next_ = np.minimum(np.arange(len(doc)) + 1, np.repeat(np.cumsum(n) - 1, n))  # the block after, or the last one itself
+                for _ in range(2):
+                    window = np.minimum(window, window[:, next_])
             hit = np.take_along_axis(table, (window & np.uint32(TABLE - 1)).astype(np.intp), axis=1)
             for i, w in zip(*np.nonzero(hit), strict=True):
-                found.update(known[i].get(int(window[i, w]), ()))
+                if members := known[i].get(int(window[i, w])):
+                    found[int(own[doc[w]])].update(members)
         return found
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
@@ -113,10 +119,9 @@ class Index:
         for _, some in groups(raw):
             words = Words(some)
             h = (words.rolled(self.k) >> np.uint64(32)).astype(np.uint32)
-            for i, text in enumerate(some):
-                a, b = words.bounds[i], words.bounds[i + 1]
-                found = self.candidates(h[a : max(a, b - self.k + 1)])
-                out.append(self.verified(text, found))
+            count = np.diff(words.bounds) - self.k + 1
+            found = self.candidates(h, words.bounds[:-1], count)
+            out += [self.verified(text, found.get(i, set())) for i, text in enumerate(some)]
         return out
 
     def verified(self, text: bytes, found: set[int]) -> list[tuple[int, float]]:
