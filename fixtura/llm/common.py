@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on; a longer text is a pass of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose Arrow batches of whole texts will be of 1,000 rows unless the session asks for other than Spark's default of 10,000."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, or the first of name_1, name_2 ... that no column has (names differ without regard to case)."""
     used, n, out = {x.lower() for x in taken}, 0, name
@@ -60,7 +68,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
                 made = work(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, at: int, most: int = 8 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
