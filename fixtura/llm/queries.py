@@ -61,8 +61,8 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with passages of 50 words or more that occur elsewhere: spans and extra spans (all but first occurrences) as start:end."""
-    found = suffix.repeats(read(spark, sf_dir, "documents"))
+    """Documents with passages of 50 words or more that other documents hold too: spans and extra spans (all but first occurrences) as start:end."""
+    found = suffix.repeats(read(spark, sf_dir, "documents"), across=True)
     say = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), total("spans").alias("repeated_chars"), total("extra").alias("extra_chars"), say("spans").alias("spans"), say("extra").alias("extra"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixtura.llm.common import _BASE, Words, _powers, groups, materialise, mix, pieces
+from fixtura.llm.common import _BASE, Words, _powers, groups, materialise, mix, pieces, small_batches
 
 LEAST, SEED = 50, 12
 
@@ -101,7 +101,7 @@ def suffixes(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
                     at = pa.array(np.concatenate(row))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=["key", "uid", "pos", "seed", "context", "a", "b"])
 
-    return docs.mapInArrow(run, SUFFIX)
+    return small_batches(docs).mapInArrow(run, SUFFIX)
 
 
 def runs(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -122,7 +122,7 @@ def runs(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
                     at = pa.array(np.concatenate(row))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=["key", "uid", "run", "pos", "a", "b"])
 
-    return docs.mapInArrow(run, "key long, uid long, run long, pos int, a int, b int")
+    return small_batches(docs).mapInArrow(run, "key long, uid long, run long, pos int, a int, b int")
 
 
 def merged(pairs: DataFrame) -> DataFrame:
@@ -151,20 +151,28 @@ def merged(pairs: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"key long, uid long, spans {kind}, extra {kind}")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` with repeated passages: key, spans and extra, arrays of (start, end) code points."""
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, across: bool = False) -> DataFrame:
+    """Rows of ``docs`` with repeated passages: key, spans and extra, arrays of (start, end) code points.
+
+    ``across``: only what another text (another key or other content) holds too; else repeats within one text count as well.
+    """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(key, text).alias("uid"), F.col(text).alias("text"))
     kept = materialise(suffixes(rows, least, seed), "suffixes")
-    again = kept.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     place = F.struct("key", "uid", "pos")
+    many = [F.count(F.lit(1)).alias("n"), (F.min("uid") != F.max("uid") if across else F.count(F.lit(1)) > 1).alias("shared")]
+    again = kept.groupBy("seed").agg(*many).where("shared").select("seed")
     met = materialise(kept.join(again, "seed"), "met")
-    contexts = materialise(met.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")), "contexts")
+    contexts = materialise(met.groupBy("seed", "context").agg(*many, F.min(place).alias("least")), "contexts")
     # same context: repeated from end to end of it
-    whole = met.join(contexts.where("n > 1").select("seed", "context", "least"), ["seed", "context"]).select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
-    # same seed, other context: one of each context is extended
+    whole = met.join(contexts.where("shared").select("seed", "context", "least"), ["seed", "context"]).select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
+    # same seed, other context: one of each context is extended, and all of a context that one text alone holds
     mixed = contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
-    wanted = contexts.join(mixed, "seed").select("least.uid", "least.pos").groupBy("uid").agg(F.collect_set("pos").alias("wanted"))
+    open_ = contexts.join(mixed, "seed")
+    wanted = open_.select("least.uid", "least.pos")
+    if across:
+        wanted = wanted.unionByName(met.join(open_.where("n > 1 and not shared").select("seed", "context"), ["seed", "context"]).select("uid", "pos"))
+    wanted = wanted.groupBy("uid").agg(F.collect_set("pos").alias("wanted"))
     extended = materialise(runs(rows.join(wanted, "uid").select("key", "uid", "text", "wanted"), least, seed), "runs")
-    twice = extended.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("run", "least")
+    twice = extended.groupBy("run").agg(*many, F.min(place).alias("least")).where("shared").select("run", "least")
     part = extended.join(twice, "run").select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
     return merged(whole.unionByName(part)).select(F.col("key").alias(key), "spans", "extra")

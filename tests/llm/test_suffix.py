@@ -10,11 +10,11 @@ from fixtura.llm.queries import op7_suffix_array
 from .helpers import ODD, clashing, docs
 
 
-def brute(texts, least=50):
-    """Unions of the runs of ``least`` words that occur more than once, by place in the list."""
+def brute(texts, least=50, across=False):
+    """Unions of the runs of ``least`` words that occur more than once, or in two texts, by place in the list."""
     words = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
     runs = [[tuple(texts[i][a:b] for a, b in w[j : j + least]) for j in range(len(w) - least + 1)] for i, w in enumerate(words)]
-    seen = Counter(r for own in runs for r in own)
+    seen = Counter(r for own in runs for r in (set(own) if across else own))
     out = []
     for i, own in enumerate(runs):
         spans = []
@@ -31,7 +31,7 @@ def brute(texts, least=50):
 
 def test_query_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    want = {r["doc_id"]: ",".join(f"{a}:{b}" for a, b in s) for r, s in zip(rows, brute([r["text"] for r in rows])) if s}
+    want = {r["doc_id"]: ",".join(f"{a}:{b}" for a, b in s) for r, s in zip(rows, brute([r["text"] for r in rows], across=True)) if s}
     got = {r["doc_id"]: r["spans"] for r in op7_suffix_array(spark, sf).collect()}
     assert got == want
 
@@ -47,9 +47,10 @@ def test_passages_between_different_neighbours(spark, seed):
         parts = [words(rng.randint(0, 80)), rng.choice(shared), words(rng.randint(0, 40)), rng.choice(shared)[rng.randint(0, 30) :], words(rng.randint(0, 20))]
         texts.append(rng.choice([" ", "\n", "  "]).join(w for p in parts for w in p))
     texts += ["x " * 300, texts[0]]
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeats(docs(spark, list(enumerate(texts)))).collect()}
-    want = {i: s for i, s in enumerate(brute(texts)) if s}
-    assert got == want
+    texts.append(" ".join((alone := words(70)) + words(5) + alone + words(9) + alone[:60] + shared[3]))
+    for across in (False, True):
+        got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=across).collect()}
+        assert got == {i: s for i, s in enumerate(brute(texts, across=across)) if s}
 
 
 def test_first_occurrence_stays(spark):
