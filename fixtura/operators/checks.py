@@ -59,9 +59,9 @@ def many_to_one(build: DataFrame, key: Sequence[str], rule: str = "join is not m
 
 
 def conflicting_duplicates(df: DataFrame, key: Sequence[str], rule: str = "conflicting duplicate player-fixture") -> DataFrame:
-    """Keys with rows that differ anywhere; NULLs equal each other, and so do NaNs."""
+    """Keys with rows that differ anywhere; NULLs equal each other, and so do NaNs. Only a hash of each row is shuffled."""
     rest = [c for c in df.columns if c not in key]
-    whole = F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"}) if rest else F.lit("")
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"})) if rest else F.lit(0)
     return _said(df.groupBy(*key).agg(F.count_distinct(whole).alias("n")).where("n > 1"), rule, key, F.col("n"))
 
 
