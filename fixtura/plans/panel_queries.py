@@ -31,7 +31,7 @@ def panel(spark, sf_dir):
     return labelled(B.panel(spark, sf_dir), starts="started")
 
 
-@query(f'WITH {B.PANEL} SELECT season, "GW", player_code, fixture, round(lag(minutes, 1) OVER ({W}), 6) AS minutes_l1, round(lag(total_points, 1) OVER ({W}), 6) AS total_points_l1 FROM p')
+@query(f'WITH {B.PANEL} SELECT season, "GW", player_code, fixture, round(lag(minutes, 1) OVER ({W}), 6) AS minutes_l1, round(lag(total_points, 1) OVER ({W}), 6) AS total_points_l1 FROM p', cast={"minutes_l1": "DOUBLE"})
 def wn01_lag1(spark, sf_dir):
     return B.panel(spark, sf_dir).select(*KEY, *[six(lags.lag_one(c).cast("double"), f"{c}_l1") for c in ("minutes", "total_points")])
 
@@ -41,7 +41,7 @@ def wn02_shifted_rolls(spark, sf_dir):
     return B.panel(spark, sf_dir).select(*KEY, six(lags.rolling("minutes", 3), "minutes_r3"), six(lags.rolling("total_points", 5), "total_points_r5"))
 
 
-@query(f'WITH {LAGS} SELECT season, "GW", player_code, fixture, {rounded(LAG_NAMES)} FROM g')
+@query(f'WITH {LAGS} SELECT season, "GW", player_code, fixture, {rounded(LAG_NAMES)} FROM g', cast={"minutes_l1": "DOUBLE"})
 def wn03_event_broadcast(spark, sf_dir):
     return lags.add_lags(B.panel(spark, sf_dir), B.LAGGED).select(*KEY, *[six(F.col(c).cast("double"), c) for c in LAG_NAMES])
 
@@ -52,7 +52,7 @@ def wn11_first_of_event(spark, sf_dir):
 
 
 @query(f"""WITH {B.PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY season, player_code ORDER BY "GW" DESC, kickoff_time DESC, fixture DESC) AS rn FROM p)
-SELECT season, player_code, 11 AS "GW", round(coalesce(max(CASE WHEN rn = 1 THEN minutes END), 0), 6) AS minutes_l1, round(coalesce(avg(CASE WHEN rn <= 3 THEN minutes END), 0), 6) AS minutes_r3, round(coalesce(avg(CASE WHEN rn <= 5 THEN total_points END), 0), 6) AS total_points_r5 FROM r GROUP BY ALL""")
+SELECT season, player_code, 11 AS "GW", round(coalesce(max(CASE WHEN rn = 1 THEN minutes END), 0), 6) AS minutes_l1, round(coalesce(avg(CASE WHEN rn <= 3 THEN minutes END), 0), 6) AS minutes_r3, round(coalesce(avg(CASE WHEN rn <= 5 THEN total_points END), 0), 6) AS total_points_r5 FROM r GROUP BY ALL""", cast={"minutes_l1": "DOUBLE"})
 def wn08_sentinel_form(spark, sf_dir):
     own = B.panel(spark, sf_dir)
     targets = own.select("season", "player_code").distinct().withColumn("GW", F.lit(11))
@@ -73,12 +73,12 @@ def wn09_season_succession(spark, sf_dir):
     return priors.succession(B.panel(spark, sf_dir))
 
 
-@query(f"WITH {B.PANEL}, {TOTALS} SELECT season, player_code, {rounded(PRIOR)} FROM pr")
+@query(f"WITH {B.PANEL}, {TOTALS} SELECT season, player_code, {rounded(PRIOR)} FROM pr", cast={"prior_games": "DOUBLE"})
 def ag01_prior_season(spark, sf_dir):
     return priors.prior_season(panel(spark, sf_dir)).select("season", "player_code", *[six(F.col(c).cast("double"), c) for c in PRIOR])
 
 
-@query(f'WITH {B.PANEL}, {TOTALS} SELECT l.season, l."GW", l.player_code, l.fixture, CAST(pr.prior_games IS NULL AS INTEGER) AS is_new, {", ".join(f"round(coalesce(pr.{c}, 0), 6) AS {c}" for c in PRIOR)} FROM l LEFT JOIN pr USING (season, player_code)')
+@query(f'WITH {B.PANEL}, {TOTALS} SELECT l.season, l."GW", l.player_code, l.fixture, CAST(pr.prior_games IS NULL AS INTEGER) AS is_new, {", ".join(f"round(coalesce(pr.{c}, 0), 6) AS {c}" for c in PRIOR)} FROM l LEFT JOIN pr USING (season, player_code)', cast={"prior_games": "DOUBLE"})
 def jn06_prior_join(spark, sf_dir):
     return priors.join_prior(panel(spark, sf_dir)).select(*KEY, "is_new", *[six(F.col(c).cast("double"), c) for c in PRIOR])
 
@@ -103,7 +103,7 @@ def jn07_gw1_override(spark, sf_dir):
     return priors.first_event_override(lags.add_lags(own, B.LAGGED), own, B.LAGGED).select(*KEY, *[six(F.col(c).cast("double"), c) for c in LAG_NAMES])
 
 
-@query(f"WITH {B.PANEL} SELECT season, player_code, count_if(minutes > 0) AS prior_games, sum(minutes)::DOUBLE AS prior_minutes, round(sum(total_points), 6) AS prior_points, sum(started)::DOUBLE AS prior_starts FROM l GROUP BY ALL")
+@query(f"WITH {B.PANEL} SELECT season, player_code, count_if(minutes > 0) AS prior_games, sum(minutes)::DOUBLE AS prior_minutes, round(sum(total_points), 6) AS prior_points, sum(started)::DOUBLE AS prior_starts FROM l GROUP BY ALL", cast={"prior_games": "BIGINT"})
 def ag04_end_totals(spark, sf_dir):
     return priors.end_totals(panel(spark, sf_dir)).select("season", "player_code", "prior_games", "prior_minutes", six("prior_points"), "prior_starts")
 
@@ -218,7 +218,7 @@ FLAG = f"""{OVERRIDE}, {TOTALS.replace(SEASONS + ", ", "")}, {OPP} SELECT o.seas
  FROM o LEFT JOIN pr ON pr.season = o.season AND pr.player_code = o.player_code LEFT JOIN ro ON ro.season = o.season AND ro.team = o.opponent AND ro."GW" = o."GW" """
 
 
-@query("WITH " + FLAG)
+@query("WITH " + FLAG, cast={"defcon_hit": "DOUBLE", "prior_games": "DOUBLE"})
 def flagship_panel_features(spark, sf_dir):
     out = featured(panel(spark, sf_dir), B.LAGGED)
     return out.select(*KEY, six("defcon_count"), "defcon_hit", *[six(F.col(c).cast("double"), c) for c in LAG_NAMES], "is_new", *[six(F.col(c).cast("double"), c) for c in PRIOR], *[six(c) for c in OPP_COLUMNS])
@@ -229,7 +229,7 @@ def scl02_label_count(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("position").agg(F.count("defcon_count").alias("known"), F.sum("defcon_count").alias("total"), F.max("defcon_count").alias("most"))
 
 
-@query(f"WITH {B.PANEL} SELECT fixture, position, defcon_hit FROM l")
+@query(f"WITH {B.PANEL} SELECT fixture, position, defcon_hit FROM l", cast={"defcon_hit": "DOUBLE"})
 def scl03_label_hit(spark, sf_dir):
     return panel(spark, sf_dir).select("fixture", "position", "defcon_hit")
 
@@ -289,7 +289,7 @@ def flt11_known_before(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT *, CAST(day(ts) AS INTEGER) AS d FROM events), ok AS (SELECT event_type IN ('click', 'view') AND event_id % 3 <> 0 AND d > 0 AND d < 20 AND ts < TIMESTAMP '2024-01-18 12:00:00' AS ok FROM f)
-SELECT count_if(ok) AS n_admitted, count_if(NOT ok) AS n_excluded FROM ok""")
+SELECT count_if(ok) AS n_admitted, count_if(NOT ok) AS n_excluded FROM ok""", cast={"n_admitted": "BIGINT", "n_excluded": "BIGINT"})
 def flt06_admissible(spark, sf_dir):
     return live.excluded_count(B.fixtures(spark, sf_dir), F.lit(20), [F.lit("2024-01-18 12:00:00").cast("timestamp_ntz")], "event")
 

@@ -102,7 +102,7 @@ def ag11_distinct_with_nulls(spark, sf_dir):
     return one(checks.divergent_lags(B.panel(spark, sf_dir), ["recoveries"]))
 
 
-@query(f"WITH {B.SQUADS} SELECT squad_id, count_if(position = 'GK') AS n_gk, count_if(position = 'DEF') AS n_def, count_if(position = 'MID') AS n_mid, count_if(position = 'FWD') AS n_fwd, sum(cost)::BIGINT AS cost FROM xi GROUP BY 1")
+@query(f"WITH {B.SQUADS} SELECT squad_id, count_if(position = 'GK') AS n_gk, count_if(position = 'DEF') AS n_def, count_if(position = 'MID') AS n_mid, count_if(position = 'FWD') AS n_fwd, sum(cost)::BIGINT AS cost FROM xi GROUP BY 1", cast={"n_gk": "BIGINT", "n_def": "BIGINT", "n_mid": "BIGINT", "n_fwd": "BIGINT"})
 def ag12_squad_totals(spark, sf_dir):
     return lineup.squad_totals(lineup.best_xi(B.squads(spark, sf_dir))).select("squad_id", "n_gk", "n_def", "n_mid", "n_fwd", "cost")
 
@@ -135,7 +135,7 @@ def so02_team_sentinels(spark, sf_dir):
 
 
 @query(f"""WITH {B.PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY season, player_code ORDER BY "GW" DESC, kickoff_time DESC, fixture DESC) AS rn FROM p WHERE "GW" < 6), t AS (SELECT DISTINCT season, player_code FROM p)
-SELECT t.season, t.player_code, round(coalesce(max(CASE WHEN rn = 1 THEN minutes END), 0), 6) AS minutes_l1 FROM t LEFT JOIN r USING (season, player_code) GROUP BY ALL""")
+SELECT t.season, t.player_code, round(coalesce(max(CASE WHEN rn = 1 THEN minutes END), 0), 6) AS minutes_l1 FROM t LEFT JOIN r USING (season, player_code) GROUP BY ALL""", cast={"minutes_l1": "DOUBLE"})
 def so03_target_sentinels(spark, sf_dir):
     own = B.panel(spark, sf_dir)
     targets = own.select("season", "player_code").distinct().withColumn("GW", F.lit(6))

@@ -11,15 +11,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a function (spark, sf_dir) under its name, with the DuckDB SQL of the same rows."""
+def query(sql: str | None = None, cast: dict[str, str] | None = None):
+    """Register a function (spark, sf_dir) under its name, with the DuckDB SQL of the same rows; ``cast``: columns whose SQL type differs."""
 
     def put(f):
-        key = name or f.__name__
+        key = f.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
         QUERIES[key] = f
-        if sql:
+        if sql and cast:
+            SQL[key] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in cast.items())}) FROM ({sql})"
+        elif sql:
             SQL[key] = sql
         return f
 

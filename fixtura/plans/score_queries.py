@@ -136,7 +136,7 @@ def ag13_roster_summary(spark, sf_dir):
     return live.roster_summary(own).select("team_name", "players", six("mean_cost"))
 
 
-@query(f"WITH {B.BOARD} SELECT id, row_number() OVER (PARTITION BY club ORDER BY CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END, points DESC, CAST(id AS VARCHAR)) AS place FROM b")
+@query(f"WITH {B.BOARD} SELECT id, row_number() OVER (PARTITION BY club ORDER BY CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END, points DESC, CAST(id AS VARCHAR)) AS place FROM b", cast={"place": "INTEGER"})
 def st04_roster(spark, sf_dir):
     own = B.board(spark, sf_dir).withColumnsRenamed({"club": "team_name", "points": "e_points_final"}).withColumn("web_name", F.col("id").cast("string"))
     return live.roster(own).select("id", "place")
@@ -208,7 +208,7 @@ def frozen_rows(spark, sf_dir):
     return out.withColumns({"actual": F.coalesce("actual", F.lit(0.0)), "played": F.coalesce("played", F.lit(0))})
 
 
-@query(f"WITH {B.MONTHS}, {HISTORY}, {EWMA}, {FROZEN} SELECT count(*) AS n_frozen, count_if(played = 1) AS n_played, count_if(played = 0) AS n_dnp, {_frozen} FROM fa")
+@query(f"WITH {B.MONTHS}, {HISTORY}, {EWMA}, {FROZEN} SELECT count(*) AS n_frozen, count_if(played = 1) AS n_played, count_if(played = 0) AS n_dnp, {_frozen} FROM fa", cast={"n_played": "BIGINT", "n_dnp": "BIGINT"})
 def met10_frozen_score(spark, sf_dir):
     own = metrics.frozen(frozen_rows(spark, sf_dir), "actual", ["baseline_ewma4", "baseline_position_median"])
     return own.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in own.dtypes])
@@ -243,7 +243,7 @@ def forecasts(spark, sf_dir):
 
 
 @query(f"""WITH {LAGS}, c AS (SELECT *, {COMMON} AS m FROM g) SELECT count(*) AS n, count_if(m) AS n_common, round(avg(abs(total_points - total_points_r5)) FILTER (m), 6) AS mae_total_points_r5, round(avg(abs(total_points - total_points_r3)) FILTER (m), 6) AS mae_total_points_r3,
-round(avg(abs(minutes - coalesce(minutes_r5, 0))), 6) AS mae_minutes, round(avg(abs(total_points - total_points_r5)) FILTER (m AND "GW" = 1), 6) AS mae_first_event FROM c""")
+round(avg(abs(minutes - coalesce(minutes_r5, 0))), 6) AS mae_minutes, round(avg(abs(total_points - total_points_r5)) FILTER (m AND "GW" = 1), 6) AS mae_first_event FROM c""", cast={"n_common": "BIGINT"})
 def met01_common_mask_mae(spark, sf_dir):
     own = metrics.holdout(forecasts(spark, sf_dir), "total_points", ["total_points_r5", "total_points_r3"], minutes=("minutes", "minutes_r5"))
     return own.select(*[six(c) if t == "double" else F.col(c) for c, t in own.dtypes])
@@ -256,7 +256,7 @@ def met02_publish_rule(spark, sf_dir):
     return metrics.holdout(own, "total_points", ["total_points_r5"], gated="gated").select("n_common", six("mae_gated"), "publish")
 
 
-@query(f'WITH {LAGS}, c AS (SELECT *, {COMMON} AS m FROM g) SELECT season, "GW", count(*) AS n, count_if(m) AS n_common, round(avg(abs(total_points - total_points_r5)) FILTER (m), 6) AS mae_model, round(avg(abs(total_points - total_points_r3)) FILTER (m), 6) AS mae_baseline, count_if(m AND minutes > 0) AS n_played, round(avg(abs(total_points - total_points_r5)) FILTER (m AND minutes > 0), 6) AS mae_model_played, round(avg(abs(total_points - total_points_r3)) FILTER (m AND minutes > 0), 6) AS mae_baseline_played FROM c GROUP BY ALL')
+@query(f'WITH {LAGS}, c AS (SELECT *, {COMMON} AS m FROM g) SELECT season, "GW", count(*) AS n, count_if(m) AS n_common, round(avg(abs(total_points - total_points_r5)) FILTER (m), 6) AS mae_model, round(avg(abs(total_points - total_points_r3)) FILTER (m), 6) AS mae_baseline, count_if(m AND minutes > 0) AS n_played, round(avg(abs(total_points - total_points_r5)) FILTER (m AND minutes > 0), 6) AS mae_model_played, round(avg(abs(total_points - total_points_r3)) FILTER (m AND minutes > 0), 6) AS mae_baseline_played FROM c GROUP BY ALL', cast={"n_common": "BIGINT", "n_played": "BIGINT"})
 def met09_weekly_score(spark, sf_dir):
     own = metrics.weekly(forecasts(spark, sf_dir), "total_points", "total_points_r5", "total_points_r3")
     return own.select(*[six(c) if t == "double" else F.col(c) for c, t in own.dtypes])
@@ -433,7 +433,7 @@ def ln02_unfit_squads(spark, sf_dir):
     return lineup.fit_xi(B.squads(spark, sf_dir).withColumn("flagged", S.flagged("status", "chance")))[1]
 
 
-@query(f"WITH {B.SQUADS} SELECT squad_id, id, row_number() OVER (PARTITION BY squad_id ORDER BY CASE WHEN position = 'GK' THEN 0 ELSE 1 END, points DESC, id) AS bench_place FROM xi WHERE NOT is_xi")
+@query(f"WITH {B.SQUADS} SELECT squad_id, id, row_number() OVER (PARTITION BY squad_id ORDER BY CASE WHEN position = 'GK' THEN 0 ELSE 1 END, points DESC, id) AS bench_place FROM xi WHERE NOT is_xi", cast={"bench_place": "INTEGER"})
 def ln03_bench(spark, sf_dir):
     return lineup.bench(lineup.best_xi(B.squads(spark, sf_dir))).select("squad_id", "id", "bench_place")
 
@@ -454,7 +454,7 @@ vl AS (SELECT squad_id, out_id, in_id, sum(points) FILTER (rk <= lo OR (rk <= hi
 gn AS (SELECT vl.*, round(value - v, 6) AS gain, row_number() OVER (PARTITION BY squad_id ORDER BY round(value - v, 6) DESC, out_id, in_id) AS rank FROM vl JOIN hold USING (squad_id) WHERE round(value - v, 6) > 0)"""
 
 
-@query(f"WITH {ONE} SELECT squad_id, rank, gain FROM gn WHERE rank <= 5")
+@query(f"WITH {ONE} SELECT squad_id, rank, gain FROM gn WHERE rank <= 5", cast={"rank": "INTEGER"})
 def ln05_one_transfer(spark, sf_dir):
     own = B.squads(spark, sf_dir).where("squad_id % 10 = 0")
     market = B.board(spark, sf_dir).withColumn("flagged", S.flagged("status", "chance"))

@@ -8,9 +8,12 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def shown(v):
     if isinstance(v, float) and not math.isnan(v):
-        return f"{v:.5f}".rstrip("0").rstrip(".").replace("-0", "0") if abs(v) < 1e-9 else f"{v:.5f}".rstrip("0").rstrip(".")
+        return f"{v + 0.0:.5f}".rstrip("0").rstrip(".").replace("-0", "0") if abs(v) < 1e-9 else f"{v:.5f}".rstrip("0").rstrip(".")
     return str(int(v)) if isinstance(v, bool) else str(v)
 
 
@@ -28,7 +31,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     columns = sorted(df.columns)
     want = duck.sql(entry.oracle_sql()[name])
     at = [want.columns.index(c) for c in columns]
-    assert sorted(want.columns) == columns
+    assert dict(zip(want.columns, map(str, want.types))) == {c: KINDS[t] for c, t in df.dtypes}
     assert sorted(tuple(shown(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in want.fetchall())
 
 
