@@ -24,8 +24,14 @@ def shift(df: DataFrame, actual: str, low: str, high: str, band: tuple[float, fl
     """
     own = needs(df, actual, low, high)
     each = own.groupBy("need").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = F.broadcast(own.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg((F.col("need") <= 0).cast("double")).alias("coverage"), F.percentile("need", target).alias("q")))
-    share = running(each, "need", {"n": "below"}).crossJoin(total).withColumn("share", (F.col("below") + F.col("n")) / F.col("total"))
+    total = F.broadcast(own.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg((F.col("need") <= 0).cast("double")).alias("coverage")))
+    counted = running(each, "need", {"n": "below"}).crossJoin(total)  # one row on the right
+    # the quantile by linear interpolation between the two needs around its place, from the counts: no value is gathered
+    at = target * (F.col("total") - 1)
+    after = lambda place: F.min(F.when(F.col("below") + F.col("n") > place, F.col("need")))
+    ends = counted.agg(after(F.floor(at)).alias("__a"), after(F.ceil(at)).alias("__b"), F.first(at - F.floor(at)).alias("__f"))
+    q = F.broadcast(ends.select((F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).alias("q")))
+    share = counted.crossJoin(q).withColumn("share", (F.col("below") + F.col("n")) / F.col("total"))  # one row on the right
     at_q = F.max(F.when(F.col("need") <= F.col("q"), F.col("share")))
     fits = F.max(F.when(F.col("share") <= band[1], F.col("need")))
     row = share.agg(F.first("coverage").alias("coverage"), F.first("q").alias("q"), at_q.alias("at_q"), fits.alias("fits"))

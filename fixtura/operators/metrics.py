@@ -32,8 +32,8 @@ def holdout(df: DataFrame, actual: str, forecasts: Sequence[str], gated: str | N
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the curve, ties half; NULL with one class. Rows become one a distinct score before anything is ordered.
 
-    The running count over distinct scores is two-level: within ranges of the score's hash-free order (its rounded logit
-    bucket) by window, and over the few buckets; so no task orders more than one bucket.
+    The running count over distinct scores is two-level: by window inside ranges of equal width, plus the sums of earlier ranges, so
+    no task orders more than one range.
     """
     own = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     each = own.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label)).alias("n"))

@@ -117,16 +117,18 @@ def canonical(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFra
     return df.select(*[F.format_string(f"%.{places}f", F.col(c).cast("double")).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in columns])
 
 
-def canonical_hash(df: DataFrame, columns: Sequence[str], order: Sequence[str], parts: int = 64, places: int = 6) -> DataFrame:
-    """SHA-256 of the ordered canonical rows in two levels: rows in ranges of the key's hash-free order, then the ranges; (rows, sha256).
+def canonical_hash(df: DataFrame, columns: Sequence[str], order: Sequence[str], part_rows: int = 10_000, places: int = 6) -> DataFrame:
+    """SHA-256 of the canonical rows in two levels: (rows, sha256).
 
-    Ranges are cut at quantiles of the row count over the first order column's values, so no task gathers all rows.
+    Rows are dealt into parts of about ``part_rows`` by a hash of the key, ordered by key inside their part and hashed; then the parts' hashes
+    are, in their order. The same rows give the same hash in any partitioning, and no task gathers more than a part.
     """
     text = canonical(df, [*dict.fromkeys([*order, *columns])], places)
     line = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x00")) for c in columns]), 256)
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    ranges = text.select(F.struct(*order).alias("k"), line.alias("h"), part.alias("part")).groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
+    parts = F.broadcast(df.agg((F.floor(F.count(F.lit(1)) / part_rows) + 1).alias("parts")))  # one row
+    dealt = text.select(F.struct(*order).alias("k"), line.alias("h"), F.xxhash64(*order).alias("at")).crossJoin(parts).withColumn("part", F.pmod("at", "parts"))
+    hashed = dealt.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return hashed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
 
 
 def evidence_manifest(spark: SparkSession, inputs: Sequence[str], artifacts: dict[str, DataFrame], policy: str) -> DataFrame:
