@@ -13,15 +13,16 @@ Nulls count as empty texts, which have no ids. Rows repeat as they come; other c
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixtura.llm.common import append_columns, fresh, pieces
+from fixtura.llm.common import append_columns, fresh, pieces, small_batches
 
 CHUNK, OVERLAP = 65_536, 1_024
 #: Entries of a task's memory of encoded pieces; it starts anew beyond that.
@@ -34,24 +35,29 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-class Pieces(dict):
-    """Ids of each piece met so far."""
+class Encoder(dict):
+    """Ids of each piece met so far, as the bytes of 32-bit integers: a text's ids are the pieces' bytes joined."""
 
     def __init__(self, path: str, pattern: str):
+        import regex
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary(path), special_tokens={})
+        self.split = regex.compile(pattern).findall
+        self.piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary(path), special_tokens={})._core_bpe.encode_single_piece
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self.bpe._core_bpe.encode_single_piece(piece.encode("utf-8", "surrogatepass"))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) < 64:
+            if len(self) >= MEMORY:
+                self.clear()
             self[piece] = ids
         return ids
 
-    def encode(self, found: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, found)))
+    def encode(self, texts: list[str | None]) -> pa.Array:
+        """Ids of each text, as an array of lists; nulls as empty texts."""
+        found = [b"".join(map(self.__getitem__, self.split(t))) if t else b"" for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -60,14 +66,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         raise ValueError("overlap must be positive and at most chunk")
     ids = T.StructField(out, T.ArrayType(T.IntegerType()))
 
-    def whole():
-        import regex
-
-        split, known = regex.compile(pattern).findall, Pieces(path, pattern)
-        return lambda texts: [pa.array([known.encode(split(t)) if t else [] for t in texts], pa.list_(pa.int32()))]
+    def make():
+        known = Encoder(path, pattern)
+        return lambda texts: [known.encode(texts)]
 
     short = F.coalesce(F.length(text), F.lit(0)) <= chunk
-    single = append_columns(docs.where(short), text, [ids], whole)
+    single = append_columns(docs.where(short), text, [ids], make)
     return single.unionByName(_long(docs.where(~short), path, pattern, text, out, chunk, overlap))
 
 
@@ -94,7 +98,7 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
                     tail.append([e - chunk for e in safe if e > chunk] if at < n - 1 else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=schema.names)
 
-    marked = parts.mapInArrow(bounds, schema)
+    marked = small_batches(parts).mapInArrow(bounds, schema)
     # One row a text: its chunks in order, with the cut between each two. Equal rows give equal chunks, once for each time.
     gathered = marked.groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(F.struct("at", "text", "head", "tail"))).alias("p"))
     cuts = F.expr("transform(sequence(0, n - 2), i -> array_min(array_intersect(p[i].tail, p[i + 1].head)))")
@@ -106,32 +110,34 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
     spread = stitched.select("key", "row", "times", F.posexplode(F.when(synced, body).otherwise(joined)).alias("at", "text"))
     field = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
-    def rest():
-        import regex
-
-        split, known = regex.compile(pattern).findall, Pieces(path, pattern)
-        return lambda texts: [pa.array([known.encode(split(t)) for t in texts], pa.list_(pa.int32()))]
+    def make():
+        known = Encoder(path, pattern)
+        return lambda texts: [known.encode(texts)]
 
-    encoded = append_columns(spread, "text", [field], rest)
+    encoded = append_columns(spread, "text", [field], make)
     back = encoded.groupBy("key").agg(F.first("row").alias("row"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("at", "text", "ids"))).alias("p"))
     back = back.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return back.select(*[F.expr("array_join(transform(p, x -> x.text), '')").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.flatten(F.transform("p", lambda x: x["ids"])).alias(out))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the raw bytes of the ids joined (binary; null ids: null). An id outside the vocabulary is an error."""
+    """``df`` with ``out``, the raw bytes of the ids joined (binary; null ids: null). An id outside the vocabulary is an error (IndexError, or TypeError for a gap or a null id)."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {i: b for b, i in vocabulary(path).items()}
+        known = vocabulary(path)
+        tokens = np.full(max(known.values()) + 1, None, object)
+        tokens[list(known.values())] = list(known)
         for whole in batches:
             for k in range(0, max(1, whole.num_rows), 500):
                 batch = whole.slice(k, 500)
-                made = [None if x is None else b"".join(map(known.__getitem__, x)) for x in batch.column(at).to_pylist()]
+                lists = batch.column(at)
+                flat, ends, empty = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+                made = [None if empty[i] else b"".join(tokens[flat[ends[i] : ends[i + 1]]].tolist()) for i in range(len(lists))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
