@@ -160,19 +160,20 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     kept = materialise(suffixes(rows, least, seed), "suffixes")
     place = F.struct("key", "uid", "pos")
     many = [F.count(F.lit(1)).alias("n"), (F.min("uid") != F.max("uid") if across else F.count(F.lit(1)) > 1).alias("shared")]
-    again = kept.groupBy("seed").agg(*many).where("shared").select("seed")
+    # counts are tables of their own before they are joined back: an aggregate on the join's key would keep Spark from splitting a hot key
+    again = materialise(kept.groupBy("seed").agg(*many).where("shared").select("seed"), "seeds")
     met = materialise(kept.join(again, "seed"), "met")
     contexts = materialise(met.groupBy("seed", "context").agg(*many, F.min(place).alias("least")), "contexts")
     # same context: repeated from end to end of it
     whole = met.join(contexts.where("shared").select("seed", "context", "least"), ["seed", "context"]).select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
     # same seed, other context: one of each context is extended, and all of a context that one text alone holds
-    mixed = contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
+    mixed = materialise(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "mixed")
     open_ = contexts.join(mixed, "seed")
     wanted = open_.select("least.uid", "least.pos")
     if across:
         wanted = wanted.unionByName(met.join(open_.where("n > 1 and not shared").select("seed", "context"), ["seed", "context"]).select("uid", "pos"))
     wanted = wanted.groupBy("uid").agg(F.collect_set("pos").alias("wanted"))
     extended = materialise(runs(rows.join(wanted, "uid").select("key", "uid", "text", "wanted"), least, seed), "runs")
-    twice = extended.groupBy("run").agg(*many, F.min(place).alias("least")).where("shared").select("run", "least")
+    twice = materialise(extended.groupBy("run").agg(*many, F.min(place).alias("least")).where("shared").select("run", "least"), "twice")
     part = extended.join(twice, "run").select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
     return merged(whole.unionByName(part)).select(F.col("key").alias(key), "spans", "extra")
