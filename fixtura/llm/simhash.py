@@ -249,14 +249,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return fps.join(moved, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
     """``docs`` with one row of each component: the one that names it; of rows that repeat its key, the first by content hash.
 
-    Rows with a null key can't be told apart by it and all stay.
+    ``find`` (docs, key, text) gives the components. Rows with a null key can't be told apart by it and all stay.
     """
     names = docs.columns
     hit, rank = fresh(names, "hit"), fresh(names, "rank")
-    found = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct().withColumn(hit, F.lit(True))
+    found = find(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct().withColumn(hit, F.lit(True))
     order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     own = docs.join(found, key, "left").where(F.col(hit).isNotNull() | F.col(key).isNull()).withColumn(rank, F.row_number().over(order))
     return own.where((F.col(rank) == 1) | F.col(key).isNull()).select(*names)
