@@ -105,7 +105,10 @@ def suffixes(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
 
 
 def runs(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Runs of ``least`` words of ``docs`` (key, uid, text, wanted) whose minimiser is a wanted place: (key, uid, run, pos, a, b)."""
+    """Runs of ``least`` words of ``docs`` (key, uid, text, wanted) whose minimiser is a wanted place: (key, uid, run, pos, a, b, held).
+
+    wanted: twice the place, plus one where another text has the same context; held tells that of the run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,15 +117,16 @@ def runs(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
                 row, parts = [], []
                 for i, t in texts_of(raw):
                     own = _seeds(t, least, seed)[1]
-                    start = np.flatnonzero(np.isin(own, wanted[i].values.to_numpy(zero_copy_only=False)))
+                    code = wanted[i].values.to_numpy(zero_copy_only=False)
+                    start = np.flatnonzero(np.isin(own, code >> 1))
                     a, b = t.chars(start, start + least)
                     row.append(np.full(len(start), i))
-                    parts.append((t.run(start, start + least).astype(np.int64), start.astype(np.int32), a.astype(np.int32), b.astype(np.int32)))
+                    parts.append((t.run(start, start + least).astype(np.int64), start.astype(np.int32), a.astype(np.int32), b.astype(np.int32), np.isin(own[start], code[code & 1 == 1] >> 1)))
                 if parts:
                     at = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=["key", "uid", "run", "pos", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=["key", "uid", "run", "pos", "a", "b", "held"])
 
-    return small_batches(docs).mapInArrow(run, "key long, uid long, run long, pos int, a int, b int")
+    return small_batches(docs).mapInArrow(run, "key long, uid long, run long, pos int, a int, b int, held boolean")
 
 
 def merged(pairs: DataFrame) -> DataFrame:
@@ -169,11 +173,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     # same seed, other context: one of each context is extended, and all of a context that one text alone holds
     mixed = materialise(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "mixed")
     open_ = contexts.join(mixed, "seed")
-    wanted = open_.select("least.uid", "least.pos")
+    wanted = open_.select("least.uid", (F.col("least.pos").cast("long") * 2 + (F.col("shared") & F.lit(across)).cast("long")).alias("wanted"))
     if across:
-        wanted = wanted.unionByName(met.join(open_.where("n > 1 and not shared").select("seed", "context"), ["seed", "context"]).select("uid", "pos"))
-    wanted = wanted.groupBy("uid").agg(F.collect_set("pos").alias("wanted"))
+        wanted = wanted.unionByName(met.join(open_.where("n > 1 and not shared").select("seed", "context"), ["seed", "context"]).select("uid", (F.col("pos").cast("long") * 2).alias("wanted")))
+    wanted = wanted.groupBy("uid").agg(F.collect_set("wanted").alias("wanted"))
     extended = materialise(runs(rows.join(wanted, "uid").select("key", "uid", "text", "wanted"), least, seed), "runs")
-    twice = materialise(extended.groupBy("run").agg(*many, F.min(place).alias("least")).where("shared").select("run", "least"), "twice")
+    # a context of two texts is extended for one of them, so its runs are shared even where no other row has them
+    twice = materialise(extended.groupBy("run").agg(*many, F.max("held").alias("held"), F.min(place).alias("least")).where("shared or held").select("run", "least"), "twice")
     part = extended.join(twice, "run").select("key", "uid", "a", "b", (place == F.col("least")).alias("first"))
     return merged(whole.unionByName(part)).select(F.col("key").alias(key), "spans", "extra")

@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     text = " ".join(str(i) for i in range(120))
     got = suffix.repeats(clashing(docs(spark, [(1, text), (1, text), (None, text)]))).collect()
     assert {r["doc_id"] for r in got} == {1, None} and all([(s["start"], s["end"]) for s in r["spans"]] == [(0, len(text))] for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passage_again_in_a_text_whose_context_another_shares(spark, seed):
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    around, passage = (words(80), words(80)), words(60)
+    texts = [" ".join([*around[0], *passage, *around[1], *words(70), *passage, *words(70)]), " ".join([*around[0], *passage, *around[1]])]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=True).collect()}
+    assert got == dict(enumerate(brute(texts, across=True))) and len(got[0]) == 2
