@@ -85,11 +85,12 @@ NOISE = frozenset("nav footer header aside form dialog menu fieldset".split())
 CONTENT = frozenset("article main".split())
 CLOSES = frozenset("p li dt dd tr td th option".split())
 HOLDS = frozenset("article aside blockquote body div dl fieldset figure footer form header main menu nav ol section table ul".split())
+TOPICS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|comment-?list|replies|disqus|respond|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|share|sharing|social|newsletter|subscribe|subscription|signup|sign-up|login|search|related|recommended|pagination|pager|toolbar|widget|copyright|disclaimer|skip-?link)(?:$|[\s_-])", re.I)
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post|post-?body|post-?content|entry|entry-?content|story|story-?body|main-?content|main-?text|body-?text)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -104,22 +105,23 @@ class Block:
     text: str = ""
 
 
-def _roles(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element opens boilerplate, and whether it opens content."""
+def _roles(name: str, attrs: str, inside: bool = False) -> tuple[bool, bool]:
+    """Whether an element opens boilerplate, and whether it opens content. Ids and labels of headings and sections ``inside`` content are topics."""
     noise, content = name in NOISE, name in CONTENT
     if attrs and not attrs.isspace():
         for key, value in _ATTR.findall(attrs):
-            value = value.strip("\"'")
-            if key.lower() == "role":
+            key, value = key.lower(), value.strip("\"'")
+            if key == "role":
                 noise |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar")
                 content |= value.lower() in ("main", "article")
-            elif key.lower() == "itemprop":
+            elif key == "itemprop":
                 content |= value.lower() == "articlebody"
                 noise |= value.lower() == "comment"
-            elif key.lower() == "hidden":
+            elif key == "hidden":
                 noise = True
-            else:
-                noise |= bool(NOISE_NAME.search(value)) and name not in ("html", "body", "article", "main")
+            elif key in ("class", "id", "aria-label"):
+                topic = inside and key != "class" and name in TOPICS
+                noise |= bool(NOISE_NAME.search(value)) and not topic and name not in ("html", "body", "article", "main")
                 content |= bool(CONTENT_NAME.search(value)) and name in ("div", "section", "td")
     return noise, content
 
@@ -191,7 +193,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if name not in VOID and not attrs.endswith("/"):
             above = open_[-1] if open_ else ("", False, False)
-            noise, content = _roles(name, attrs)
+            noise, content = _roles(name, attrs, above[2])
             open_.append((name, above[1] or noise, above[2] or content))
             links += name == "a"
         if name in BLOCKS:

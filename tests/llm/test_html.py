@@ -51,3 +51,14 @@ def test_odd_rows(spark):
     got = [r["text"] for r in html.extract(table).collect()]
     assert len(got) == 5 and got[0] == got[1] == "" and got[2].count("\n") == 2999
     assert html.extract(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', 'data-x="a hidden b"', "data-class='menu'"])
+def test_other_attributes_are_not_roles(attrs):
+    assert text(f"<body><article {attrs}><p>{TEXT}</p></article></body>") == TEXT
+    assert text(f"<body><div {attrs}><article><p>{TEXT}</p><p hidden>not shown</p></article></div></body>") == TEXT
+
+
+def test_ids_of_headings_and_sections_in_content():
+    assert text(f'<article><h2 id="search-results">Results</h2><section id="related-work"><p>{TEXT}</p></section></article>') == f"Results\n{TEXT}"
+    assert text(f'<article><p>{TEXT}</p><div id="comments"><p>first!</p></div></article>') == TEXT
