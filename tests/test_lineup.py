@@ -74,3 +74,14 @@ def test_one_transfer_against_brute_force(spark):
                 if p == out[2] and not bad and cost <= out[4] + bank[s] and sum(r[3] == club for r in rest) < 3:
                     gains.append(round(best([*rest, (s, i, p, club, cost, points, False)]) - best(rows) - 0.5, 6))
         assert got[s] == sorted((g for g in gains if g > 0), reverse=True)[:5]
+
+
+def test_every_squad_is_searched(spark):
+    from fixtura.plans import bindings as B
+    from fixtura.plans.score_queries import ln05_every_squad, ln05_one_transfer
+
+    sf = "/root/testdata/sf0.001"
+    found, part = ln05_every_squad(spark, sf).collect(), ln05_one_transfer(spark, sf).collect()
+    assert {r["squad_id"] % 10 for r in found} > {0}
+    assert {r["squad_id"] for r in found} <= {r["squad_id"] for r in B.squads(spark, sf).collect()}
+    assert sorted(r for r in found if r["squad_id"] % 10 == 0) == sorted(part)
