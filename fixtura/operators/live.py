@@ -65,7 +65,7 @@ def history_with_meta(history: DataFrame, fixtures: DataFrame, elements: DataFra
     """History rows with their fixture's (`fx_`) and element's (`el_`) columns; unknown ones NULL."""
     fx = fixtures.select(*[F.col(c).alias(f"fx_{c}") for c in fixtures.columns])
     el = elements.select(*[F.col(c).alias(f"el_{c}") for c in elements.columns])
-    out = history.join(F.broadcast(fx), F.col("fixture") == F.col("fx_id"), "left").join(el, F.col("element") == F.col("el_id"), "left")
+    out = history.join(fx, F.col("fixture") == F.col("fx_id"), "left").join(el, F.col("element") == F.col("el_id"), "left")
     return out.withColumns({"team": F.when(F.col("was_home"), F.col("fx_team_h")).otherwise(F.col("fx_team_a")), "opponent": F.when(F.col("was_home"), F.col("fx_team_a")).otherwise(F.col("fx_team_h"))})
 
 
@@ -103,7 +103,7 @@ def entry_weeks(history: DataFrame, events: DataFrame) -> DataFrame:
 
 def picked(picks: DataFrame, elements: DataFrame, teams: DataFrame, live: DataFrame) -> DataFrame:
     """Slots with their element, team and live statistics."""
-    return picks.join(F.broadcast(elements), "element", "left").join(F.broadcast(teams), "team", "left").join(F.broadcast(live), "element", "left")
+    return picks.join(elements, "element", "left").join(F.broadcast(teams), "team", "left").join(live, "element", "left")
 
 
 def roster(board: DataFrame) -> DataFrame:

@@ -83,4 +83,4 @@ def join_opponent_end(rows: DataFrame, ends: DataFrame, opponent: str = "opponen
 def difficulty(rows: DataFrame, fixtures: DataFrame, rule: Column) -> DataFrame:
     """Rows with their fixture's difficulty columns joined and `fdr` by ``rule``."""
     own = fixtures.select("season", F.col("id").alias("fixture"), "team_h_difficulty", "team_a_difficulty")
-    return rows.join(F.broadcast(own), ["season", "fixture"], "left").withColumn("fdr", rule)
+    return rows.join(own, ["season", "fixture"], "left").withColumn("fdr", rule)

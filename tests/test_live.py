@@ -166,3 +166,19 @@ def test_names_plans_records(spark):
     assert raises("credential", checks.public_record(records, ["gw"])) and raises("status is not explicit", checks.public_record(records, ["gw"]))
     with pytest.raises(checks.CheckFailed, match="entry_id"):
         checks.public_record(records.withColumn("entry_id", F.lit(1)), ["gw"])
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    from fixtura.operators import opponent
+
+    key, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    fixtures = spark.createDataFrame([(1, "S", 2, 3, 4, 5)], "id int, season string, team_h int, team_a int, team_h_difficulty int, team_a_difficulty int")
+    rows = spark.createDataFrame([(1, 1, 1, True, "S")], "fixture int, element int, team int, was_home boolean, season string")
+    elements = spark.createDataFrame([(1,)], "id int")
+    spark.conf.set(key, "-1")
+    try:
+        made = [live.history_with_meta(rows, fixtures, elements), opponent.difficulty(rows, fixtures, F.col("team_h_difficulty"))]
+        assert all("BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in made)
+        assert [r["opponent"] for r in made[0].collect()] == [3] and [r["fdr"] for r in made[1].collect()] == [4]
+    finally:
+        spark.conf.set(key, was)
