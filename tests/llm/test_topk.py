@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fixtura.llm import topk
@@ -41,3 +43,31 @@ def test_small_tables(spark):
     assert topk.search(spark.createDataFrame([(1, [1.0])], schema), F.lit(True)).collect() == []
     got = topk.search(spark.createDataFrame([(1, [1.0]), (2, [0.5])], schema), F.lit(True)).collect()
     assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 256 * 128), (2, 1, 256 * 128)]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_best_prunes_and_stays_exact(clustered):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 64))
+    if clustered:  # steps of 8 components, little else: coarse statistics tell rows apart
+        x = np.repeat(rng.normal(size=(5000, 8)), 8, axis=1) + 0.02 * x
+    x = np.floor(64 * x)[np.argsort(topk.place(np.floor(64 * x)))]
+    q, rows, tally = x[::50], np.arange(5000), {}
+    i, j, score = topk.best(q, rows[::50], x, rows, rows, 5, tally=tally)
+    want = q @ x.T
+    want[np.arange(100), rows[::50]] = -np.inf
+    for n in range(100):
+        order = np.lexsort((rows, -want[n]))[:5]
+        assert j[i == n].tolist() == order.tolist() and score[i == n].tolist() == want[n][order].tolist()
+    assert tally["all"] == 500_000 >= tally["envelope"] >= tally["scored"]
+    if clustered:
+        assert tally["scored"] < 0.02 * tally["all"]
+
+
+def test_text_keys_and_large_values(spark):
+    rows = [(c, [float(n), 2.0**28 * n]) for n, c in enumerate("abcde")] + [(None, [9.0, 0.0]), ("f", [3.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = topk.search(table, F.col("vec_id") == "a", k=2, scale=1).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [("a", "b", 0), ("a", "c", 0)]
+    got = topk.search(table, F.col("vec_id") == "b", k=2, scale=1).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, "e", 4 + 4 * 2**56), (2, "d", 3 + 3 * 2**56)]
