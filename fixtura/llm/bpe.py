@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixtura.llm.common import append_columns, fresh, pieces, small_batches
+from fixtura.llm.common import append_columns, fresh, pieces
 
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 8_192, 1_024
 #: Entries of a task's memory of encoded pieces; it starts anew beyond that.
 MEMORY = 200_000
 
@@ -60,8 +60,8 @@ class Encoder(dict):
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with ``out``, the ids of each text (array<int>)."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
+    """``docs`` with ``out``, the ids of each text (array<int>); without ``keep`` the text column goes."""
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must be positive and at most chunk")
     ids = T.StructField(out, T.ArrayType(T.IntegerType()))
@@ -71,43 +71,52 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         return lambda texts: [known.encode(texts)]
 
     short = F.coalesce(F.length(text), F.lit(0)) <= chunk
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
     single = append_columns(docs.where(short), text, [ids], make)
-    return single.unionByName(_long(docs.where(~short), path, pattern, text, out, chunk, overlap))
+    single = single if keep else single.drop(text)
+    return single.unionByName(_long(docs.where(~short), path, pattern, text, out, chunk, overlap, keep))
 
 
-def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk: int, overlap: int) -> DataFrame:
+def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk: int, overlap: int, keep: bool) -> DataFrame:
     """The same for texts of several chunks."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
-    #: equal rows get equal ids, so the key may be shared: their chunks are then equal too, and are counted by `times`
-    rows = docs.select(F.xxhash64(row, F.col(text)).alias("key"), row.alias("row"), F.col(text).alias("text"))
-    parts = rows.withColumn("n", F.ceil(F.length("text") / chunk).cast("int")).select("key", "row", "n", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(text, i * {chunk} + 1, {chunk + overlap}))")).alias("at", "text"))
-    schema = T.StructType([*parts.schema.fields, T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("tail", T.ArrayType(T.IntegerType()))])
+    # equal rows have equal keys (128 bits), so a key may be shared: their chunks are then equal too, and are counted by `times`
+    keys = ["key", "key2"]
+    rows = docs.select(F.xxhash64(row, F.col(text)).alias("key"), F.xxhash64(F.lit(1), row, F.col(text)).alias("key2"), row.alias("row"), F.col(text).alias("text"))
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*rows.schema.fields[:3], *(T.StructField(c, k) for c, k in (("n", T.IntegerType()), ("at", T.IntegerType()), ("text", T.StringType()), ("head", ints), ("tail", ints)))])
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern)
         for whole in batches:
-            for batch in pieces(whole, 4):
-                head, tail = [], []
-                for t, n, at in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    ends = [0, *(m.end() for m in split.finditer(t))]
-                    # a piece that ends with the visible text could go on: such an end is no boundary unless the text ends there
-                    safe = [e for e in ends if e < len(t) - 1]
-                    head.append([e for e in safe if 0 < e <= overlap] if at else [])
-                    tail.append([e - chunk for e in safe if e > chunk] if at < n - 1 else [])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=schema.names)
-
-    marked = small_batches(parts).mapInArrow(bounds, schema)
+            for batch in pieces(whole, 3):
+                of, made = [], []
+                for i, t in enumerate(batch.column(3).to_pylist()):
+                    n = -(-len(t) // chunk)
+                    for at in range(n):
+                        part = t[at * chunk : (at + 1) * chunk + overlap]
+                        ends = [m.end() for m in split.finditer(part)]
+                        # a piece that ends with the visible text could go on: such an end is no boundary unless the text ends there
+                        safe = [e for e in ends if e < len(part) - 1]
+                        of.append(i)
+                        made.append((n, at, part, [e for e in safe if e <= overlap] if at else [], [e - chunk for e in safe if e > chunk] if at < n - 1 else []))
+                for s in range(0, len(of), 256):
+                    own = batch.select([0, 1, 2]).take(pa.array(of[s : s + 256]))
+                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*made[s : s + 256], strict=True), kinds, strict=True))], names=schema.names)
+
+    marked = rows.mapInArrow(bounds, schema)
     # One row a text: its chunks in order, with the cut between each two. Equal rows give equal chunks, once for each time.
-    gathered = marked.groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(F.struct("at", "text", "head", "tail"))).alias("p"))
+    gathered = marked.groupBy(*keys).agg(F.first("row").alias("row"), F.first("n").alias("n"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(F.struct("at", "text", "head", "tail"))).alias("p"))
     cuts = F.expr("transform(sequence(0, n - 2), i -> array_min(array_intersect(p[i].tail, p[i + 1].head)))")
     stitched = gathered.withColumn("cut", cuts)
     synced = F.forall("cut", lambda c: c.isNotNull())
     # the text between the two cuts of each chunk; without all cuts, the whole text as one chunk
     body = F.expr(f"transform(sequence(0, n - 1), i -> substring(p[i].text, if(i = 0, 0, cut[i - 1]) + 1, if(i = n - 1, {chunk + overlap}, {chunk} + cut[i]) - if(i = 0, 0, cut[i - 1])))")
     joined = F.array(F.expr(f"array_join(transform(p, x -> substring(x.text, 1, {chunk})), '')"))
-    spread = stitched.select("key", "row", "times", F.posexplode(F.when(synced, body).otherwise(joined)).alias("at", "text"))
+    spread = stitched.select(*keys, "row", "times", F.posexplode(F.when(synced, body).otherwise(joined)).alias("at", "text"))
     field = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
     def make():
@@ -115,9 +124,11 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
         return lambda texts: [known.encode(texts)]
 
     encoded = append_columns(spread, "text", [field], make)
-    back = encoded.groupBy("key").agg(F.first("row").alias("row"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("at", "text", "ids"))).alias("p"))
+    parts = F.struct("at", "text", "ids") if keep else F.struct("at", "ids")
+    back = encoded.groupBy(*keys).agg(F.first("row").alias("row"), F.first("times").alias("times"), F.array_sort(F.collect_list(parts)).alias("p"))
     back = back.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return back.select(*[F.expr("array_join(transform(p, x -> x.text), '')").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.flatten(F.transform("p", lambda x: x["ids"])).alias(out))
+    whole = F.expr("array_join(transform(p, x -> x.text), '')").alias(text) if keep else None
+    return back.select(*[whole if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if keep or c != text], F.flatten(F.transform("p", lambda x: x["ids"])).alias(out))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -137,12 +148,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 made = [None if empty[i] else b"".join(tokens[flat[ends[i] : ends[i + 1]]].tolist()) for i in range(len(lists))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 and decoded_sha256, after a round trip through the ids."""
     ids = fresh([key, text], "ids")
-    encoded = encode(docs.select(key, text), path, pattern, text, ids).drop(text)
+    encoded = encode(docs.select(key, text), path, pattern, text, ids, keep=False)
     done = decode(encoded, path, ids, "decoded")
     return done.select(key, F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col(ids), " "), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -16,9 +16,11 @@ GROUP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Unset, it is a fresh local folder on a local master, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,14 +38,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose Arrow batches of whole texts will be of 1,000 rows unless the session asks for other than Spark's default of 10,000."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "1000")
-    return df
-
-
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, or the first of name_1, name_2 ... that no column has (names differ without regard to case)."""
     used, n, out = {x.lower() for x in taken}, 0, name
@@ -56,8 +50,13 @@ def fresh(taken: Iterable[str], name: str) -> str:
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """``df`` with more columns that Python makes from the column ``text``, batch by batch, without a shuffle.
 
-    ``make`` runs once a task and returns the function of a list of texts; every other column passes through as Arrow data.
+    ``make`` runs once a task and returns the function of a list of texts; every other column passes through as Arrow data. A
+    column of ``df`` that has the name of a new one is replaced, as by ``withColumn``; only ``text`` itself can't be.
     """
+    new = {f.name.lower() for f in fields}
+    if text.lower() in new:
+        raise ValueError(f"the result can't replace the text column {text}")
+    df = df.drop(*[c for c in df.columns if c.lower() in new])
     schema = T.StructType([*df.schema.fields, *fields])
     at = [f.name for f in df.schema.fields].index(text)
 
@@ -68,7 +67,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
                 made = work(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, at: int, most: int = 8 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
