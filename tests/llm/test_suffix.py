@@ -75,3 +75,28 @@ def test_passage_again_in_a_text_whose_context_another_shares(spark, seed):
     texts = [" ".join([*around[0], *passage, *around[1], *words(70), *passage, *words(70)]), " ".join([*around[0], *passage, *around[1]])]
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=True).collect()}
     assert got == dict(enumerate(brute(texts, across=True))) and len(got[0]) == 2
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_groups_that_reach_over_partitions(spark, across):
+    """Many partitions for few rows: a hot passage is cut into several, so its groups are completed from the edges."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    hot, warm = words(56), words(70)
+    texts = [" ".join([*words(rng.randint(0, 9)), *hot, *(words(12) if i % 3 else []), *(warm if i % 2 else [])]) for i in range(80)] + [" ".join(hot)] * 40 + [" ".join([*hot, *words(3), *hot])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "29")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["doc_id"]: r for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=across).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {i: [(s["start"], s["end"]) for s in r["spans"]] for i, r in got.items()} == {i: s for i, s in enumerate(brute(texts, across=across)) if s}
+    assert sum(r["extra"] == [] for r in got.values()) == 1
+
+
+def test_text_keys(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    table = spark.createDataFrame([("b", text), ("a", text), (None, "x")], "doc_id string, text string")
+    assert {r["doc_id"]: len(r["extra"]) for r in suffix.repeats(table, across=True).collect()} == {"a": 0, "b": 1}
