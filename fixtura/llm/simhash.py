@@ -160,6 +160,7 @@ class Union:
 def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: int = CHAIN, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between different fingerprints ``fp`` of ``nodes`` (distinct) that have the components of all links."""
     rows = nodes.select("fp", F.explode(keys(F.col("fp"), bits, segments, chain)).alias("k")).select("fp", F.col("k.start").alias("start"), F.col("k.key").alias("key"))
+    rows = materialise(rows, "keys")  # counted, then met
     # Keys of more than `block` fingerprints: there are at most rows / block of them, and they are met block by block.
     large = materialise(rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("n")), "large")
     n_large = large.count()
@@ -217,32 +218,32 @@ def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: i
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b), the label being the component's smallest node.
 
-    Large-star and small-star steps in turn: each node's neighbours move to its smallest one, until nothing moves. Every
-    round is a table in the shared folder. Only counts reach the driver.
+    Large-star and small-star steps in turn: each node's neighbours move to its smallest one, until no link moves; links only ever
+    move to smaller nodes, so that ends. Every step is a table in the shared folder: the least neighbours are written before they are joined
+    back, so that a node with a large part of all links is split over tasks. Only counts reach the driver.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large.distinct(), "large")
+        own = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(own, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = materialise(small, "links")
-        same = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first(), now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        if new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty():
+            return new.select(F.col("a").alias("node"), F.col("b").alias("label"))
         now = new
-        if same[0] == same[1]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, segments: int = SEGMENTS, chain: int = CHAIN, block: int = BLOCK) -> DataFrame:
     """Per row: key, fp (signed long) and component_id (smallest key reachable)."""
     fps = materialise(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a node becomes many keys, so the few bytes of nodes are spread first
+    nodes = materialise(fps.groupBy("fp").agg(F.min("key").alias("least")).repartition(parts), "nodes")
     found = components(links(nodes, bits, segments, chain, block))
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     moved = named.join(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "label").select("fp", "component_id")

@@ -3,9 +3,8 @@ import hashlib
 import pytest
 
 from .test_decontam import brute
+from .test_jaccard import brute as components
 from .test_pii import plain
-from .test_simhash import groups
-from .test_simhash import plain as fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.01"
@@ -32,8 +31,7 @@ def test_each_stage_against_brute_force(spark):
             assert sum(i in after for i, q in told.items() if q) >= 0.97 * sum(told.values())
             assert sum(i in after for i, q in told.items() if not q) <= 0.1 * sum(not q for q in told.values())
         if name == "near_duplicates":
-            component = groups({i: fingerprint(r["text"]) for i, r in before.items()})
-            assert set(after) == set(component.values())
+            assert set(after) == set(components({i: r["text"] for i, r in before.items()}).values())
         if name == "decontaminated":
             items = [(r["item_id"], r["text"]) for r in read(spark, SF, "benchmark").collect()]
             bad = {d for d, _ in brute([(i, r["text"]) for i, r in before.items()], items)}
