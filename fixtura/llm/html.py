@@ -1,12 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags. Features of a block are its words, its link density, those of the
-blocks before and after, whether it stands in a container for boilerplate or for content, whether the page has a content
-container, and whether it is a heading. A small tree of axis splits, trained on the labelled table below when a task
-starts, decides which blocks are main text. Character references are decoded, white space in a block becomes one space,
-and kept blocks are joined in page order by a newline.
+A page is cut into flat blocks at block-level tags. Features of a block are its words and link density, those of the blocks
+before and after, whether it and the block after stand where the page's words are dense, whether that is the page as a whole, whether the
+block stands in a container for boilerplate, and whether it is a heading. A small tree of axis splits, trained on the labelled
+table below when a task starts, decides which blocks are main text. Character references are decoded, white space in a block
+becomes one space, and kept blocks are joined in page order by a newline.
 
-Null and empty pages have no text. A page is worked on alone, so partitions and row counts stay as they are.
+Words are dense in the deepest container with at least DENSE of the page's words that are neither links nor in boilerplate, or in the
+outermost article or main element (or one named so) around it; words inside such elements weigh PRIOR times. So a
+container's name alone makes nothing main text: most of the words have to stand there.
+
+Null and empty pages have no text. A page is worked on alone, so partitions and row counts stay as they are. Rows repeat as they come.
 """
 
 from __future__ import annotations
@@ -21,60 +25,87 @@ from pyspark.sql import types as T
 
 from fixtura.llm.common import append_columns
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "noise", "content", "page_has_content", "heading")
+DENSE, PRIOR = 0.6, 4
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "noise", "dense", "dense_after", "flat", "heading")
 
 # A small labelled table of blocks, in the order of FEATURES, then the label (1: main text).
 LABELLED = [
     # menus, headers, footers, sidebars, notices, adverts, forms and comments, by their container
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0, 0),
-    (14, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (45, 0.1, 30, 0.0, 12, 0.0, 1, 0, 0, 0, 0),
-    (120, 0.0, 90, 0.0, 40, 0.0, 1, 0, 1, 0, 0),
-    (30, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0, 0),
-    (4, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 1, 0),
-    (3, 1.0, 12, 0.0, 3, 1.0, 1, 1, 1, 0, 0),
-    (85, 0.0, 20, 0.0, 35, 0.0, 1, 1, 1, 0, 0),
-    (7, 0.0, 0, 0.0, 25, 0.0, 1, 0, 0, 1, 0),
-    (55, 0.4, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0),
-    # inside an article or main element: all of it, short, long, headings and linked
-    (6, 0.0, 12, 0.0, 45, 0.0, 0, 1, 1, 1, 1),
-    (1, 0.0, 70, 0.0, 55, 0.0, 0, 1, 1, 0, 1),
-    (60, 0.0, 6, 0.0, 1, 0.0, 0, 1, 1, 0, 1),
-    (35, 0.3, 60, 0.0, 35, 0.2, 0, 1, 1, 0, 1),
-    (2, 1.0, 40, 0.0, 30, 0.0, 0, 1, 1, 0, 1),
-    (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1),
-    (250, 0.0, 1, 0.0, 3, 1.0, 0, 1, 1, 0, 1),
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 1, 1, 0, 1),
-    (12, 0.9, 50, 0.0, 14, 0.0, 0, 1, 1, 0, 1),
-    (8, 0.0, 8, 0.0, 8, 0.0, 0, 1, 1, 0, 1),
-    # outside it, on a page that has one
-    (3, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0, 0),
-    (40, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0, 0),
-    (18, 0.2, 70, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (5, 1.0, 0, 0.0, 5, 1.0, 0, 0, 1, 0, 0),
-    (6, 0.0, 5, 1.0, 40, 0.0, 0, 0, 1, 1, 0),
-    (90, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0, 0),
-    # pages without one: running text, its headings and its short paragraphs; lists of links and lone scraps are not
-    (60, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.1, 45, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (16, 0.0, 30, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
-    (120, 0.2, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (8, 0.0, 55, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 1),
-    (7, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (4, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 1, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.9, 3, 1.0, 8, 0.8, 0, 0, 0, 0, 0),
-    (20, 0.7, 30, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (40, 0.8, 2, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 1, 1.0, 4, 0.5, 0, 0, 0, 0, 0),
-    (6, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (4, 0.5, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1, 0, 0),
+    (9, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0, 0, 0),
+    (14, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
+    (45, 0.1, 30, 0.0, 12, 0.0, 1, 1, 1, 1, 0, 0),
+    (120, 0.0, 90, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0),
+    (30, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0, 0, 0),
+    (4, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0, 1, 0),
+    (3, 1.0, 12, 0.0, 3, 1.0, 1, 1, 1, 0, 0, 0),
+    (85, 0.0, 20, 0.0, 35, 0.0, 1, 1, 0, 0, 0, 0),
+    (7, 0.0, 0, 0.0, 25, 0.0, 1, 0, 1, 0, 1, 0),
+    (55, 0.4, 3, 1.0, 2, 1.0, 1, 1, 1, 1, 0, 0),
+    # where words are dense, in a part of the page: paragraphs of any length, headings, a line that is one link among text
+    (6, 0.0, 12, 0.0, 45, 0.0, 0, 1, 1, 0, 1, 1),
+    (1, 0.0, 70, 0.0, 55, 0.0, 0, 1, 1, 0, 0, 1),
+    (60, 0.0, 6, 0.0, 1, 0.0, 0, 1, 1, 0, 0, 1),
+    (35, 0.3, 60, 0.0, 35, 0.2, 0, 1, 1, 0, 0, 1),
+    (2, 1.0, 40, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1),
+    (250, 0.0, 1, 0.0, 3, 1.0, 0, 1, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 1),
+    (12, 0.9, 50, 0.0, 14, 0.0, 0, 1, 1, 0, 0, 1),
+    (3, 1.0, 12, 0.0, 20, 0.0, 0, 1, 1, 0, 0, 1),
+    (5, 1.0, 25, 0.0, 25, 0.1, 0, 1, 1, 0, 0, 1),
+    (2, 1.0, 4, 0.0, 70, 0.0, 0, 1, 1, 0, 0, 1),
+    (8, 0.0, 8, 0.0, 8, 0.0, 0, 1, 1, 0, 0, 1),
+    (40, 0.1, 3, 1.0, 35, 0.0, 0, 1, 1, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 1, 0, 0, 1),
+    (25, 0.0, 1, 1.0, 25, 0.0, 0, 1, 1, 0, 0, 1),
+    (9, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0, 1),
+    (6, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1),
+    (70, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 0, 0, 1),
+    # there too: lines of links in a row
+    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 0),
+    (4, 1.0, 30, 0.0, 3, 1.0, 0, 1, 1, 0, 0, 0),
+    (3, 1.0, 4, 1.0, 40, 0.0, 0, 1, 1, 0, 0, 0),
+    (9, 0.9, 6, 0.9, 7, 1.0, 0, 1, 1, 0, 0, 0),
+    (14, 0.8, 25, 0.1, 12, 0.8, 0, 1, 1, 0, 0, 0),
+    (4, 1.0, 60, 0.0, 3, 1.0, 0, 1, 1, 0, 0, 0),
+    (3, 1.0, 45, 0.9, 30, 0.0, 0, 1, 1, 0, 0, 0),
+    (5, 1.0, 5, 1.0, 12, 0.1, 0, 1, 1, 0, 0, 0),
+    # elsewhere on such a page; only headings right before the dense part belong to it
+    (3, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 0, 0, 0),
+    (40, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0, 0, 0),
+    (18, 0.2, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
+    (5, 1.0, 0, 0.0, 5, 1.0, 0, 0, 0, 0, 0, 0),
+    (1, 1.0, 4, 1.0, 9, 0.0, 0, 0, 0, 0, 0, 0),
+    (6, 0.0, 5, 1.0, 40, 0.0, 0, 0, 0, 0, 1, 0),
+    (90, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 0),
+    (9, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 0, 0),
+    (7, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1, 0, 1, 1),
+    (11, 0.0, 2, 1.0, 6, 0.0, 0, 0, 1, 0, 1, 1),
+    (4, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 1, 1),
+    # pages without such a part: running text, its headings and its short paragraphs; lists of links and lone scraps are not
+    (60, 0.0, 3, 1.0, 45, 0.0, 0, 1, 1, 1, 0, 1),
+    (45, 0.05, 60, 0.0, 30, 0.0, 0, 1, 1, 1, 0, 1),
+    (25, 0.1, 45, 0.0, 2, 1.0, 0, 1, 1, 1, 0, 1),
+    (16, 0.0, 30, 0.0, 18, 0.0, 0, 1, 1, 1, 0, 1),
+    (120, 0.2, 2, 1.0, 2, 1.0, 0, 1, 1, 1, 0, 1),
+    (30, 0.0, 1, 1.0, 25, 0.0, 0, 1, 1, 1, 0, 1),
+    (22, 0.0, 25, 0.0, 1, 0.0, 0, 1, 1, 1, 0, 1),
+    (40, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 1, 0, 1),
+    (8, 0.0, 55, 0.0, 40, 0.0, 0, 1, 1, 1, 0, 1),
+    (3, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1, 1, 0, 1),
+    (5, 0.0, 2, 1.0, 50, 0.0, 0, 1, 1, 1, 1, 1),
+    (7, 0.0, 35, 0.0, 60, 0.0, 0, 1, 1, 1, 1, 1),
+    (4, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1, 1, 1, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 1, 0, 0),
+    (12, 0.9, 3, 1.0, 8, 0.8, 0, 1, 1, 1, 0, 0),
+    (20, 0.7, 30, 0.0, 4, 1.0, 0, 1, 1, 1, 0, 0),
+    (40, 0.8, 2, 1.0, 60, 0.0, 0, 1, 1, 1, 0, 0),
+    (3, 0.0, 2, 1.0, 1, 1.0, 0, 1, 1, 1, 0, 0),
+    (5, 0.0, 1, 1.0, 4, 0.5, 0, 1, 1, 1, 0, 0),
+    (6, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1, 1, 0, 0),
+    (4, 0.5, 60, 0.0, 30, 0.0, 0, 1, 1, 1, 0, 0),
 ]
 
 # Element names by role.
@@ -84,6 +115,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 NOISE = frozenset("nav footer header aside form dialog menu fieldset".split())
 CONTENT = frozenset("article main".split())
 CLOSES = frozenset("p li dt dd tr td th option".split())
+PARTS = frozenset("article main section div td center".split())
 HOLDS = frozenset("article aside blockquote body div dl fieldset figure footer form header main menu nav ol section table ul".split())
 TOPICS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|comment-?list|replies|disqus|respond|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|share|sharing|social|newsletter|subscribe|subscription|signup|sign-up|login|search|related|recommended|pagination|pager|toolbar|widget|copyright|disclaimer|skip-?link)(?:$|[\s_-])", re.I)
@@ -99,6 +131,7 @@ class Block:
     noise: bool
     content: bool
     heading: bool
+    part: int  #: the nearest container, 0 for the page itself
     parts: list[str] = field(default_factory=list)
     words: int = 0
     linked: int = 0
@@ -126,11 +159,12 @@ def _roles(name: str, attrs: str, inside: bool = False) -> tuple[bool, bool]:
     return noise, content
 
 
-def blocks(page: str) -> list[Block]:
-    """Flat blocks with text, in page order."""
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
+    """Flat blocks with text, in page order, and each container's parent and whether it opens content; the page itself is the first."""
     done: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  #: name, and whether it or one above is boilerplate, content
-    now = Block(False, False, False)
+    above_of: list[tuple[int, bool]] = [(0, False)]
+    open_: list[tuple[str, bool, bool, int]] = []  #: name, whether it or one above is boilerplate, content, and the nearest container
+    now = Block(False, False, False, 0)
     links, at, end = 0, 0, len(page)
 
     def flush() -> None:
@@ -139,8 +173,8 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
                 done.append(now)
-        top = open_[-1] if open_ else ("", False, False)
-        now = Block(top[1], top[2], any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in open_[-4:]))
+        top = open_[-1] if open_ else ("", False, False, 0)
+        now = Block(top[1], top[2], part=top[3], heading=any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in open_[-4:]))
 
     def say(piece: str) -> None:
         piece = entities.unescape(piece)
@@ -192,14 +226,39 @@ def blocks(page: str) -> list[Block]:
                 if open_[i][0] in HOLDS:
                     break
         if name not in VOID and not attrs.endswith("/"):
-            above = open_[-1] if open_ else ("", False, False)
+            above = open_[-1] if open_ else ("", False, False, 0)
             noise, content = _roles(name, attrs, above[2])
-            open_.append((name, above[1] or noise, above[2] or content))
+            if name in PARTS:
+                above_of.append((above[3], content))
+            open_.append((name, above[1] or noise, above[2] or content, len(above_of) - 1 if name in PARTS else above[3]))
             links += name == "a"
         if name in BLOCKS:
             flush()
     flush()
-    return done
+    return done, above_of
+
+
+def dense_part(found: list[Block], above_of: list[tuple[int, bool]]) -> list[bool]:
+    """Of each container, whether it is the one where the page's words are dense, or inside that."""
+    held = [0] * len(above_of)
+    for b in found:
+        if not b.noise:
+            held[b.part] += (b.words - b.linked) * (PRIOR if b.content else 1)
+    for i in range(len(held) - 1, 0, -1):  # parents come before their children
+        held[above_of[i][0]] += held[i]
+    now = 0
+    for i in range(1, len(held)):
+        if above_of[i][0] == now and held[i] >= DENSE * held[0] > 0:
+            now = i
+    top, up = now, now
+    while up:
+        if above_of[up][1]:
+            top = up
+        up = above_of[up][0]
+    inside = [top == 0]
+    for i in range(1, len(held)):
+        inside.append(i == top or inside[above_of[i][0]])
+    return inside
 
 
 @dataclass
@@ -243,17 +302,17 @@ def grow(rows: list[tuple], depth: int = 8) -> Node:
     return node
 
 
-def measured(found: list[Block]) -> list[tuple]:
+def measured(found: list[Block], above_of: list[tuple[int, bool]]) -> list[tuple]:
     """FEATURES of each block."""
+    inside = dense_part(found, above_of)
     size = [(b.words, b.linked / b.words if b.words else 0.0) for b in found]
-    has = any(b.content and not b.noise for b in found)
-    ends = [(0, 0.0), *size, (0, 0.0)]
-    return [(*ends[i + 1], *ends[i], *ends[i + 2], int(b.noise), int(b.content), int(has), int(b.heading)) for i, b in enumerate(found)]
+    ends, dense, flat = [(0, 0.0), *size, (0, 0.0)], [*(int(inside[b.part]) for b in found), 0], int(inside[0])
+    return [(*ends[i + 1], *ends[i], *ends[i + 2], int(b.noise), dense[i], dense[i + 1], flat, int(b.heading)) for i, b in enumerate(found)]
 
 
 def main_text(page: str | None, tree: Node) -> str:
-    found = blocks(page or "")
-    return "\n".join(b.text for b, x in zip(found, measured(found), strict=True) if tree.decide(x))
+    found, above_of = blocks(page or "")
+    return "\n".join(b.text for b, x in zip(found, measured(found, above_of), strict=True) if tree.decide(x))
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text", labelled: list[tuple] = LABELLED) -> DataFrame:

@@ -62,3 +62,32 @@ def test_other_attributes_are_not_roles(attrs):
 def test_ids_of_headings_and_sections_in_content():
     assert text(f'<article><h2 id="search-results">Results</h2><section id="related-work"><p>{TEXT}</p></section></article>') == f"Results\n{TEXT}"
     assert text(f'<article><p>{TEXT}</p><div id="comments"><p>first!</p></div></article>') == TEXT
+
+
+def test_words_and_links_decide_where_containers_have_no_names(spark):
+    """Block F1 on the same pages with element names and classes of all containers gone."""
+    import re
+    from collections import Counter
+
+    hit = more = less = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        bare = re.sub(r"</?(nav|article|footer|header|main|aside)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", re.sub(r' (class|id|role)="[^"]*"', "", r["html"]))
+        want, got = Counter(text(r["html"]).split("\n")), Counter(text(bare).split("\n"))
+        both = sum((want & got).values())
+        hit, more, less = hit + both, more + sum(got.values()) - both, less + sum(want.values()) - both
+    assert 2 * hit / (2 * hit + more + less) >= 0.98
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p>{TEXT}</p><p><a href=x>a lone link</a></p><p>{TEXT}</p><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul></article>", f"{TEXT}\na lone link\n{TEXT}"),
+    (f"<div><p><a>Home</a></p><p><a>News</a></p></div><div><h1>Title</h1><div><p>{TEXT}</p><p>Yes.</p><p>{TEXT}</p></div></div><div><p>Read this too, it is short</p></div>", f"Title\n{TEXT}\nYes.\n{TEXT}"),
+    (f"<body><p><a>Home</a><p><a>News</a><h1>Title of it</h1><p>{TEXT}<p>{TEXT}<p>end</body>", f"Title of it\n{TEXT}\n{TEXT}"),
+    (f"<article><section><p>{TEXT}</p></section><section><p>No.</p></section></article><div><p>{TEXT}</p></div>", f"{TEXT}\nNo."),
+])
+def test_dense_part(page, want):
+    assert text(page) == want
+
+
+def test_deep_pages_stay_linear():
+    assert text("<div>" * 20_000 + f"<p>{TEXT}</p>" + "</div>" * 20_000) == TEXT
+    assert text("<div><p>x y z</p>" * 5_000).count("x y z") > 0
