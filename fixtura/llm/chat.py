@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, DELTA = "<|im_start|>", "<|im_end|>", 512
 # Control strings of common templates; each is a bracket and a rest.
-_CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?s>|/?INST\]|/?SYS\]|/?SYS>>)")
-_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?s>|/?INST\]|/?SYS\]|/?SYS>>)")
+_CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?s>|(?:bos|eos|unk|pad|mask|start_of_turn|end_of_turn)>|/?INST\]|/?SYS\]|/?SYS>>)")
+_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?s>|(?:bos|eos|unk|pad|mask|start_of_turn|end_of_turn)>|/?INST\]|/?SYS\]|/?SYS>>)")
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + r"\n", re.S)
 
 

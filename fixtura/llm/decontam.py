@@ -9,21 +9,24 @@ smaller ones'. Many documents' blocks are hashed at once. An item is a candidate
 place. Candidates are verified over the whole document: at least THRESHOLD of the item's distinct shingles, as words,
 are among the document's.
 
-Items are broadcast in parts of at most PART_BYTES of text: more items mean more passes, never a larger broadcast.
-Documents are not shuffled. Null texts and items without words match nothing; repeated items match alike.
+Items are broadcast in parts of about PART_BYTES of text: more items mean more passes, never a larger broadcast or index.
+Documents are not shuffled while one part holds all items. An item whose shingles lie scattered over a long text shares less with each window, but has
+more windows to agree in. Item ids keep their type. Null texts and items without words match nothing; repeated items match alike.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fixtura.llm.common import Words, append_columns, fresh, groups
+from fixtura.llm.common import Words, append_columns, fresh, groups, materialise
 
 WORDS, THRESHOLD, PERMUTATIONS, PART_BYTES = 5, 0.8, 64, 8 << 20
 TABLE = 1 << 16
@@ -51,7 +54,7 @@ class Index:
         self.a, self.b = _functions(permutations)
         self.items = {}
         by_class: dict[int, list[int]] = defaultdict(list)
-        self.short: dict[tuple[bytes, ...], list[int]] = defaultdict(list)  #: items of fewer than k words
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))  #: items of fewer than k words, by their number
         for n, (item, text) in enumerate(items):
             words = normal(text).split()
             own = shingles(words, k)
@@ -59,7 +62,7 @@ class Index:
                 continue
             self.items[n] = (item, own)
             if len(words) < k:
-                self.short[tuple(words)].append(n)
+                self.short[len(words)][tuple(words)].append(n)
             else:
                 by_class[len(own).bit_length() - 1].append(n)
         self.classes = {}
@@ -135,34 +138,47 @@ class Index:
                 item, want = self.items[n]
                 if (share := len(want & own) / len(want)) >= self.threshold:
                     out.append((item, share))
-        for want, members in self.short.items():
-            if any(tuple(words[i : i + len(want)]) == want for i in range(len(words) - len(want) + 1)):
-                out += [(self.items[n][0], 1.0) for n in members]
-        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
+        for size, known in self.short.items():
+            for seen in known.keys() & set(zip(*(words[i:] for i in range(size)), strict=False)):
+                out += [(self.items[n][0], 1.0) for n in known[seen]]
+        return sorted(out, key=lambda x: (x[0] is not None, x[0]) if x[0] is not None else (False,))
 
 
 def _parts(items: DataFrame, item: str, text: str, most: int) -> list[DataFrame]:
-    size = items.agg(F.sum(F.octet_length(F.col(text)).cast("long") + 64)).first()[0] or 0
+    """The items in parts of about ``most`` bytes of text each, dealt by row, so that repeats of an item are dealt as well."""
+    own = materialise(items.select(F.col(item).alias("item"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "items")
+    size = own.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     n = -(-2 * size // most) if size > most else 1
-    own = items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
-    return [own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if size else []
+    return [own.where(F.pmod(F.xxhash64("row"), F.lit(n)) == i) for i in range(n)] if size else []
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "leaks", k: int = WORDS, threshold: float = THRESHOLD, most: int = PART_BYTES) -> DataFrame:
-    """``docs`` with ``out``, an array of structs (item, containment) of the items found in each text."""
-    kind = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("containment", T.DoubleType())]))
-    arrow = pa.list_(pa.struct([("item", pa.int64()), ("containment", pa.float64())]))
-    names, done = docs.columns, docs.withColumn(out, F.array().cast(kind))
-    for part in _parts(items, item, item_text, most):
-        held = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
-        new = fresh(done.columns, "found")
-
-        def make(held=held):
+    """``docs`` with ``out``, an array of structs (item, containment) of the items found in each text.
+
+    One part of items is one pass. With more, ``docs`` is written once with a row number, each part is a pass of its own over the texts, whose
+    tasks hold that part's index only, and what they find is joined back by row.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("item", items.schema[item].dataType), T.StructField("containment", T.DoubleType())]))
+    arrow = to_arrow_type(kind)
+    parts = _parts(items, item, item_text, most)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
+
+    def search(rows: DataFrame, part: DataFrame) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])  # at most about `most` bytes
+
+        def make():
             index = Index(held.value, k, threshold)
             return lambda texts: [pa.array([[{"item": i, "containment": s} for i, s in x] for x in index.matches(texts)], arrow)]
 
-        done = append_columns(done, text, [T.StructField(new, kind)], make).withColumn(out, F.concat(out, new)).drop(new)
-    return done.select(*names, out)
+        return append_columns(rows, text, [T.StructField(out, kind)], make)
+
+    if len(parts) < 2:
+        return search(docs, parts[0]) if parts else docs.withColumn(out, F.array().cast(kind))
+    row = fresh([*docs.columns, out], "row")
+    own = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = reduce(DataFrame.unionByName, [search(own.select(row, text), part).where(F.size(out) > 0).select(row, out) for part in parts])
+    joined = own.join(found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(out))).alias(out)), row, "left")
+    return joined.select(*docs.columns, F.coalesce(out, F.array().cast(kind)).alias(out))
 
 
 def pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -144,12 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     """Fit on at most ``sample`` labelled rows of ``docs``; rows with a null key or label take no part."""
     told = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"))
     some = told.orderBy(F.xxhash64("key"), "key", "y").limit(sample)  # at most `sample` ids and labels: small enough to send to all
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key").select("text", "y")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key").select("key", "text", "y")
 
     def make():
         return lambda texts: [pa.array([features(t) for t in texts], pa.list_(pa.float64()))]
 
-    got = append_columns(rows, "text", [T.StructField("x", T.ArrayType(T.DoubleType()))], make).select("x", "y").toPandas()
+    got = append_columns(rows, "text", [T.StructField("x", T.ArrayType(T.DoubleType()))], make).select("key", "x", "y")
+    got = got.orderBy(F.xxhash64("key"), "key", "y", "x").limit(sample).select("x", "y").toPandas()  # rows that repeat a key count towards the bound
     if not len(got):
         return Model()
     order = np.lexsort([got["y"].to_numpy(), *np.array(got["x"].tolist()).T])  # the order of rows never changes the model

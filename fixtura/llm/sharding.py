@@ -105,6 +105,7 @@ def shards(docs: DataFrame, dims: list[str], count: int = 40, key: str = "doc_id
         raise ValueError("shards need a positive count and a dimension")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), curve(docs, dims, bits).alias("hilbert"))
+    rows = materialise(rows, "curve")  # narrow, and read twice: for the ranges' sample and for the sort
     placed = ranked(rows, ["hilbert", "key", "size", "text_crc32"])
     shard = F.expr(f"cast(rank * {count} div total as int)")
     done = placed.withColumn("shard", shard).withColumn("slot", F.expr(f"rank - (cast(shard as long) * total + {count - 1}) div {count}"))
