@@ -133,7 +133,7 @@ FROM l LEFT JOIN customer c ON c.c_custkey = CAST(l.player_code AS BIGINT)""")
 def jn01_stable_codes(spark, sf_dir):
     rows = B.panel(spark, sf_dir).withColumn("element", F.col("player_code").cast("long"))
     c = B.read(spark, sf_dir, "customer")
-    coded = c.where("c_custkey % 3 <> 0")
+    coded = c.withColumn("c_custkey", F.when(F.col("c_custkey") % 3 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")))  # keys without a partner
     players = reduce(lambda a, b: a.unionByName(b), [coded.select(F.lit(s).alias("season"), F.col("c_custkey").alias("element"), (F.col("c_custkey") * 10).alias("code")) for s in ("S0", "S1", "S2")])
     return priors.stable_codes(rows, players).select("season", "GW", "fixture", "player_code")
 
@@ -429,7 +429,7 @@ def val14_totals(spark, sf_dir):
 @query(f"WITH {B.FIXTURES} SELECT count(*) AS n FROM (SELECT DISTINCT team, event FROM (SELECT team, event FROM s WHERE NOT finished GROUP BY ALL HAVING count(*) > 1))")
 def val17_double_fixtures(spark, sf_dir):
     own = live.sides(B.fixtures(spark, sf_dir).where(P.unfinished()))
-    return checks.live_board_gaps(own, B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).where("id < 20"))[0].agg(F.count(F.lit(1)).alias("n"))
+    return checks.live_board_gaps(own, B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")))[0].agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

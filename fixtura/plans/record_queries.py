@@ -24,10 +24,10 @@ def flt02_common_mask(spark, sf_dir):
     return one(forecasts(spark, sf_dir).where(P.all_finite("total_points", "total_points_r3", "minutes_r5", "total_points_l1")))
 
 
-@query(f"WITH {B.FIXTURES}, {B.PANEL} SELECT l.fixture, f.team_h_difficulty, f.team_a_difficulty FROM l LEFT JOIN f ON f.id = l.fixture AND f.event <= 15")
+@query(f"WITH {B.FIXTURES}, {B.PANEL} SELECT l.fixture, f.team_h_difficulty, f.team_a_difficulty FROM l LEFT JOIN f ON f.id = l.fixture")
 def jn02_fixture_difficulty(spark, sf_dir):
     own = B.panel(spark, sf_dir)
-    fx = B.fixtures(spark, sf_dir).where("event <= 15").join(own.select("season", F.col("fixture").alias("id")), "id")
+    fx = B.fixtures(spark, sf_dir).join(own.select("season", F.col("fixture").alias("id")), "id")
     return opponent.difficulty(own, fx, F.lit(None).cast("int")).select("fixture", "team_h_difficulty", "team_a_difficulty")
 
 
@@ -39,13 +39,13 @@ def jn03_set_piece_orders(spark, sf_dir):
     return priors.set_piece_orders(own, registry, ["penalties_order"]).select("fixture", "penalties_order")
 
 
-@query("""WITH nx AS (SELECT n_nationkey AS team, n_regionkey AS opponent FROM nation), pr AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS prior FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), cu AS (SELECT o_custkey AS k, count(*) AS minutes_l1 FROM orders GROUP BY 1)
+@query("""WITH nx AS (SELECT n_nationkey AS team, n_regionkey AS opponent FROM nation), pr AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS prior FROM orders GROUP BY 1), cu AS (SELECT o_custkey AS k, count(*) AS minutes_l1 FROM orders GROUP BY 1)
 SELECT c_custkey AS element, nx.opponent, pr.prior, cu.minutes_l1 FROM customer LEFT JOIN nx ON nx.team = c_nationkey LEFT JOIN pr ON pr.k = c_custkey LEFT JOIN cu ON cu.k = c_custkey""")
 def jn12_live_rows(spark, sf_dir):
     o = B.read(spark, sf_dir, "orders")
     elements = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("element"), F.col("c_custkey").alias("player_code"), F.col("c_nationkey").alias("team"))
     fixtures = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"), F.col("n_regionkey").alias("opponent"))
-    prior = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("player_code")).agg(F.round(F.sum("o_totalprice"), 2).alias("prior"), F.min(F.lit(-1)).cast("long").alias("minutes_l1"))
+    prior = o.groupBy(F.col("o_custkey").alias("player_code")).agg(F.round(F.sum("o_totalprice"), 2).alias("prior"), F.min(F.lit(-1)).cast("long").alias("minutes_l1"))
     current = o.groupBy(F.col("o_custkey").alias("element")).agg(F.count(F.lit(1)).alias("minutes_l1"))
     return live.live_rows(elements, fixtures, prior, current, ["minutes_l1"]).select("element", "opponent", "prior", "minutes_l1")
 
@@ -62,31 +62,32 @@ def jn16_picked(spark, sf_dir):
     picks = B.squads(spark, sf_dir).select("squad_id", F.col("id").alias("element"))
     elements = B.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("element"), F.col("p_type").alias("web_name"), F.col("p_size").alias("team"))
     teams = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("team_name"))
-    stats = B.read(spark, sf_dir, "lineitem").where("l_partkey % 3 > 0").groupBy(F.col("l_partkey").alias("element")).agg(F.count(F.lit(1)).alias("minutes"))
+    stats = B.read(spark, sf_dir, "lineitem").groupBy(F.when(F.col("l_partkey") % 3 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("element")).agg(F.count(F.lit(1)).alias("minutes"))
     return live.picked(picks, elements, teams, stats).select("squad_id", "element", "web_name", "team_name", "minutes")
 
 
-@query("""WITH s AS (SELECT DISTINCT upper(p_brand) AS name FROM part), r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS web_name FROM part WHERE p_partkey <= 60),
+@query("""WITH s AS (SELECT DISTINCT upper(CASE WHEN p_size > 25 THEN p_name || ' ' || p_partkey ELSE p_brand END) AS name FROM part), r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name || ' ' || p_partkey END AS web_name FROM part),
 j AS (SELECT name, count(r.id) AS n, min(r.id) AS id FROM s LEFT JOIN r ON lower(r.web_name) = lower(s.name) GROUP BY 1) SELECT name, id FROM j WHERE n = 1""")
 def jn17_unique_names(spark, sf_dir):
     part = B.read(spark, sf_dir, "part")
-    saved = part.select(F.upper("p_brand").alias("name")).distinct()
-    registry = part.where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("web_name"))
+    own = F.concat_ws(" ", "p_name", "p_partkey")
+    saved = part.select(F.upper(F.when(F.col("p_size") > 25, own).otherwise(F.col("p_brand"))).alias("name")).distinct()
+    registry = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(own).alias("web_name"))
     return checks.unique_names(saved, registry)[0].select("name", "id")
 
 
-@query("""WITH r AS (SELECT p_brand, min(p_size) AS v FROM part WHERE p_partkey > 20 GROUP BY 1), b AS (SELECT p_brand, p_size FROM part WHERE p_partkey <= 20)
-SELECT 'name has no match' AS rule, count(*) AS n FROM b WHERE p_brand NOT IN (SELECT p_brand FROM r) HAVING count(*) > 0 UNION ALL SELECT 'value differs', count(*) FROM b JOIN r USING (p_brand) WHERE p_size <> v HAVING count(*) > 0""")
+@query("""WITH r AS (SELECT p_name, min(p_size) AS v FROM part WHERE p_size > 10 GROUP BY 1), b AS (SELECT p_name, p_size FROM part)
+SELECT 'name has no match' AS rule, count(*) AS n FROM b WHERE p_name NOT IN (SELECT p_name FROM r) HAVING count(*) > 0 UNION ALL SELECT 'value differs', count(*) FROM b JOIN r USING (p_name) WHERE p_size <> v HAVING count(*) > 0""")
 def val09_name_values(spark, sf_dir):
     part = B.read(spark, sf_dir, "part")
-    own = checks.bad_names(part.where("p_partkey <= 20"), part.where("p_partkey > 20").select("p_brand", "p_size"), "p_brand", "p_size")
+    own = checks.bad_names(part, part.where("p_size > 10").select("p_name", "p_size"), "p_name", "p_size")
     return checks.violations(own).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {B.FIXTURES} SELECT e.event_id AS fixture, CASE WHEN e.event_id % 2 = 0 THEN f.team_h ELSE f.team_a END AS team, CASE WHEN e.event_id % 2 = 0 THEN f.team_a ELSE f.team_h END AS opponent, c_custkey AS el_id FROM events e LEFT JOIN f ON f.id = e.event_id AND f.finished LEFT JOIN customer ON c_custkey = e.user_id AND c_custkey % 5 > 0")
 def jn19_history_meta(spark, sf_dir):
     rows = B.read(spark, sf_dir, "events").select(F.col("event_id").alias("fixture"), F.col("user_id").alias("element"), (F.col("event_id") % 2 == 0).alias("was_home"))
-    elements = B.read(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("id"))
+    elements = B.read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 5 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("id"))
     return live.history_with_meta(rows, B.fixtures(spark, sf_dir).where("finished"), elements).select("fixture", "team", "opponent", "el_id")
 
 
@@ -186,12 +187,14 @@ def val21_public_record(spark, sf_dir):
     return one(checks.public_record(B.read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])[0])
 
 
-@query(f"WITH {B.PANEL} SELECT name FROM (VALUES ('minutes_l1'), ('minutes_r3'), ('minutes_r5'), ('was_home')) t(name) WHERE (SELECT count(*) FROM l) > 0")
+@query(f"WITH {LAGS} SELECT unnest(['minutes_l1', 'minutes_r3', 'minutes_r5', 'was_home']) AS name, unnest([count(minutes_l1), count(minutes_r3), count(minutes_r5), count(was_home)]) AS known FROM g")
 def scl19_feature_names(spark, sf_dir):
+    """The allowed features, each with the rows that know it."""
     own = lags.add_lags(B.panel(spark, sf_dir), ["minutes"])
     names = S.feature_names(own, {"minutes", "total_points", "k"}, {"was_home", "total_points"})
     checks.forbid_columns(names, ["minutes", "total_points"])  # VAL-18
-    return own.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
+    known = own.agg(*[F.count(n).alias(n) for n in names])
+    return known.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("known")) for n in names])).alias("x")).select("x.name", "x.known")
 
 
 @query(f'WITH {LAGS} SELECT fixture, round(abs(total_points - total_points_r3) - abs(total_points - total_points_r5), 6) AS edge FROM g WHERE total_points_r3 IS NOT NULL')

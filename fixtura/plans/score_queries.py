@@ -445,7 +445,7 @@ def ln04_xi_value(spark, sf_dir):
 
 ONE = f"""{B.SQUADS}, hold AS (SELECT squad_id, sum(points) FILTER (is_xi) + max(points) FILTER (is_xi) AS v FROM xi GROUP BY 1),
 cand AS (SELECT o.squad_id, o.id AS out_id, i.id AS in_id, i.points AS in_points, i.position, i.club FROM sq o JOIN b i ON i.position = o.position AND i.cost <= o.cost + o.squad_id % 30 AND i.id <> o.id
- WHERE NOT (i.status = 'i' OR coalesce(i.chance < 75, false)) AND o.squad_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM sq x WHERE x.squad_id = o.squad_id AND x.id = i.id)),
+ WHERE NOT (i.status = 'i' OR coalesce(i.chance < 75, false)) AND NOT EXISTS (SELECT 1 FROM sq x WHERE x.squad_id = o.squad_id AND x.id = i.id)),
 ok AS (SELECT c.* FROM cand c LEFT JOIN sq x ON x.squad_id = c.squad_id AND x.id <> c.out_id AND x.club = c.club GROUP BY ALL HAVING count(x.id) < 3),
 nw AS (SELECT squad_id, out_id, in_id, x.position, x.points, x.id FROM ok JOIN sq x USING (squad_id) WHERE x.id <> out_id UNION ALL SELECT squad_id, out_id, in_id, position, in_points, in_id FROM ok),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY squad_id, out_id, in_id, position ORDER BY points DESC, id) AS rk, CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 3 WHEN 'MID' THEN 2 ELSE 1 END AS lo, CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 5 WHEN 'MID' THEN 5 ELSE 3 END AS hi FROM nw),
@@ -456,8 +456,8 @@ gn AS (SELECT vl.*, round(value - v, 6) AS gain, row_number() OVER (PARTITION BY
 
 @query(f"WITH {ONE} SELECT squad_id, rank, gain FROM gn WHERE rank <= 5", cast={"rank": "INTEGER"})
 def ln05_one_transfer(spark, sf_dir):
-    """The tenth of the squads that the SQL twin searches."""
-    return ln05_every_squad(spark, sf_dir).where("squad_id % 10 = 0")
+    """The best transfers of every squad."""
+    return ln05_every_squad(spark, sf_dir)
 
 
 @query()
