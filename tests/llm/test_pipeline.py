@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 
@@ -40,8 +41,9 @@ def test_each_stage_against_brute_force(spark):
             assert set(after) == set(before)
             for i, r in after.items():
                 assert not plain(r["text"]) and r["n_chars"] == len(r["text"])
-                if not plain(before[i]["text"]):
-                    assert r == before[i]
+                if not plain(before[i]["text"]):  # then nothing but credentials goes
+                    text = re.sub('(?i)(token = ")[0-9a-f]{40}(?=")', r"\1[SECRET]", before[i]["text"])
+                    assert r == before[i] | {"text": text, "n_chars": len(text)}
     import public_tokenizers as P
     import tiktoken
 
