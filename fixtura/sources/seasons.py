@@ -57,9 +57,10 @@ def panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def boards(spark: SparkSession, folder: str) -> DataFrame:
-    """All board files of a folder with the event of their name and the time they were last written."""
+    """All boards of a folder, single files or folders of part files, with the event of their name and the time they were last written."""
     raw = spark.read.option("header", True).csv(f"{folder}/*.csv")
-    return raw.withColumns({"board_gw": F.regexp_extract("_metadata.file_name", r"gw([0-9]+)", 1).try_cast("int"), "board_file": F.col("_metadata.file_name"), "board_time": F.col("_metadata.file_modification_time")})
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+\.csv)(/[^/]+)?$", 1)
+    return raw.withColumns({"board_gw": F.regexp_extract(name, r"gw([0-9]+)", 1).try_cast("int"), "board_file": name, "board_time": F.col("_metadata.file_modification_time")})
 
 
 def select_board(found: DataFrame, gw: int | None = None) -> DataFrame:

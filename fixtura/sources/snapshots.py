@@ -28,9 +28,9 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def player_histories(spark: SparkSession, folder: str) -> DataFrame:
-    """One file a player, named by element: its rows with `file_element`, whether or not they say the same element."""
-    raw = _json(spark, f"{folder}/*.json", f"history {HISTORY}")
-    at = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)", 1).try_cast("int")
+    """One file a player, named by element or in a folder `element=`: its rows with `file_element`, whether or not they say the same element."""
+    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema(f"history {HISTORY}").json(folder)
+    at = F.regexp_extract(F.regexp_extract("_metadata.file_path", r"(element=[0-9]+/)?[^/]+$", 0), r"([0-9]+)", 1).try_cast("int")
     return raw.select(at.alias("file_element"), F.inline_outer("history"))
 
 
