@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,8 @@ KEEPERS = ("GK", "GKP")
 PLAY_KNOTS = ((0.0, 0.0), (10.0, 0.28), (22.0, 0.53), (38.0, 0.73), (52.0, 0.84), (65.0, 0.88), (75.0, 0.93), (82.0, 0.94), (88.0, 0.97))
 # Points for one unit of each statistic.
 PPR_WEIGHTS = {"passing_yards": 1 / 25, "passing_tds": 4.0, "interceptions": -2.0, "rushing_yards": 1 / 10, "rushing_tds": 6.0, "receptions": 1.0, "receiving_yards": 1 / 10, "receiving_tds": 6.0, "fumbles_lost": -2.0}
-# Latin-1 letters and their plain forms.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Letters of the Latin blocks, and of the ligatures, whose compatibility decomposition has a plain form.
+_PLAIN = {c: p for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]) if (p := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
 
 
 def col(c: Column | str) -> Column:
@@ -200,7 +201,13 @@ def unscaled(p: Column, scale: Column) -> Column:
 
 
 def slug(name: Column | str) -> Column:
-    plain = F.lower(F.translate(col(name), _ACCENTED, _PLAIN))
+    """Plain lower-case letters and digits, joined by hyphens; letters without a plain form go."""
+    single = {c: p for c, p in _PLAIN.items() if len(p) == 1}
+    plain = F.translate(col(name), "".join(single), "".join(single.values()))
+    for c, p in _PLAIN.items():
+        if len(p) > 1:
+            plain = F.replace(plain, F.lit(c), F.lit(p))
+    plain = F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

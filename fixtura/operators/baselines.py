@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixtura.operators.metrics import quantiles
+
 
 def ewma(history: DataFrame, value: str = "points", player: str = "player_id", order: tuple[str, ...] = ("season", "week"), span: int = 4, last: int = 4) -> DataFrame:
     """Exponential mean of the last values, without adjustment: weight a(1-a)**(r-1) for the r-th newest, the oldest takes the rest. One aggregate."""
@@ -17,8 +19,8 @@ def ewma(history: DataFrame, value: str = "points", player: str = "player_id", o
 
 
 def group_median(history: DataFrame, value: str = "points", by: str = "position") -> DataFrame:
-    """Exact median."""
-    return history.groupBy(by).agg(F.percentile(value, 0.5).alias("median"))
+    """Exact median; rows without a group take no part."""
+    return quantiles(history, value, [0.5], [by]).select(by, F.col("q")[0].alias("median"))
 
 
 def games(history: DataFrame, player: str = "player_id") -> DataFrame:

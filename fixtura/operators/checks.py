@@ -49,7 +49,7 @@ def forbid_columns(columns: Sequence[str], banned: Sequence[str]) -> None:
         raise CheckFailed(f"banned columns in features: {', '.join(bad)}")
 
 
-def duplicate_keys(df: DataFrame, key: Sequence[str], rule: str = "duplicate fixture keys") -> DataFrame:
+def duplicate_keys(df: DataFrame, key: Sequence[str], rule: str = "a key occurs more than once") -> DataFrame:
     return _said(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rule, key, F.col("n"))
 
 
@@ -58,7 +58,7 @@ def many_to_one(build: DataFrame, key: Sequence[str], rule: str = "join is not m
     return duplicate_keys(build, key, rule)
 
 
-def conflicting_duplicates(df: DataFrame, key: Sequence[str], rule: str = "conflicting duplicate player-fixture") -> DataFrame:
+def conflicting_duplicates(df: DataFrame, key: Sequence[str], rule: str = "rows of one key differ") -> DataFrame:
     """Keys with rows that differ anywhere; NULLs equal each other, and so do NaNs. Only a hash of each row is shuffled."""
     rest = [c for c in df.columns if c not in key]
     whole = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"})) if rest else F.lit(0)

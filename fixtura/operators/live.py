@@ -126,8 +126,8 @@ def latest_record(records: DataFrame) -> DataFrame:
 
 
 def unique_slugs(teams: DataFrame, slug: Column) -> DataFrame:
-    """Slugs; all but the first of equal ones get `-id`."""
-    own = teams.withColumn("slug", slug)
+    """Slugs; one without letters is `team-id`, and all but the first of equal ones get `-id`."""
+    own = teams.withColumn("slug", F.coalesce(F.nullif(slug, F.lit("")), F.concat(F.lit("team-"), F.col("id").cast("string"))))
     n = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
     return own.withColumn("__n", n).withColumn("slug", F.when(F.col("__n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("id").cast("string")))).drop("__n")
 

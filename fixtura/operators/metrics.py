@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def holdout(df: DataFrame, actual: str, forecasts: Sequence[str], gated: str | N
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the curve, ties half; NULL with one class. Rows become one a distinct score before anything is ordered.
 
-    The running count over distinct scores is two-level: by window inside ranges of equal width, plus the sums of earlier ranges, so
+    The running count over distinct scores is two-level: by window inside ranges of about as many values, plus the sums of earlier ranges, so
     no task orders more than one range.
     """
     own = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
@@ -41,20 +42,38 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return part.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n")).select((F.col("a") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], buckets: int = 1024) -> DataFrame:
-    """``df`` with sums over all rows of a smaller ``order`` value (distinct in df): within buckets by window, plus earlier buckets."""
-    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    placed = df.crossJoin(F.broadcast(ends))  # one row on the right
-    at = F.coalesce(F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * buckets).cast("int")), F.lit(0))
-    placed = placed.withColumn("__b", at).drop("__lo", "__hi")
-    few = placed.groupBy("__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    offset = few.select("__b", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__o_{c}") for c in sums])
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(offset), "__b")
+def running(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+    """``df`` with sums over all rows of a smaller ``order`` value (distinct in df, or in each group of ``by``): in buckets by window, plus the buckets before.
+
+    Buckets are cut at approximate quantiles of the values, found in a first pass, so that outliers and crowded ranges don't fill one; only
+    the cuts reach the driver, and any cuts give the same sums. Rows without a group or value take no part.
+    """
+    own = df.where(" and ".join(f"`{c}` is not null" for c in (*by, order)))
+    cuts = sorted(set(own.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    if cuts:
+        placed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=order, outputCol="__b", handleInvalid="keep").transform(own)
+    else:
+        placed = own.withColumn("__b", F.lit(0.0))
+    few = placed.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    offset = few.select(*by, "__b", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__o_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(offset if by else F.broadcast(offset), [*by, "__b"])
     return out.withColumns({name: F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c, name in sums.items()}).drop("__b", *[f"__o_{c}" for c in sums])
 
 
+def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles, by linear interpolation, as an array `q` for each group (one row without groups), from counts of the distinct values: no task gathers a group's values."""
+    each = df.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("__n")).where(F.col("__v").isNotNull())
+    total = each.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    part = running(each, "__v", {"__n": "__below"}, by)
+    told = part.join(total, list(by)) if by else part.crossJoin(F.broadcast(total))  # one row on the right
+    place = [q * (F.col("__total") - 1) for q in at]
+    under = lambda p: F.max(F.when(F.col("__below") <= p, F.col("__v")))
+    ends = told.groupBy(*by).agg(*[x for i, p in enumerate(place) for x in (under(F.floor(p)).alias(f"__a{i}"), under(F.ceil(p)).alias(f"__b{i}"), F.max(p - F.floor(p)).alias(f"__f{i}"))])
+    return ends.select(*by, F.array(*[F.col(f"__a{i}") + F.col(f"__f{i}") * (F.col(f"__b{i}") - F.col(f"__a{i}")) for i in range(len(at))]).alias("q"))
+
+
 def log_loss(df: DataFrame, label: str, p: str) -> DataFrame:
     q = clip_probability(p)
     return df.where(all_finite(label, p)).agg(F.avg(-(F.col(label) * F.log(q) + (1 - F.col(label)) * F.log(1 - q))).alias("log_loss"), F.avg((q - F.col(label)) * (q - F.col(label))).alias("brier"), F.count(F.lit(1)).alias("n"))
@@ -90,8 +109,10 @@ def frozen(df: DataFrame, actual: str, forecasts: Sequence[str], did_play: str =
     six = lambda c: F.round(c, 6)
     out = [F.count(F.lit(1)).alias("n_frozen"), F.count_if(F.col(did_play).cast("int") == 1).alias("n_played"), F.count_if(F.coalesce(F.col(did_play).cast("int"), F.lit(0)) == 0).alias("n_dnp")]
     for f in forecasts:
-        out += [six(mean_error(actual, f)).alias(f"mae_{f}"), six(F.sqrt(F.avg(squared_error(actual, f)))).alias(f"rmse_{f}"), six(F.percentile(absolute_error(actual, f), 0.5)).alias(f"median_ae_{f}")]
-    return df.agg(*out)
+        out += [six(mean_error(actual, f)).alias(f"mae_{f}"), six(F.sqrt(F.avg(squared_error(actual, f)))).alias(f"rmse_{f}")]
+    errors = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("__of"), absolute_error(actual, f).alias("__e")) for f in forecasts])))
+    medians = quantiles(errors, "__e", [0.5], ["__of"]).agg(*[six(F.max(F.when(F.col("__of") == f, F.col("q")[0]))).alias(f"median_ae_{f}") for f in forecasts])
+    return df.agg(*out).crossJoin(F.broadcast(medians))  # one row on either side
 
 
 def slices(df: DataFrame, actual: str, forecasts: Sequence[str], minutes: str = "minutes", haul: float = 5) -> DataFrame:
@@ -105,7 +126,7 @@ def slices(df: DataFrame, actual: str, forecasts: Sequence[str], minutes: str =
 def reliability(df: DataFrame, label: str, p: str, bins: int = 10) -> DataFrame:
     """Equal-frequency bins, right-closed, repeated edges dropped; equal width if fewer than two edges remain."""
     own = df.where(all_finite(label, p)).select(F.col(label).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
-    ends = own.agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("e"))
+    ends = quantiles(own, "p", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("e"))
     width = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: i / F.lit(float(bins)))
     ends = ends.select(F.when(F.size("e") > 2, F.col("e")).otherwise(width).alias("e"))
     told = own.crossJoin(F.broadcast(ends))  # one row on the right

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fixtura.functions.scalars import finite
 from fixtura.operators.intervals import nudge, shift
-from fixtura.operators.metrics import log_loss
+from fixtura.operators.metrics import log_loss, quantiles
 
 SEED = 42
 
@@ -53,7 +53,7 @@ def leaf_quantiles(train: DataFrame, score: DataFrame, features: Sequence[str],
     """``score`` with q_low and q_high: exact quantiles of the labels in the leaf that a row falls in."""
     tree = DecisionTreeRegressor(labelCol="label", featuresCol="features", maxDepth=depth, minInstancesPerNode=50, leafCol="leaf", seed=SEED)
     model = fit(tree, train, features, label)
-    own = model.transform(assembled(train.where(finite(label)), features)).groupBy("leaf").agg(F.percentile(F.col(label).cast("double"), F.array(F.lit(low), F.lit(high))).alias("__q"))
+    own = quantiles(model.transform(assembled(train.where(finite(label)), features)), label, [low, high], ["leaf"]).withColumnRenamed("q", "__q")
     done = model.transform(assembled(score, features)).join(F.broadcast(own), "leaf", "left")  # one row a leaf: 2**depth at most
     return done.withColumns({"q_low": F.col("__q")[0], "q_high": F.col("__q")[1]}).drop("features", "prediction", "leaf", "__q")
 
@@ -140,7 +140,7 @@ def stratified_sample(df: DataFrame, n: int, key: Sequence[str], minutes: str =
     stratum = F.when((F.col(minutes) > 0) & (F.col(points) >= 5), "haul").when(F.col(minutes) > 0, "played").otherwise("blank")
     haul = max(min(64, n), n // 5)
     quota = {"haul": haul, "played": max(0, min(n // 2, n - haul)), "blank": max(0, n - haul - n // 2)}
-    h = F.xxhash64(F.lit(seed), *key)
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
     own = df.withColumn("stratum", stratum)
     parts = [own.where(F.col("stratum") == s).orderBy(h, *key).limit(q) for s, q in quota.items()]  # a top-k each: no window over a stratum
     return reduce(DataFrame.unionByName, parts)

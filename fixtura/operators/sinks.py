@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fixtura.operators.checks import CheckFailed, duplicate_keys, enforce, require_columns
 
+# The splits and their seasons.
 SPLITS = {"train": ("2021-22", "2022-23", "2023-24", "2024-25"), "validation": ("2025-26",)}
 
 
@@ -118,17 +119,21 @@ def canonical(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFra
 
 
 def canonical_hash(df: DataFrame, columns: Sequence[str], order: Sequence[str], part_rows: int = 10_000, places: int = 6) -> DataFrame:
-    """SHA-256 of the canonical rows in two levels: (rows, sha256).
+    """SHA-256 of the canonical rows in levels: (rows, sha256).
 
-    Rows are dealt into parts of about ``part_rows`` by a hash of the key, ordered by key inside their part and hashed; then the parts' hashes
-    are, in their order. The same rows give the same hash in any partitioning, and no task gathers more than a part.
+    Rows are dealt into parts of about ``part_rows`` by a hash of the key, ordered by key inside their part and hashed; then the hashes of each
+    ``part_rows`` neighbouring parts are, in their order, and so on. The same rows give the same hash in any partitioning, and no task
+    gathers more than about ``part_rows`` lines (three levels of parts: up to ``part_rows`` to the fourth rows).
     """
     text = canonical(df, [*dict.fromkeys([*order, *columns])], places)
     line = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x00")) for c in columns]), 256)
     parts = F.broadcast(df.agg((F.floor(F.count(F.lit(1)) / part_rows) + 1).alias("parts")))  # one row
     dealt = text.select(F.struct(*order).alias("k"), line.alias("h"), F.xxhash64(*order).alias("at")).crossJoin(parts).withColumn("part", F.pmod("at", "parts"))
-    hashed = dealt.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return hashed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
+    together = lambda k: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda x: x["h"]), "\n"), 256).alias("h")
+    hashed = dealt.groupBy("part").agg(together("k"), F.count(F.lit(1)).alias("n"))
+    for _ in range(2):
+        hashed = hashed.withColumn("above", F.floor(F.col("part") / part_rows)).groupBy("above").agg(together("part"), F.sum("n").alias("n")).withColumnRenamed("above", "part")
+    return hashed.agg(together("part"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select("rows", F.col("h").alias("sha256"))
 
 
 def evidence_manifest(spark: SparkSession, inputs: Sequence[str], artifacts: dict[str, DataFrame], policy: str) -> DataFrame:

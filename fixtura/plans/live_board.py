@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fixtura.functions.scalars import availability, blended_minutes, minutes_lift, published
 
+# The board's columns in their order.
 COLUMNS = ("id", "player_code", "web_name", "position", "team_name", "opponent_name", "was_home", "fdr", "now_cost", "selected_by_percent", "status", "chance_of_playing_next_round", "news", "ep_next", "pred_minutes", "pred_defcon", "pred_points", "pred_points_decomposed", "e_points_final", "pred_points_p10", "pred_points_p90", "e_points_p90", "event")
 
 

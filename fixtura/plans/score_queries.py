@@ -110,10 +110,13 @@ def scl20_position_name(spark, sf_dir):
     return B.read(spark, sf_dir, "part").select("p_partkey", S.position_name(F.col("p_size") % 6).alias("position"))
 
 
-@query("""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' É' || CAST(p_size % 3 AS VARCHAR)), 'é', 'e', 'g'), '[^a-z0-9]+', '-', 'g') AS slug FROM part)
-SELECT p_partkey AS id, CASE WHEN row_number() OVER (PARTITION BY regexp_replace(slug, '^-+|-+$', '', 'g') ORDER BY p_partkey) = 1 THEN regexp_replace(slug, '^-+|-+$', '', 'g') ELSE regexp_replace(slug, '^-+|-+$', '', 'g') || '-' || CAST(p_partkey AS VARCHAR) END AS slug FROM s""")
+@query(r"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'Ω' ELSE p_name || ' ŠeškoÉ' || CAST(p_size % 3 AS VARCHAR) END AS name FROM part),
+t AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^\x00-\x7F]+', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS x FROM s),
+u AS (SELECT p_partkey, CASE WHEN x = '' THEN 'team-' || CAST(p_partkey AS VARCHAR) ELSE x END AS slug FROM t)
+SELECT p_partkey AS id, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY p_partkey) = 1 THEN slug ELSE slug || '-' || CAST(p_partkey AS VARCHAR) END AS slug FROM u""")
 def scl24_slugs(spark, sf_dir):
-    own = B.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" É"), (F.col("p_size") % 3).cast("string")).alias("name"))
+    k = F.col("p_partkey")
+    own = B.read(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 10 == 0, "Ω").otherwise(F.concat("p_name", F.lit(" ŠeškoÉ"), (F.col("p_size") % 3).cast("string"))).alias("name"))
     return live.unique_slugs(own, S.slug("name")).select("id", "slug")
 
 
@@ -403,7 +406,9 @@ def ml10_last_five(spark, sf_dir):
     return models.last_five(forecasts(spark, sf_dir)).select("fixture", six("baseline_last5"))
 
 
-@query()
+@query(f"""WITH {B.PANEL}, t AS (SELECT season, "GW", player_code, fixture, CASE WHEN minutes > 0 AND total_points >= 5 THEN 'haul' WHEN minutes > 0 THEN 'played' ELSE 'blank' END AS stratum FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', '42', season, "GW", player_code, fixture)), season, "GW", player_code, fixture) AS n FROM t)
+SELECT season, "GW", player_code, fixture, stratum FROM r WHERE n <= CASE stratum WHEN 'haul' THEN 102 WHEN 'played' THEN 256 ELSE 154 END""")
 def ml12_stratified_sample(spark, sf_dir):
     return models.stratified_sample(B.panel(spark, sf_dir), 512, KEY).select(*KEY, "stratum")
 

@@ -80,6 +80,7 @@ def test_free_transfers(spark, limit, made, left):
 
 def test_small_text_expressions(spark):
     assert one(spark, S.slug("n"), n="  Éa -- Ñb! ") == "ea-nb"
+    assert one(spark, S.slug("n"), n="Šeško Ǆ Øl ﬁn") == "sesko-dz-l-fin" and one(spark, S.slug("n"), n="Ω") == ""
     assert one(spark, S.fixture_text("h", "o"), h=False, o="X") == "@ X"
     assert one(spark, S.event_status("f", "d", "c"), f=True, d=False, c=False) == "review"
     assert one(spark, S.position_name("p"), p=3) == "MID" and one(spark, S.position_name("p"), p=9) is None

@@ -167,3 +167,18 @@ def test_heads_and_their_keeping(spark, tmp_path):
     assert oof.count() == 600 and metrics.auc(oof, "c", "oof").first()["auc"] > 0.9
     models.save_calibrator(models.Calibrator("platt", slope=2.0, offset=1.0), spark, f"{tmp_path}/cal")
     assert models.load_calibrator(spark, f"{tmp_path}/cal").slope == 2.0
+
+
+def test_quantiles_are_exact_for_crowded_values_and_outliers(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [("a", 0.0)] * 300 + [("a", rng.gauss(0, 1)) for _ in range(700)] + [("b", 10.0 ** rng.uniform(-9, 9)) for _ in range(501)] + [("b", None), (None, 1.0), ("c", None)]
+    df = frame(spark, rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["q"] for r in metrics.quantiles(df, "v", [0.0, 0.1, 0.5, 0.9, 1.0], ["g"]).collect()}
+    assert set(got) == {"a", "b"}
+    for g, q in got.items():
+        assert q == pytest.approx(list(np.percentile([v for x, v in rows if x == g and v is not None], [0, 10, 50, 90, 100])), rel=1e-9, abs=1e-12)
+    whole = metrics.quantiles(df, "v", [0.25]).first()["q"]
+    assert whole == pytest.approx([float(np.percentile([v for _, v in rows if v is not None], 25))], abs=1e-12)
+    assert metrics.quantiles(df.where("false"), "v", [0.5]).collect()[0]["q"] == [None] and metrics.quantiles(df.where("g = 'c'"), "v", [0.5], ["g"]).count() == 0

@@ -28,6 +28,9 @@ def test_content_hash_ignores_order_and_partitions(spark):
     one, two = sinks.content_hash(df).first(), sinks.content_hash(df.repartition(7).orderBy(F.desc("id"))).first()
     assert one == two and sinks.content_hash(df.withColumn("x", F.col("x") + (F.col("id") == 5).cast("int"))).first() != one
     text = lambda d: sinks.canonical_hash(d, ["id", "x"], ["id"]).first()
+    small = lambda d: sinks.canonical_hash(d, ["id", "x"], ["id"], part_rows=20).first()  # noqa: E731  (many parts, several levels)
+    assert small(df) == small(df.repartition(3)) and small(df)["rows"] == 1000 and small(df) != small(df.where("id <> 7"))
+    assert sinks.canonical_hash(df.where("false"), ["id", "x"], ["id"]).first()["rows"] == 0
     assert text(df) == text(df.repartition(5)) and text(df)["rows"] == 1000 and text(df) != text(df.where("id > 0"))
 
 
@@ -43,7 +46,7 @@ def test_board_is_frozen_after_its_deadline(spark, tmp_path):
 
 def test_predictions_need_unique_keys(spark, tmp_path):
     df = rows(spark, event(1, 1), event(1, 1))
-    with pytest.raises(checks.CheckFailed, match="duplicate fixture keys"):
+    with pytest.raises(checks.CheckFailed, match="a key occurs more than once"):
         sinks.write_predictions(df, f"{tmp_path}/p", ["season", "minutes"])
     with pytest.raises(checks.CheckFailed, match="missing required columns: nope"):
         sinks.write_predictions(df, f"{tmp_path}/p", ["nope"])
