@@ -28,8 +28,10 @@ def label_holdout(label: str, forecast: str, event: int = 28) -> Column:
     return finite(label) & finite(forecast) & (F.upper("position") != "GK") & (F.col("GW") > event) & played("minutes")
 
 
-def label_training(label: str, seasons_: list[str], event: int = 28) -> Column:
-    return F.col("season").isin(*seasons_) & (F.upper("position") != "GK") & played("minutes") & F.col(label).isNotNull() & (F.col("GW") <= event)
+def label_training(label: str, seasons_: list[str], event: int | None = 28) -> Column:
+    """Rows that the label's head is fitted on: up to ``event`` for the holdout head, without one all, for the live head."""
+    rows = F.col("season").isin(*seasons_) & (F.upper("position") != "GK") & played("minutes") & F.col(label).isNotNull()
+    return rows if event is None else rows & (F.col("GW") <= event)
 
 
 def admissible(event: str, target: Column, kickoff: str, captured: list[Column]) -> Column:

@@ -14,7 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixtura.functions.scalars import finite
+from fixtura.functions.scalars import availability, blended_minutes, clip, finite, interval_columns, minutes_lift
 from fixtura.operators.intervals import nudge, shift
 from fixtura.operators.metrics import log_loss, quantiles
 
@@ -189,6 +189,21 @@ def attach_quantiles(board: DataFrame, quantiles: DataFrame, key: str = "id") ->
     return board.join(quantiles.select(key, "q_low", "q_high"), key, "left")
 
 
+def lifted_quantiles(board: DataFrame, live: DataFrame, shift_low: float, shift_high: float, key: str = "id") -> DataFrame:
+    """An existing board with fresh interval columns, its heads kept.
+
+    ``live`` has, by key, the raw quantiles q_low and q_high, the minutes head and what tells a regular starter; lift and availability are
+    computed again from them, and the upper score from the board's own minutes and label. Without quantiles the board stays as it is.
+    """
+    if not {"q_low", "q_high"} <= set(live.columns):
+        return board
+    c, raw = F.col, clip("head_minutes", 0.0, 90.0)
+    lift = minutes_lift(blended_minutes(raw, c("status"), c("prior_starts"), c("prior_games"), c("starts_l1"), c("prior_minutes_pg")), raw)
+    told = live.select(key, "q_low", "q_high", lift.alias("__lift"), availability("status", "chance").alias("__scale"))
+    made = interval_columns(c("q_low"), c("q_high"), shift_low, shift_high, c("__lift"), c("__scale"), c("pred_minutes"), c("pred_defcon"))
+    return board.drop(*made).join(told, key, "left").withColumns(made).drop("q_low", "q_high", "__lift", "__scale")
+
+
 def recalibrate(stored: DataFrame, found: Calibrator, p: str = "pred_defcon", scale: str = "scale") -> DataFrame:
     """Stored forecasts through another calibrator, without refitting a head."""
     s = F.col(scale)

@@ -10,9 +10,10 @@ from fixtura.functions import predicates as P
 from fixtura.functions import scalars as S
 from fixtura.operators import baselines, checks, lags, lineup, live, metrics, models, opponent, priors, sinks
 from fixtura.plans import bindings as B
+from fixtura.plans.live_board import publish
 from fixtura.plans.panel_queries import LAGS, TEAMS, event_table, panel
 from fixtura.plans.registry import query, six
-from fixtura.plans.score_queries import EWMA, FEATURES, FROZEN, HISTORY, KEY, forecasts, frozen_rows, history
+from fixtura.plans.score_queries import BLEND, EWMA, FEATURES, FROZEN, HISTORY, KEY, SCALE, forecasts, frozen_rows, history
 
 
 def one(df):
@@ -237,6 +238,16 @@ def ml16_attached_quantiles(spark, sf_dir):
     return models.attach_quantiles(board, q)
 
 
+@query(f"""WITH {B.BOARD}, {BLEND}, sc AS (SELECT *, {SCALE} AS scale, CASE WHEN raw = 0 THEN 1.0 ELSE least(2.0, greatest(0.5, blend / raw)) END AS lift FROM bm),
+pb AS (SELECT *, blend * scale AS pm, CASE WHEN position = 'GK' THEN 0.0 ELSE head_defcon * scale END AS pd, (head_points - 1.25) * lift * scale AS lo, (head_points + 2.25) * lift * scale AS hi FROM sc)
+SELECT id, round(lo, 6) + 0.0 AS pred_points_p10, round(hi, 6) + 0.0 AS pred_points_p90, round(hi * least(1.0, greatest(0.0, pm / 90)) + 2 * pd, 6) AS e_points_p90 FROM pb""")
+def ml16_lifted_quantiles(spark, sf_dir):
+    own = B.board(spark, sf_dir)
+    live = own.withColumns({"q_low": F.col("head_points") - 1, "q_high": F.col("head_points") + 2})
+    board = publish(own.withColumnRenamed("chance", "chance_of_playing_next_round")).select("id", "pred_minutes", "pred_defcon")
+    return models.lifted_quantiles(board, live, -0.25, 0.25).select("id", six("pred_points_p10"), six("pred_points_p90"), six("e_points_p90"))
+
+
 @query()
 def ml15_refit_quantiles(spark, sf_dir):
     own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))

@@ -367,6 +367,22 @@ def ml02_gbt_label(spark, sf_dir):
     return models.predict(models.fit(models.classifier(10), train, FEATURES, "defcon_hit"), own.where("season = 'S2'"), FEATURES, "pred_defcon").select(*KEY, "pred_defcon")
 
 
+@query()
+def ml02_live_label(spark, sf_dir):
+    """The live head: fitted on all labelled rows of its seasons, those after the holdout's cut included."""
+    own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))
+    train = own.where(P.label_training("defcon_hit", ["S0", "S1"], None))
+    return models.predict(models.fit(models.classifier(10), train, FEATURES, "defcon_hit"), own.where("season = 'S2'"), FEATURES, "pred_defcon").select(*KEY, "pred_defcon")
+
+
+@query(f"""WITH {B.PANEL}, t AS (SELECT * FROM l WHERE season IN ('S0', 'S1') AND position <> 'GK' AND minutes > 0 AND defcon_hit IS NOT NULL)
+SELECT count(*) FILTER ("GW" <= 9) AS holdout, count(*) AS live FROM t""")
+def ml02_training_rows(spark, sf_dir):
+    """Rows that the holdout head and the live head are fitted on."""
+    own = forecasts(spark, sf_dir)
+    return own.agg(*[F.count_if(P.label_training("defcon_hit", ["S0", "S1"], cut)).alias(name) for name, cut in (("holdout", 9), ("live", None))])
+
+
 @query()
 def ml03_leaf_quantiles(spark, sf_dir):
     own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))

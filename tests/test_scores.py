@@ -162,6 +162,12 @@ def test_heads_and_their_keeping(spark, tmp_path):
     assert models.importances(head, ["a", "b"], spark, 1).first()["feature"] == "a"
     q = models.leaf_quantiles(df, df, ["a", "b"], "y")
     assert 0.7 < metrics.coverage(q, "y", "q_low", "q_high").first()["coverage"] <= 0.95
+    fields = "id int, head_minutes double, status string, chance double, prior_starts double, prior_games double, starts_l1 double, prior_minutes_pg double, q_low double, q_high double"
+    lives = frame(spark, [(1, 45.0, "a", None, 30.0, 38.0, 1.0, 80.0, 1.0, 5.0), (2, 45.0, "i", 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.0)], fields)
+    old = frame(spark, [(1, 45.0, 0.5, 9.0), (2, 0.0, None, 9.0), (3, 90.0, 0.5, 9.0)], "id int, pred_minutes double, pred_defcon double, e_points_p90 double")
+    made = {r["id"]: (r["pred_points_p10"], r["pred_points_p90"], r["e_points_p90"]) for r in models.lifted_quantiles(old, lives, 0.0, 1.0).collect()}
+    assert made[1] == pytest.approx((80 / 45, 6 * 80 / 45, 3 * 80 / 45 + 1)) and made[2] == (0, 0, 0) and made[3] == (None, None, None)
+    assert models.lifted_quantiles(old, lives.drop("q_low"), 0.0, 1.0) is old
     assert models.attach_quantiles(df, q.select("id", "q_low", "q_high")).count() == 600 and models.attach_quantiles(df, df) is df
     oof = models.out_of_fold(df, ["a", "b"], "c", ["id"], trees=3)
     assert oof.count() == 600 and metrics.auc(oof, "c", "oof").first()["auc"] > 0.9
