@@ -2,9 +2,14 @@
 
 A page is cut into flat blocks at block-level tags. Features of a block are its words and link density, those of the blocks
 before and after, whether it and the block after stand where the page's words are dense, whether that is the page as a whole, whether the
-block stands in a container for boilerplate, and whether it is a heading. A small tree of axis splits, trained on the labelled
-table below when a task starts, decides which blocks are main text. Character references are decoded, white space in a block
-becomes one space, and kept blocks are joined in page order by a newline.
+block stands in a container for boilerplate, and whether it is a heading (has a heading open around it). A small tree of axis
+splits, trained on the labelled table below when a task starts, decides which blocks are main text. Character references are
+decoded, white space in a block becomes one space, and kept blocks are joined in page order by a newline.
+
+What a container is called is evidence, not a verdict. Names count by whole tokens of a class, so that states of a page
+(``has-sidebar``, ``no-sidebar``, ``search-open``) say nothing. A form, alert, sidebar and the like that holds MOST of the
+page's unlinked words (those of an article elsewhere weigh PRIOR times) is no boilerplate; menus, footers and reader comments
+always are. A header inside an article belongs to it.
 
 Words are dense in the deepest container with at least DENSE of the page's words that are neither links nor in boilerplate, or in the
 outermost article or main element (or one named so) around it; words inside such elements weigh PRIOR times. So a
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 
 from fixtura.llm.common import append_columns
 
-DENSE, PRIOR = 0.6, 4
+DENSE, PRIOR, MOST = 0.6, 4, 0.75
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "noise", "dense", "dense_after", "flat", "heading")
 
 # A small labelled table of blocks, in the order of FEATURES, then the label (1: main text).
@@ -118,7 +123,13 @@ CLOSES = frozenset("p li dt dd tr td th option".split())
 PARTS = frozenset("article main section div td center".split())
 HOLDS = frozenset("article aside blockquote body div dl fieldset figure footer form header main menu nav ol section table ul".split())
 TOPICS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|comment-?list|replies|disqus|respond|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|share|sharing|social|newsletter|subscribe|subscription|signup|sign-up|login|search|related|recommended|pagination|pager|toolbar|widget|copyright|disclaimer|skip-?link)(?:$|[\s_-])", re.I)
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NOISE_NAME = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|comment-?list|replies|disqus|respond|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|share|sharing|social|newsletter|subscribe|subscription|signup|sign-up|login|search|related|recommended|pagination|pager|toolbar|widget|copyright|disclaimer|skip-?link)(?:$|[_-])", re.I)
+#: Names that no number of words redeems, names that belong to an article inside one, and tokens that tell a state of what bears them.
+STRONG_NAME = re.compile(r"(?:^|[_-])(?:comments?|comment-?list|replies|disqus|respond|nav|navbar|navigation|menu|foot(?:er)?|breadcrumbs?|pagination|pager)(?:$|[_-])", re.I)
+HEAD_NAME = re.compile(r"(?:^|[_-])(?:head(?:er)?|masthead)(?:$|[_-])", re.I)
+STATE_NAME = re.compile(r"(?:has|no|not|with|without|is|are|show|shows|hide|hides|js|can|enable|disable|single|layout)[_-].*|.*[_-](?:open|opened|closed|active|inactive|enabled|disabled|visible|hidden|on|off|shown|collapsed|expanded|allowed|layout)", re.I)
+STRONG = frozenset("nav footer menu".split())
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post|post-?body|post-?content|entry|entry-?content|story|story-?body|main-?content|main-?text|body-?text)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -128,7 +139,7 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 @dataclass
 class Block:
-    noise: bool
+    veil: int  #: the innermost container for boilerplate, 0 for none
     content: bool
     heading: bool
     part: int  #: the nearest container, 0 for the page itself
@@ -136,36 +147,68 @@ class Block:
     words: int = 0
     linked: int = 0
     text: str = ""
+    noise: bool = False
+
 
+def _named(value: str, inside: bool) -> int:
+    """What the tokens of a class, id or label tell: 0 nothing, 1 boilerplate, 2 boilerplate whatever it holds."""
+    out = 0
+    for token in value.split():
+        if NOISE_NAME.search(token) and not STATE_NAME.fullmatch(token) and not (inside and HEAD_NAME.search(token) and not STRONG_NAME.search(token)):
+            out = max(out, 2 if STRONG_NAME.search(token) else 1)
+    return out
 
-def _roles(name: str, attrs: str, inside: bool = False) -> tuple[bool, bool]:
-    """Whether an element opens boilerplate, and whether it opens content. Ids and labels of headings and sections ``inside`` content are topics."""
-    noise, content = name in NOISE, name in CONTENT
+
+def _roles(name: str, attrs: str, inside: bool = False) -> tuple[int, bool]:
+    """Whether an element opens boilerplate (2: whatever it holds), and whether it opens content. Ids and labels of headings and sections ``inside`` content are topics, and a header there is its own."""
+    noise, content = 2 if name in STRONG else int(name in NOISE and not (inside and name == "header")), name in CONTENT
     if attrs and not attrs.isspace():
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
             if key == "role":
-                noise |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar")
+                noise = max(noise, 2 if value.lower() in ("navigation", "contentinfo", "menu", "menubar") else int(value.lower() in ("banner", "complementary", "search", "form", "alert", "dialog")))
                 content |= value.lower() in ("main", "article")
             elif key == "itemprop":
                 content |= value.lower() == "articlebody"
-                noise |= value.lower() == "comment"
+                noise = max(noise, 2 * (value.lower() == "comment"))
             elif key == "hidden":
-                noise = True
+                noise = 2
             elif key in ("class", "id", "aria-label"):
                 topic = inside and key != "class" and name in TOPICS
-                noise |= bool(NOISE_NAME.search(value)) and not topic and name not in ("html", "body", "article", "main")
+                if not topic and name not in ("html", "body", "article", "main"):
+                    noise = max(noise, _named(value, inside))
                 content |= bool(CONTENT_NAME.search(value)) and name in ("div", "section", "td")
     return noise, content
 
 
+def _settled(found: list[Block], veils: list[tuple[int, bool]]) -> None:
+    """Mark the blocks that stand in boilerplate: inside a container that is so whatever it holds, or that doesn't hold MOST of the page's unlinked words."""
+    held, plain, weighed = [0] * len(veils), [0] * len(veils), 0
+    for b in found:
+        n = b.words - b.linked
+        weighed += n * (PRIOR if b.content else 1)
+        plain[b.veil] += n
+        held[b.veil] += n * (PRIOR if b.content else 1)
+    for i in range(len(veils) - 1, 0, -1):  # parents come before their children
+        plain[veils[i][0]] += plain[i]
+        held[veils[i][0]] += held[i]
+    noise = [False]
+    for i in range(1, len(veils)):
+        above, strong = veils[i]
+        # what it holds, against that and all that stands elsewhere
+        noise.append(noise[above] or strong or plain[i] < MOST * (plain[i] + weighed - held[i]) or not plain[i])
+    for b in found:
+        b.noise = noise[b.veil]
+
+
 def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
     """Flat blocks with text, in page order, and each container's parent and whether it opens content; the page itself is the first."""
     done: list[Block] = []
     above_of: list[tuple[int, bool]] = [(0, False)]
-    open_: list[tuple[str, bool, bool, int]] = []  #: name, whether it or one above is boilerplate, content, and the nearest container
-    now = Block(False, False, False, 0)
-    links, at, end = 0, 0, len(page)
+    veils: list[tuple[int, bool]] = [(0, False)]  #: of each container for boilerplate the one around it, and whether it is so whatever it holds
+    open_: list[tuple[str, int, bool, int]] = []  #: name, the nearest container for boilerplate, content, and the nearest container
+    now = Block(0, False, False, 0)
+    links, heads, at, end = 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal now
@@ -173,8 +216,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
                 done.append(now)
-        top = open_[-1] if open_ else ("", False, False, 0)
-        now = Block(top[1], top[2], part=top[3], heading=any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in open_[-4:]))
+        top = open_[-1] if open_ else ("", 0, False, 0)
+        now = Block(top[1], top[2], part=top[3], heading=heads > 0)
 
     def say(piece: str) -> None:
         piece = entities.unescape(piece)
@@ -184,8 +227,9 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
         now.linked += n if links else 0
 
     def close(index: int) -> None:
-        nonlocal links
+        nonlocal links, heads
         links -= sum(x[0] == "a" for x in open_[index:])
+        heads -= sum(x[0] in HEADS for x in open_[index:])
         del open_[index:]
 
     while at < end:
@@ -226,15 +270,19 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
                 if open_[i][0] in HOLDS:
                     break
         if name not in VOID and not attrs.endswith("/"):
-            above = open_[-1] if open_ else ("", False, False, 0)
+            above = open_[-1] if open_ else ("", 0, False, 0)
             noise, content = _roles(name, attrs, above[2])
+            if noise:
+                veils.append((above[1], noise > 1))
             if name in PARTS:
                 above_of.append((above[3], content))
-            open_.append((name, above[1] or noise, above[2] or content, len(above_of) - 1 if name in PARTS else above[3]))
+            open_.append((name, len(veils) - 1 if noise else above[1], above[2] or content, len(above_of) - 1 if name in PARTS else above[3]))
             links += name == "a"
+            heads += name in HEADS
         if name in BLOCKS:
             flush()
     flush()
+    _settled(done, veils)
     return done, above_of
 
 

@@ -25,7 +25,7 @@ def test_tree_fits_its_table():
     ("<ARTICLE><P>upper</P><UL><LI>x<LI>y</UL></ARTICLE>", "upper\nx\ny"),
     ("<article><p>a &lt;b&gt; &#233; &#x41; &amp;lt; 1 < 2</p></article>", "a <b> é A &lt; 1 < 2"),
     (f"<div class=menu><ul><li><a>One</a><li><a>Two</a></ul></div><div><p>{TEXT}</p><p>{TEXT}</p></div><div class=footer>c</div>", f"{TEXT}\n{TEXT}"),
-    (f"<article><header><p>site name</p></header><p>{TEXT}</p><!-- <p>no</p> --></article>", TEXT),
+    (f"<header><p>site name</p></header><article><header><h1>Title</h1><p>By A. Writer</p></header><p>{TEXT}</p><!-- <p>no</p> --></article>", f"Title\nBy A. Writer\n{TEXT}"),
     ("<article><p>unclosed <b>bold<br><p>next", "unclosed bold\nnext"),
     ("<article><table><tr><td>a<td>b</table><pre>x\ny</pre></article>", "a\nb\nx y"),
 ])
@@ -91,3 +91,28 @@ def test_dense_part(page, want):
 def test_deep_pages_stay_linear():
     assert text("<div>" * 20_000 + f"<p>{TEXT}</p>" + "</div>" * 20_000) == TEXT
     assert text("<div><p>x y z</p>" * 5_000).count("x y z") > 0
+
+
+FIVE = "".join(f"<p>{i} {TEXT}</p>" for i in range(5))
+KEPT = "\n".join(f"{i} {TEXT}" for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='post has-sidebar'>{FIVE}</div>", f"<div class='page search-open'>{FIVE}</div>", f"<div id='content' class='no-sidebar'>{FIVE}</div>", f"<form action=x>{FIVE}</form>", f"<article><div class='alert'>{FIVE}</div></article>",
+    f"<form><nav><a>Home</a> menu</nav><div class='sidebar'><p>{TEXT}</p></div><article>{FIVE}</article><div class=comments><p>{TEXT}</p></div></form>", f"<body class='comments-open'><div class='modal-open with-banner'>{FIVE}</div>",
+])
+def test_names_are_evidence_only(page):
+    """A container that holds most of the page's unlinked words keeps them, and states of a page say nothing."""
+    assert text(page) == KEPT
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p>{TEXT}</p></article><div class='comments'>{FIVE}</div>", f"<article><p>{TEXT}</p><div class='comment-list'>{FIVE}</div></article>", f"<article><p>{TEXT}</p></article><div class='sidebar'>{FIVE}</div>",
+    f"<main><p>{TEXT}</p></main><footer>{FIVE}</footer>", f"<article><p>{TEXT}</p></article><div class='cookie-notice'>{FIVE[: len(FIVE) // 2]}</div>",
+])
+def test_many_words_make_no_comments_or_footers_text(page):
+    assert text(page) == TEXT
+
+
+def test_headings_count_however_deep():
+    assert any(b.heading for b in html.blocks("<h2><span><b><i><u><em>deep</em></u></i></b></span></h2>")[0])
