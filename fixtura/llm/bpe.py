@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
 Texts of up to CHUNK code points are one chunk. Longer ones are cut into chunks of CHUNK code points that also see the
-OVERLAP code points after their end. Every chunk is pre-tokenised on its own, in parallel. Two pre-tokenisations that
-share a boundary agree from there on, so neighbours are stitched at the first boundary that both have inside their
-overlap; each chunk then encodes its pieces between its two cuts. Where neighbours share no boundary (a word longer than
-the overlap), that text is pre-tokenised whole. Decoding joins the raw bytes of the ids.
-
-Only texts of several chunks are shuffled, by their row's key; a text is one row in any case, so that is the bound.
+OVERLAP code points after their end. Chunk rows are dealt to tasks by (text, chunk), so one long text is worked on by many
+tasks at once. Each chunk is pre-tokenised on its own and encodes its pieces where it lies; it notes the boundaries inside both overlaps, with
+the ids before each. Two pre-tokenisations that share a boundary agree from there on, so neighbours are stitched at the first
+boundary that both have: each chunk gives the ids between its two cuts. Ids and boundaries are gathered by text, once;
+texts are not. Where neighbours share no boundary (a word longer than the overlap), that text is encoded whole, in one
+task. Decoding joins the raw bytes of the ids.
+
+Only texts of several chunks are shuffled, compressed; a text's ids are one row in any case, so that is the bound.
 Nulls count as empty texts, which have no ids. Rows repeat as they come; other columns stay.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixtura.llm.common import append_columns, fresh, pieces
+from fixtura.llm.common import append_columns, fresh, materialise, pieces
 
 CHUNK, OVERLAP = 8_192, 1_024
 #: Entries of a task's memory of encoded pieces; it starts anew beyond that.
@@ -42,7 +45,7 @@ class Encoder(dict):
         import regex
         import tiktoken
 
-        self.split = regex.compile(pattern).findall
+        self.split, self.find = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary(path), special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> bytes:
@@ -60,6 +63,12 @@ class Encoder(dict):
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
     """``docs`` with ``out``, the ids of each text (array<int>); without ``keep`` the text column goes."""
     if not 0 < overlap <= chunk:
@@ -67,7 +76,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     ids = T.StructField(out, T.ArrayType(T.IntegerType()))
 
     def make():
-        known = Encoder(path, pattern)
+        known = encoder(path, pattern)
         return lambda texts: [known.encode(texts)]
 
     short = F.coalesce(F.length(text), F.lit(0)) <= chunk
@@ -77,58 +86,101 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     return single.unionByName(_long(docs.where(~short), path, pattern, text, out, chunk, overlap, keep))
 
 
-def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk: int, overlap: int, keep: bool) -> DataFrame:
-    """The same for texts of several chunks."""
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """key, key2 (128 bits of the whole row), row (all other columns) and text. Equal rows have equal keys: their chunks are equal too, and are counted."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
-    # equal rows have equal keys (128 bits), so a key may be shared: their chunks are then equal too, and are counted by `times`
-    keys = ["key", "key2"]
-    rows = docs.select(F.xxhash64(row, F.col(text)).alias("key"), F.xxhash64(F.lit(1), row, F.col(text)).alias("key2"), row.alias("row"), F.col(text).alias("text"))
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*rows.schema.fields[:3], *(T.StructField(c, k) for c, k in (("n", T.IntegerType()), ("at", T.IntegerType()), ("text", T.StringType()), ("head", ints), ("tail", ints)))])
+    return docs.select(F.xxhash64(row, F.col(text)).alias("key"), F.xxhash64(F.lit(1), row, F.col(text)).alias("key2"), row.alias("row"), F.col(text).alias("text"))
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        split = regex.compile(pattern)
+def dealt(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """Chunk rows of the texts of ``keyed``, dealt by text and chunk: key, key2, row (of the first chunk), n, at, part (compressed)."""
+    spark = rows.sparkSession
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("part", T.BinaryType())])
+    schema["row"].nullable = True
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 3):
-                of, made = [], []
                 for i, t in enumerate(batch.column(3).to_pylist()):
                     n = -(-len(t) // chunk)
-                    for at in range(n):
-                        part = t[at * chunk : (at + 1) * chunk + overlap]
-                        ends = [m.end() for m in split.finditer(part)]
-                        # a piece that ends with the visible text could go on: such an end is no boundary unless the text ends there
-                        safe = [e for e in ends if e < len(part) - 1]
-                        of.append(i)
-                        made.append((n, at, part, [e for e in safe if e <= overlap] if at else [], [e - chunk for e in safe if e > chunk] if at < n - 1 else []))
-                for s in range(0, len(of), 256):
-                    own = batch.select([0, 1, 2]).take(pa.array(of[s : s + 256]))
-                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*made[s : s + 256], strict=True), kinds, strict=True))], names=schema.names)
-
-    marked = rows.mapInArrow(bounds, schema)
-    # One row a text: its chunks in order, with the cut between each two. Equal rows give equal chunks, once for each time.
-    gathered = marked.groupBy(*keys).agg(F.first("row").alias("row"), F.first("n").alias("n"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(F.struct("at", "text", "head", "tail"))).alias("p"))
-    cuts = F.expr("transform(sequence(0, n - 2), i -> array_min(array_intersect(p[i].tail, p[i + 1].head)))")
-    stitched = gathered.withColumn("cut", cuts)
-    synced = F.forall("cut", lambda c: c.isNotNull())
-    # the text between the two cuts of each chunk; without all cuts, the whole text as one chunk
-    body = F.expr(f"transform(sequence(0, n - 1), i -> substring(p[i].text, if(i = 0, 0, cut[i - 1]) + 1, if(i = n - 1, {chunk + overlap}, {chunk} + cut[i]) - if(i = 0, 0, cut[i - 1])))")
-    joined = F.array(F.expr(f"array_join(transform(p, x -> substring(x.text, 1, {chunk})), '')"))
-    spread = stitched.select(*keys, "row", "times", F.posexplode(F.when(synced, body).otherwise(joined)).alias("at", "text"))
-    field = T.StructField("ids", T.ArrayType(T.IntegerType()))
+                    for first in range(0, n, 64):
+                        places = range(first, min(n, first + 64))
+                        parts = [t[at * chunk : (at + 1) * chunk + overlap].encode("utf-8", "surrogatepass") for at in places]
+                        parts = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in parts]
+                        own = batch.select([0, 1, 2]).take(pa.array([i] * len(parts)))
+                        kept = batch.column(2).take(pa.array([None if at else i for at in places], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), kept, pa.array([n] * len(parts), pa.int32()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(cut, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "key2", "at")
+
+
+def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk: int, overlap: int, keep: bool) -> DataFrame:
+    """The same for texts of several chunks."""
+    rows, keys, ints = keyed(docs, text), ["key", "key2"], pa.list_(pa.int32())
+    chunks = dealt(rows, chunk, overlap)
+    schema = T.StructType([*chunks.schema.fields[:5], *T.StructType.fromDDL("ids binary, head array<int>, head_ids array<int>, tail array<int>, tail_ids array<int>").fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(path, pattern)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 64):
+                batch, made = whole.slice(s, 64), []
+                for n, at, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "at", "part")), strict=True):
+                    part = pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+                    ids, ends, before = [], [], 0
+                    for m in known.find(part):
+                        ids.append(known[m[0]])
+                        before += len(ids[-1]) // 4
+                        ends.append((m.end(), before))
+                    # a piece that ends with the visible text could go on: such an end is no boundary unless the text ends there
+                    safe = [x for x in ends if x[0] < len(part) - 1]
+                    head = [x for x in safe if x[0] <= overlap] if at else []
+                    tail = [(e - chunk, c) for e, c in safe if e > chunk] if at < n - 1 else []
+                    made.append((b"".join(ids), [e for e, _ in head], [c for _, c in head], [e for e, _ in tail], [c for _, c in tail]))
+                columns = list(zip(*made, strict=True)) if made else [()] * 5
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(columns[0], pa.binary()), *(pa.array(c, ints) for c in columns[1:])], names=schema.names)
+
+    encoded = chunks.mapInArrow(work, schema)
+    part = F.struct("at", "ids", "head", "head_ids", "tail", "tail_ids")
+    gathered = encoded.groupBy(*keys).agg(F.first("row", ignorenulls=True).alias("row"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(part)).alias("p"))
+    told = T.StructType([*gathered.schema.fields[:4], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 16):
+                batch, made = whole.slice(s, 16), []
+                for r in range(batch.num_rows):
+                    p, start, own = batch.column("p")[r].as_py(), 0, []
+                    for i, x in enumerate(p):
+                        stop = len(x["ids"]) // 4
+                        if i + 1 < len(p):
+                            shared = dict(zip(p[i + 1]["head"], p[i + 1]["head_ids"], strict=True))
+                            meet = next(((e, c) for e, c in zip(x["tail"], x["tail_ids"], strict=True) if e in shared), None)
+                            if meet is None:
+                                own = None
+                                break
+                            stop, after = meet[1], shared[meet[0]]
+                        own.append(np.frombuffer(x["ids"], np.int32)[start:stop])
+                        start = after if i + 1 < len(p) else 0
+                    made.append(None if own is None else np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, ints)], names=told.names)
+
+    done = materialise(gathered.mapInArrow(stitch, told), "ids")
+    found = done.where("ids is not null").withColumnRenamed("ids", "__ids")
+    if keep:  # the texts come back to their ids
+        back = rows.join(found.select(*keys, "__ids"), keys)
+    else:
+        back = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    shown = lambda df: df.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if keep or c != text], F.col("__ids").alias(out))
+    if not done.where("ids is null").limit(1).count():
+        return shown(back)
 
     def make():
-        known = Encoder(path, pattern)
+        known = encoder(path, pattern)
         return lambda texts: [known.encode(texts)]
 
-    encoded = append_columns(spread, "text", [field], make)
-    parts = F.struct("at", "text", "ids") if keep else F.struct("at", "ids")
-    back = encoded.groupBy(*keys).agg(F.first("row").alias("row"), F.first("times").alias("times"), F.array_sort(F.collect_list(parts)).alias("p"))
-    back = back.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    whole = F.expr("array_join(transform(p, x -> x.text), '')").alias(text) if keep else None
-    return back.select(*[whole if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if keep or c != text], F.flatten(F.transform("p", lambda x: x["ids"])).alias(out))
+    open_ = rows.join(done.where("ids is null").select(*keys), keys, "left_semi")
+    return shown(back).unionByName(shown(append_columns(open_, "text", [T.StructField("__ids", T.ArrayType(T.IntegerType()))], make)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -50,3 +50,13 @@ def test_query_against_the_library(spark, sf, whole):
 
 def test_empty_table(spark):
     assert bpe.digests(docs(spark, []), *vocabulary()).collect() == []
+
+
+def test_one_long_text_is_worked_on_by_as_many_tasks_as_cores(spark, whole):
+    """A text of 10 MB: its chunks lie in all partitions, and its ids are the library's."""
+    text = "".join(f"line {i} of a long text, with words and numbers like {i * 37}; " for i in range(160_000))
+    table = docs(spark, [(1, text)])
+    chunks = bpe.dealt(bpe.keyed(table, "text"), bpe.CHUNK, bpe.OVERLAP)
+    assert len(text) > 9_000_000 and chunks.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+    ids = bpe.encode(table, *vocabulary(), keep=False).first()["ids"]
+    assert ids == whole.encode_ordinary(text)
