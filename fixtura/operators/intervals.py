@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.functions.predicates import all_finite
-from fixtura.operators.metrics import running
+from fixtura.operators.metrics import histogram, quantiles_of, running
+from fixtura.operators.stored import stored
 
 BAND, TARGET = (0.75, 0.90), 0.80
 
@@ -22,15 +23,10 @@ def shift(df: DataFrame, actual: str, low: str, high: str, band: tuple[float, fl
     In the band already: none. Else the ``target`` quantile of the needs; if ties carry that beyond the band, the largest
     distinct need whose cumulative share stays within it.
     """
-    own = needs(df, actual, low, high)
-    each = own.groupBy("need").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = F.broadcast(own.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg((F.col("need") <= 0).cast("double")).alias("coverage")))
-    counted = running(each, "need", {"n": "below"}).crossJoin(total)  # one row on the right
-    # the quantile by linear interpolation between the two needs around its place, from the counts: no value is gathered
-    at = target * (F.col("total") - 1)
-    after = lambda place: F.min(F.when(F.col("below") + F.col("n") > place, F.col("need")))
-    ends = counted.agg(after(F.floor(at)).alias("__a"), after(F.ceil(at)).alias("__b"), F.first(at - F.floor(at)).alias("__f"))
-    q = F.broadcast(ends.select((F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).alias("q")))
+    own = histogram(needs(df, actual, low, high).select("need"), "need", {"n": F.count(F.lit(1)).cast("double")})
+    total = F.broadcast(own.agg(F.sum("n").alias("total"), (F.sum(F.when(F.col("need") <= 0, F.col("n")).otherwise(0.0)) / F.sum("n")).alias("coverage")))
+    counted = running(own, "need", {"n": "below"}).crossJoin(total)  # one row on the right
+    q = F.broadcast(quantiles_of(own, "need", "n", [target]).select(F.col("q")[0].alias("q")))
     share = counted.crossJoin(q).withColumn("share", (F.col("below") + F.col("n")) / F.col("total"))  # one row on the right
     at_q = F.max(F.when(F.col("need") <= F.col("q"), F.col("share")))
     fits = F.max(F.when(F.col("share") <= band[1], F.col("need")))
@@ -40,15 +36,28 @@ def shift(df: DataFrame, actual: str, low: str, high: str, band: tuple[float, fl
 
 
 def nudge(df: DataFrame, actual: str, low: str, high: str, key: list[str], band: tuple[float, float] = BAND, eps: float = 1e-6) -> DataFrame:
-    """Rows with the fewest intervals moved off (or onto) their actual so that coverage enters the band; `nudged` marks them."""
+    """Rows with the fewest intervals moved off (or onto) their actual so that coverage enters the band; `nudged` marks them.
+
+    The first rows by (absolute need, key) are found on two levels: counts of the distinct needs tell at which need they end; of the
+    rows at that need alone, counts by ranges of the key tell at which range, and that range is ranked. No task orders more.
+    """
     own = needs(df, actual, low, high)
-    told = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("need") <= 0).alias("inside")).first()  # two counts
-    n, inside = told["n"], told["inside"]
+    counts = histogram(own.select(F.abs("need").alias("far"), (F.col("need") <= 0).cast("double").alias("in")), "far", {"inside": F.sum("in"), "outside": F.sum(1 - F.col("in"))})
+    told = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).first()  # two counts
+    inside = int(told["inside"] or 0)
+    n = inside + int(told["outside"] or 0)
     out_of, into = max(0, inside - int(band[1] * n + 1e-9)), max(0, -(-int(band[0] * n * 1_000_000) // 1_000_000) - inside)
     if not out_of and not into:
         return df.withColumn("nudged", F.lit(False))
+    kind, wanted = ("inside", out_of) if out_of else ("outside", into)
+    edge = running(counts, "far", {kind: "below"}).where((F.col("below") < wanted) & (F.col("below") + F.col(kind) >= wanted)).select("far", "below").first()  # one row
     pool = own.where(F.col("need") <= 0) if out_of else own.where(F.col("need") > 0)
-    chosen = pool.orderBy(F.abs("need"), *key).limit(out_of or into).select(*key, F.lit(True).alias("nudged"))
+    tied = stored(pool.where(F.abs("need") == edge["far"]).select(*key).repartitionByRange(*key).withColumn("__part", F.spark_partition_id()), "tied")
+    left = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = tied.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(left), F.lit(0)))
+    ranked = tied.join(F.broadcast(parts), "__part").withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*key)))
+    first = ranked.where(F.col("__place") <= wanted - int(edge["below"])).select(*key)
+    chosen = pool.where(F.abs("need") < edge["far"]).select(*key).unionByName(first).withColumn("nudged", F.lit(True))
     marked = df.join(chosen, key, "left").withColumn("nudged", F.coalesce("nudged", F.lit(False)))
     y, a, b = F.col(actual), F.col(low), F.col(high)
     at_low = F.abs(y - a) <= F.abs(b - y)

@@ -72,29 +72,41 @@ def squad_totals(lined: DataFrame) -> DataFrame:
     return own.join(clubs, "squad_id")
 
 
+def shop(market: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What a price buys: (position, level, goods) holds, for every price that occurs at a position, each club's ``depth`` best players up to that price, best first; and the prices (position, levels).
+
+    A row has at most clubs x ``depth`` players; there are as many rows as whole prices by position, however many players the market has.
+    """
+    price = F.col("cost").cast("int")
+    rank = F.row_number().over(Window.partitionBy("position", "club", "__price").orderBy(F.desc("points"), "id"))
+    own = market.where(~F.coalesce(F.col("flagged"), F.lit(False))).withColumn("__price", price).withColumn("__rank", rank).where(F.col("__rank") <= depth)
+    good = F.struct((-F.col("points")).alias("order"), F.col("id").alias("in_id"), F.col("club").alias("in_club"), F.col("points").alias("in_points"), F.col("__price").alias("price"))
+    clubs = own.groupBy("position", "club").agg(F.collect_list(good).alias("goods"))  # at most prices x depth
+    levels = own.groupBy("position").agg(F.sort_array(F.collect_set("__price")).alias("levels"))  # whole prices
+    each = clubs.join(levels, "position").select("position", F.explode("levels").alias("level"), "goods")
+    best = F.slice(F.sort_array(F.filter("goods", lambda g: g["price"] <= F.col("level"))), 1, depth)
+    return each.select("position", "level", best.alias("goods")).groupBy("position", "level").agg(F.sort_array(F.flatten(F.collect_list("goods"))).alias("goods")), levels
+
+
 def one_transfer(squads: DataFrame, market: DataFrame, bank: DataFrame, hit: float = 0.0, best: int = 5, club_cap: int = 3) -> DataFrame:
     """The best single transfers of every squad, those that gain: squad_id, out_id, in_id, value, gain, rank.
 
-    ``market`` (id, position, club, cost, points, flagged; whole prices) is first cut to the players that can be anyone's best buys:
-    of one position, price and club, the ``best`` + 15 first by points, since a squad owns 15 at most. Squads meet the rest by
-    position and price, for the prices that they can pay. A transfer gains only if the buy starts, and then gains more the more
-    points the buy has; so of the buys for one player only the ``best`` first by points, then id, are valued.
+    ``market`` is (id, position, club, cost, points, flagged), of whole prices. Each player sold meets one row of ``shop``: what the squad
+    can pay buys there. Of a club the ``best`` + 15 first are enough, since a squad owns 15 at most. A transfer gains only if the buy
+    starts, and then gains more the more points the buy has; so of the buys for one player only the ``best`` first by points,
+    then id, are valued.
     """
-    whole_price = lambda c: F.col(c).cast("int")
-    rank = F.row_number().over(Window.partitionBy("position", "__price", "club").orderBy(F.desc("points"), "id"))
-    goods = market.where(~F.coalesce(F.col("flagged"), F.lit(False))).withColumn("__price", whole_price("cost")).withColumn("__rank", rank).where(F.col("__rank") <= best + 15)
-    goods = goods.select(F.col("id").alias("in_id"), "position", F.col("club").alias("in_club"), F.col("points").alias("in_points"), "__price")
-    lowest = goods.agg(F.min("__price").alias("__from"))
+    goods, levels = shop(market, best + 15)
     whole = squads.groupBy("squad_id").agg(F.collect_list(F.struct("id", "position", "club", "points")).alias("team"))  # 15 rows
-    asks = squads.join(bank, "squad_id").join(whole, "squad_id").crossJoin(F.broadcast(lowest)).withColumn("limit", whole_price("cost") + whole_price("bank"))  # one row on the right
+    limit = F.col("cost").cast("int") + F.col("bank").cast("int")
+    asks = squads.join(bank, "squad_id").join(whole, "squad_id").join(levels, "position").select("squad_id", F.col("id").alias("out_id"), "position", "team", F.array_max(F.filter("levels", lambda x: x <= limit)).alias("level"))
     rest = F.filter("team", lambda t: t["id"] != F.col("out_id"))
-    own = asks.where(F.col("limit") >= F.col("__from")).select("squad_id", F.col("id").alias("out_id"), "position", "limit", "__from", "team").withColumn("rest", rest)
+    own = asks.where("level is not null").withColumn("rest", rest)
     full = F.filter(F.array_distinct(F.transform("rest", lambda t: t["club"])), lambda c: F.size(F.filter("rest", lambda t: t["club"] == c)) >= club_cap)
-    own = own.select("squad_id", "out_id", "position", "rest", full.alias("full"), F.transform("team", lambda t: t["id"]).alias("owned"), F.explode(F.sequence(F.col("__from"), F.col("limit"))).alias("__price"))
-    pairs = own.join(goods, ["position", "__price"]).where(~F.array_contains("owned", F.col("in_id")) & ~F.array_contains("full", F.col("in_club")))
-    first = F.row_number().over(Window.partitionBy("squad_id", "out_id").orderBy(F.desc("in_points"), "in_id"))
-    kept = pairs.select("squad_id", "out_id", "position", "in_id", "in_club", "in_points").withColumn("__first", first).where(F.col("__first") <= best).join(whole, "squad_id")
-    new = F.concat(rest, F.array(F.struct(F.col("in_id").alias("id"), "position", F.col("in_club").alias("club"), F.col("in_points").alias("points"))))
+    own = own.select("squad_id", "out_id", "position", "level", "rest", full.alias("full"), F.transform("team", lambda t: t["id"]).alias("owned"))
+    buys = F.slice(F.filter("goods", lambda g: ~F.array_contains("owned", g["in_id"]) & ~F.array_contains("full", g["in_club"])), 1, best)
+    kept = own.join(goods, ["position", "level"]).select("squad_id", "out_id", "position", "rest", F.inline(buys))
+    new = F.concat("rest", F.array(F.struct(F.col("in_id").alias("id"), "position", F.col("in_club").alias("club"), F.col("in_points").alias("points"))))
     valued = kept.withColumn("value", _xi_of(new)).join(xi_value(best_xi(squads)), "squad_id").withColumn("gain", F.round(F.col("value") - F.col("xi_value") - hit, 9)).where("gain > 0")
     order = Window.partitionBy("squad_id").orderBy(F.desc("gain"), "out_id", "in_id")
     return valued.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("squad_id", "out_id", "in_id", "value", "gain", "rank")

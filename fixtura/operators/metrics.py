@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.functions.predicates import all_finite
-from fixtura.functions.scalars import absolute_error, clip_probability, edge, pinball, played, squared_error
+from fixtura.functions.scalars import absolute_error, clip_probability, edge, pinball, played
+from fixtura.operators.stored import stored
 
 
 def mean_error(actual: str, forecast: str, where: Column | None = None) -> Column:
@@ -30,48 +30,54 @@ def holdout(df: DataFrame, actual: str, forecasts: Sequence[str], gated: str | N
     return df.agg(*out)
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the curve, ties half; NULL with one class. Rows become one a distinct score before anything is ordered.
+def histogram(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """One row a distinct value (in each group of ``by``) with aggregates of its rows, written once, in ranges of about as many values: `__part`.
 
-    The running count over distinct scores is two-level: by window inside ranges of about as many values, plus the sums of earlier ranges, so
-    no task orders more than one range.
+    The input is read by this one job only; cuts, totals, ranks and quantiles come from what it has written. NULL and NaN take
+    no part, nor do rows without a group; infinities are values like others, at the ends of the order.
     """
-    own = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    each = own.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label)).alias("n"))
-    part = running(each, "s", {"n": "below"})
-    return part.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n")).select((F.col("a") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
+    v = F.col(value).cast("double")
+    own = df.where(v.isNotNull() & ~F.isnan(v)).where(" and ".join(["true", *(f"`{c}` is not null" for c in by)]))
+    each = own.groupBy(*by, v.alias(value)).agg(*[c.alias(name) for name, c in sums.items()])
+    return stored(each.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()), "histogram")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
-    """``df`` with sums over all rows of a smaller ``order`` value (distinct in df, or in each group of ``by``): in buckets by window, plus the buckets before.
+def running(own: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """A histogram with sums over all smaller values (of the group): inside a range by window, plus the ranges before, so no task orders more than a range."""
+    few = own.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offset = few.select(*by, "__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__o_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = own.join(offset if by else F.broadcast(offset), [*by, "__part"])  # without groups one row a range
+    return out.withColumns({name: F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c, name in sums.items()}).drop(*[f"__o_{c}" for c in sums])
 
-    Buckets are cut at approximate quantiles of the values, found in a first pass, so that outliers and crowded ranges don't fill one; only
-    the cuts reach the driver, and any cuts give the same sums. Rows without a group or value take no part.
-    """
-    own = df.where(" and ".join(f"`{c}` is not null" for c in (*by, order)))
-    cuts = sorted(set(own.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    if cuts:
-        placed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=order, outputCol="__b", handleInvalid="keep").transform(own)
-    else:
-        placed = own.withColumn("__b", F.lit(0.0))
-    few = placed.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    offset = few.select(*by, "__b", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__o_{c}") for c in sums])
-    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(offset if by else F.broadcast(offset), [*by, "__b"])
-    return out.withColumns({name: F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c, name in sums.items()}).drop("__b", *[f"__o_{c}" for c in sums])
 
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Exact area under the curve, ties half; NULL with one class. Rows without a label or score (NULL, NaN) take no part; infinite scores rank first or last."""
+    told = df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).select(F.col(label).cast("double").alias("y"), F.col(score).alias("s"))
+    part = running(histogram(told, "s", {"p": F.sum("y"), "n": F.sum(1.0 - F.col("y"))}), "s", {"n": "below"})
+    return part.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n")).select((F.col("a") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
 
-def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles, by linear interpolation, as an array `q` for each group (one row without groups), from counts of the distinct values: no task gathers a group's values."""
-    each = df.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("__n")).where(F.col("__v").isNotNull())
-    total = each.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    part = running(each, "__v", {"__n": "__below"}, by)
+
+def quantiles_of(own: DataFrame, value: str, count: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from a histogram whose ``count`` tells each value's rows."""
+    total = own.groupBy(*by).agg(F.sum(count).alias("__total"))
+    part = running(own, value, {count: "__below"}, by)
     told = part.join(total, list(by)) if by else part.crossJoin(F.broadcast(total))  # one row on the right
     place = [q * (F.col("__total") - 1) for q in at]
-    under = lambda p: F.max(F.when(F.col("__below") <= p, F.col("__v")))
+    under = lambda p: F.max(F.when(F.col("__below") <= p, F.col(value)))
     ends = told.groupBy(*by).agg(*[x for i, p in enumerate(place) for x in (under(F.floor(p)).alias(f"__a{i}"), under(F.ceil(p)).alias(f"__b{i}"), F.max(p - F.floor(p)).alias(f"__f{i}"))])
-    return ends.select(*by, F.array(*[F.col(f"__a{i}") + F.col(f"__f{i}") * (F.col(f"__b{i}") - F.col(f"__a{i}")) for i in range(len(at))]).alias("q"))
+    line = lambda a, b, f: F.when((a == b) | (f == 0), a).otherwise(a + f * (b - a))  # noqa: E731  (between two infinities of one sign, that infinity)
+    return ends.select(*by, F.array(*[line(F.col(f"__a{i}"), F.col(f"__b{i}"), F.col(f"__f{i}")) for i in range(len(at))]).alias("q"))
+
+
+def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles, by linear interpolation, as an array `q` for each group (one row without groups), from counts of the distinct values: no task gathers a group's values.
+
+    NULL and NaN take no part; a quantile between opposite infinities is NaN.
+    """
+    own = df.select(*by, F.col(value).cast("double").alias("__v"))
+    return quantiles_of(histogram(own, "__v", {"__n": F.count(F.lit(1)).cast("double")}, by), "__v", "__n", at, by)
 
 
 def log_loss(df: DataFrame, label: str, p: str) -> DataFrame:
@@ -105,14 +111,22 @@ def weekly(df: DataFrame, actual: str, model: str, baseline: str, by: Sequence[s
 
 
 def frozen(df: DataFrame, actual: str, forecasts: Sequence[str], did_play: str = "played") -> DataFrame:
-    """Rows that were frozen, played and not, and each baseline's errors with the latter kept; six decimals."""
+    """Rows that were frozen, played and not, and each baseline's errors with the latter kept; six decimals.
+
+    ``df`` is read once, by the histogram of errors; rows and players are counted in it as values of two more kinds.
+    """
     six = lambda c: F.round(c, 6)
-    out = [F.count(F.lit(1)).alias("n_frozen"), F.count_if(F.col(did_play).cast("int") == 1).alias("n_played"), F.count_if(F.coalesce(F.col(did_play).cast("int"), F.lit(0)) == 0).alias("n_dnp")]
+    kinds = {"|rows": F.lit(0.0), "|played": (F.coalesce(F.col(did_play).cast("int"), F.lit(0)) == 1).cast("double"), "|dnp": (F.coalesce(F.col(did_play).cast("int"), F.lit(0)) == 0).cast("double")}
+    kinds |= {f: absolute_error(actual, f) for f in forecasts}
+    own = histogram(df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("of"), e.alias("e")) for k, e in kinds.items()]))), "e", {"n": F.count(F.lit(1)).cast("double")}, ["of"])
+    of = lambda k, c: F.sum(F.when(F.col("of") == k, c))
+    count, e = lambda k, c: F.coalesce(of(k, c), F.lit(0)).cast("long"), F.col("e")
+    out = [count("|rows", F.col("n")).alias("n_frozen"), count("|played", e * F.col("n")).alias("n_played"), count("|dnp", e * F.col("n")).alias("n_dnp")]
     for f in forecasts:
-        out += [six(mean_error(actual, f)).alias(f"mae_{f}"), six(F.sqrt(F.avg(squared_error(actual, f)))).alias(f"rmse_{f}")]
-    errors = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("__of"), absolute_error(actual, f).alias("__e")) for f in forecasts])))
-    medians = quantiles(errors, "__e", [0.5], ["__of"]).agg(*[six(F.max(F.when(F.col("__of") == f, F.col("q")[0]))).alias(f"median_ae_{f}") for f in forecasts])
-    return df.agg(*out).crossJoin(F.broadcast(medians))  # one row on either side
+        out += [six(of(f, e * F.col("n")) / of(f, F.col("n"))).alias(f"mae_{f}"), six(F.sqrt(of(f, e * e * F.col("n")) / of(f, F.col("n")))).alias(f"rmse_{f}")]
+    errors = own.where(~F.col("of").startswith("|"))
+    medians = quantiles_of(errors, "e", "n", [0.5], ["of"]).agg(*[six(F.max(F.when(F.col("of") == f, F.col("q")[0]))).alias(f"median_ae_{f}") for f in forecasts])
+    return own.agg(*out).crossJoin(F.broadcast(medians))  # one row on either side
 
 
 def slices(df: DataFrame, actual: str, forecasts: Sequence[str], minutes: str = "minutes", haul: float = 5) -> DataFrame:
@@ -124,14 +138,14 @@ def slices(df: DataFrame, actual: str, forecasts: Sequence[str], minutes: str =
 
 
 def reliability(df: DataFrame, label: str, p: str, bins: int = 10) -> DataFrame:
-    """Equal-frequency bins, right-closed, repeated edges dropped; equal width if fewer than two edges remain."""
-    own = df.where(all_finite(label, p)).select(F.col(label).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
-    ends = quantiles(own, "p", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("e"))
+    """Equal-frequency bins, right-closed, repeated edges dropped; equal width if fewer than two edges remain. Edges and bins come from one histogram."""
+    own = histogram(df.where(all_finite(label, p)).select(F.col(label).cast("double").alias("y"), F.col(p).cast("double").alias("p")), "p", {"y": F.sum("y"), "n": F.count(F.lit(1)).cast("double")})
+    ends = quantiles_of(own, "p", "n", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("e"))
     width = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: i / F.lit(float(bins)))
     ends = ends.select(F.when(F.size("e") > 2, F.col("e")).otherwise(width).alias("e"))
     told = own.crossJoin(F.broadcast(ends))  # one row on the right
     at = F.greatest(F.lit(0), F.size(F.filter("e", lambda e: e < F.col("p"))) - 1)
-    return told.groupBy(at.alias("bin")).agg(F.avg("p").alias("mean_pred"), F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
+    return told.groupBy(at.alias("bin")).agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_pred"), (F.sum("y") / F.sum("n")).alias("rate"), F.sum("n").cast("long").alias("n"))
 
 
 def comparison(tables: dict[str, DataFrame]) -> DataFrame:

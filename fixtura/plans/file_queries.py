@@ -6,7 +6,6 @@ JSON documents hold about DOCUMENT entries each, so that neither a task nor a do
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from functools import reduce
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fixtura.functions import scalars as S
 from fixtura.operators import checks, metrics, models, sinks
+from fixtura.operators.stored import shared_folder
 from fixtura.plans import bindings as B
 from fixtura.plans.panel_queries import KEY, LAGS
 from fixtura.plans.registry import query, six
@@ -26,13 +26,8 @@ SEASONS, DOCUMENT = ("S0", "S1", "S2", "S3"), 500
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; unset, a local one on a local master and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def as_csv(df: DataFrame, path: str) -> None:

@@ -478,12 +478,6 @@ gn AS (SELECT vl.*, round(value - v, 6) AS gain, row_number() OVER (PARTITION BY
 @query(f"WITH {ONE} SELECT squad_id, rank, gain FROM gn WHERE rank <= 5", cast={"rank": "INTEGER"})
 def ln05_one_transfer(spark, sf_dir):
     """The best transfers of every squad."""
-    return ln05_every_squad(spark, sf_dir)
-
-
-@query()
-def ln05_every_squad(spark, sf_dir):
-    """The search over all squads. It has no twin in SQL."""
     own = B.squads(spark, sf_dir)
     market = B.board(spark, sf_dir).withColumn("flagged", S.flagged("status", "chance"))
     bank = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("squad_id"), (F.col("s_suppkey") % 30).alias("bank"))

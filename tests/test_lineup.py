@@ -77,11 +77,38 @@ def test_one_transfer_against_brute_force(spark):
 
 
 def test_every_squad_is_searched(spark):
+    """The query's gains equal a search of all buys for all squads of the smallest table, done in plain Python."""
+    from fixtura.functions import scalars as S
     from fixtura.plans import bindings as B
-    from fixtura.plans.score_queries import ln05_every_squad, ln05_one_transfer
+    from fixtura.plans.score_queries import ln05_one_transfer
 
     sf = "/root/testdata/sf0.001"
-    found, part = ln05_every_squad(spark, sf).collect(), ln05_one_transfer(spark, sf).collect()
-    assert {r["squad_id"] % 10 for r in found} > {0}
-    assert {r["squad_id"] for r in found} <= {r["squad_id"] for r in B.squads(spark, sf).collect()}
-    assert sorted(r for r in found if r["squad_id"] % 10 == 0) == sorted(part)
+    own = {}
+    for r in B.squads(spark, sf).collect():
+        own.setdefault(r["squad_id"], []).append((r["squad_id"], r["id"], r["position"], r["club"], r["cost"], r["points"]))
+    market = B.board(spark, sf).withColumn("flagged", S.flagged("status", "chance")).where("not flagged").collect()
+    worth = lambda rows: brute_xi(rows) + max(max(r[5] for r in rows if r[2] == p) for p in ("GK", "DEF", "MID", "FWD"))
+    want = {}
+    for s, rows in own.items():
+        hold, ids, gains = worth(rows), {r[1] for r in rows}, []
+        for out in rows:
+            rest = [r for r in rows if r is not out]
+            buys = [m for m in market if m["position"] == out[2] and m["cost"] <= out[4] + s % 30 and m["id"] not in ids and sum(r[3] == m["club"] for r in rest) < 3]
+            gains += [round(worth([*rest, (s, m["id"], m["position"], m["club"], m["cost"], m["points"])]) - hold, 6) for m in buys]
+        want[s] = sorted((g for g in gains if g > 0), reverse=True)[:5]
+    got = {s: [] for s in own}
+    for r in ln05_one_transfer(spark, sf).orderBy("squad_id", "rank").collect():
+        got[r["squad_id"]].append(r["gain"])
+    assert {s: pytest.approx(g, abs=1e-6) for s, g in want.items()} == got
+
+
+def test_no_key_of_the_shop_meets_more_rows_than_players_sold(spark):
+    rng = random.Random(6)
+    market = [(i, rng.choice(["GK", "DEF", "MID", "FWD"]), f"c{rng.randint(0, 4)}", 45 + rng.randint(0, 6), float(rng.randint(0, 30)), False) for i in range(900)]
+    goods, levels = lineup.shop(spark.createDataFrame(market, "id int, position string, club string, cost int, points double, flagged boolean"), 4)
+    rows = goods.collect()
+    assert len({(r["position"], r["level"]) for r in rows}) == len(rows) == sum(len(r["levels"]) for r in levels.collect())
+    for r in rows:
+        for club in {m[2] for m in market}:
+            best = sorted((-m[4], m[0]) for m in market if m[1] == r["position"] and m[2] == club and m[3] <= r["level"])[:4]
+            assert [(g["order"], g["in_id"]) for g in r["goods"] if g["in_club"] == club] == best

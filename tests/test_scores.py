@@ -188,3 +188,37 @@ def test_quantiles_are_exact_for_crowded_values_and_outliers(spark):
     whole = metrics.quantiles(df, "v", [0.25]).first()["q"]
     assert whole == pytest.approx([float(np.percentile([v for _, v in rows if v is not None], 25))], abs=1e-12)
     assert metrics.quantiles(df.where("false"), "v", [0.5]).collect()[0]["q"] == [None] and metrics.quantiles(df.where("g = 'c'"), "v", [0.5], ["g"]).count() == 0
+
+
+def test_infinite_and_missing_values(spark):
+    """Infinities are ends of the order, NaN and NULL take no part."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(1.0, inf), (0.0, -inf), (1.0, 0.5), (0.0, 0.5), (0.0, inf), (1.0, nan), (nan, 0.1), (None, 0.2), (1.0, None)]
+    seen = [(y, p) for y, p in rows if y == y and p == p and y is not None and p is not None]
+    want = [(1.0 if a > b else 0.5 if a == b else 0.0) for y, a in seen if y for z, b in seen if not z]
+    assert metrics.auc(frame(spark, rows, "y double, p double"), "y", "p").first()["auc"] == pytest.approx(sum(want) / len(want))
+    df = frame(spark, [("a", -inf), ("a", 1.0), ("a", inf), ("a", nan), ("a", None), ("b", inf), ("b", inf), ("c", nan)], "g string, v double")
+    got = {r["g"]: r["q"] for r in metrics.quantiles(df, "v", [0.0, 0.5, 0.75, 1.0], ["g"]).collect()}
+    assert got == {"a": [-inf, 1.0, inf, inf], "b": [inf] * 4}
+    assert baselines.group_median(df.withColumnsRenamed({"g": "position", "v": "points"})).where("position = 'a'").first()["median"] == 1.0
+
+
+def test_one_scan_serves_counts_ranks_and_quantiles(spark, sf):
+    """The input is read by the histogram's job alone: what is returned reads only what that has written."""
+    own = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("n_chars").cast("double").alias("p"), (F.col("doc_id") % 2).cast("double").alias("y"), F.lit(1).alias("played"))
+    for done in (metrics.auc(own, "y", "p"), metrics.reliability(own, "y", "p"), metrics.quantiles(own, "p", [0.5]), metrics.frozen(own, "y", ["p"])):
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert "histogram-" in done._jdf.queryExecution().executedPlan().toString() or "doc_id" not in plan
+        assert "doc_id" not in plan and "n_chars" not in plan
+
+
+def test_nudge_takes_the_first_rows_without_a_global_limit(spark):
+    rng = random.Random(7)
+    rows = [(i, float(rng.randint(0, 3)), 0.0, 1.0) for i in range(300)]
+    df = frame(spark, rows, "id int, y double, lo double, hi double")
+    done = intervals.nudge(df, "y", "lo", "hi", ["id"])
+    need = sorted((max(lo - y, y - hi), i) for i, y, lo, hi in rows if max(lo - y, y - hi) > 0)
+    inside = len(rows) - len(need)
+    assert sorted(r["id"] for r in done.where("nudged").collect()) == sorted(i for _, i in need[: -(-75 * len(rows) // 100) - inside])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
