@@ -5,8 +5,8 @@ is. R(k + 1) is R(k) merge-joined with itself at the adjacent position of the sa
 occurrences of frequent groups are kept (semi-join) before the next length. Each R is persisted in the shared folder.
 
 The relations are stored by block: some BLOCK bytes of text of one language, as sorted arrays of positions and of word
-numbers within the block, so the merge-join is one pass over two sorted arrays of the same block and moves nothing. A position
-is counted up by one within a piece and skips one between pieces. What Spark shuffles are groups that each block has counted
+numbers within the block (compressed), so the merge-join is one pass over two sorted arrays of the same block and moves
+nothing. A position is counted up by one within a piece and skips one between pieces. What Spark shuffles are groups that each block has counted
 already, one row a phrase and block, so the commonest word has no more rows than there are blocks; frequent groups go back
 to the blocks that hold them. Words are told apart by their bytes, phrases by the numbers of their frequent words (numbers
 from 1, 32 bits), never by hashes alone.
@@ -37,7 +37,25 @@ _LOWER[65:91] = range(97, 123)
 for _c in b".,;:!?\n\x0b\x0c\r":
     _LOWER[_c] = 0xFF  #: ends a piece; no byte of UTF-8
 _LOWER = bytes(_LOWER)
-_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+_LONGS, _LOW = pa.list_(pa.int64()), (1 << 32) - 1
+
+
+def packed(a: np.ndarray) -> bytes:
+    """An array of whole numbers as compressed bytes: Spark moves them without looking at each."""
+    raw = a.astype(np.int32).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.int32)
+
+
+def _gaps(pos: np.ndarray) -> bytes:
+    return packed(np.diff(pos, prepend=0))
+
+
+def _places(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b))
 
 
 def cut(text: bytes, most: int) -> Iterator[bytes]:
@@ -79,7 +97,7 @@ def _blocks(docs: DataFrame, text: str, lang: str, block: int) -> DataFrame:
             pos, local, words, counts = occurrences(held.pop(name))
             del size[name]
             seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([name], pa.string()), pa.array([pos], _INTS), pa.array([local], _INTS), pa.array([words.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], _LONGS)], names=["block", "lang", "pos", "local", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([name], pa.string()), pa.array([_gaps(pos)], pa.binary()), pa.array([packed(local)], pa.binary()), pa.array([words.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], _LONGS)], names=["block", "lang", "pos", "local", "words", "counts"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -94,7 +112,7 @@ def _blocks(docs: DataFrame, text: str, lang: str, block: int) -> DataFrame:
         for name in list(held):
             yield flush(name)
 
-    return materialise(own.mapInArrow(run, "block long, lang string, pos array<int>, local array<int>, words array<string>, counts array<bigint>"), "r0")
+    return materialise(own.mapInArrow(run, "block long, lang string, pos binary, local binary, words array<string>, counts array<bigint>"), "r0")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -123,30 +141,47 @@ def extended(k: int, pos: np.ndarray, local: np.ndarray, group: np.ndarray, n: i
     return at, group[at].astype(np.int64) * n + local[at + k]
 
 
+def _row(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pos, local, group and ids of one block."""
+    get = lambda c: batch.column(c)[r].as_py()
+    return _places(get("pos")), unpacked(get("local")), unpacked(get("group")), batch.column("ids")[r].values.to_numpy(zero_copy_only=False)
+
+
+_PACKED = "block long, pos binary, local binary, group binary, ids array<bigint>"
+
+
+def _stored(block, pos: np.ndarray, local: np.ndarray, group: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (_gaps(pos), packed(local), packed(group))), pa.array([ids], _LONGS)], names=["block", "pos", "local", "group", "ids"])
+
+
 def _relation(df: DataFrame, k: int) -> DataFrame:
-    """Groups of k + 1 words that each block counts in its R(k): a, b, block, code, n."""
+    """Groups of k + 1 words that each block counts in its R(k): a, block, n, and beyond two words also b and code."""
+    names = ["a", "block", "n"] if k == 1 else ["a", "block", "n", "b", "code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
-                block = whole.column("block")[r].as_py()
-                pos, local, group, ids = (whole.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("pos", "local", "group", "ids"))
+                pos, local, group, ids = _row(whole, r)
                 at, code = extended(k, pos, local, group, len(ids))
                 code, first, n = np.unique(code, return_index=True, return_counts=True)
                 start = at[first]
                 word = [ids[local[start + j]] for j in range(k + 1)] + [np.zeros(len(start), np.int64)] * (3 - k)
-                columns = [(word[0] << 32) | word[1], (word[2] << 32) | word[3], np.full(len(start), block), code, n]
-                for i in range(0, len(start), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns], names=["a", "b", "block", "code", "n"])
+                columns = [(word[0] << 32) | word[1], np.full(len(start), whole.column("block")[r].as_py()), n, (word[2] << 32) | word[3], code][: len(names)]
+                for i in range(0, len(start), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 14)], pa.int64()) for c in columns], names=names)
 
-    return df.select("block", "pos", "local", "group", "ids").mapInArrow(run, "a long, b long, block long, code long, n long")
+    return df.select("block", "pos", "local", "group", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _frequent(df: DataFrame, k: int, least: int) -> DataFrame:
-    """The groups of k + 1 words that occur ``least`` times in all blocks: a, b, block, code, f. One shuffle serves the count and the semi-join."""
-    rows = _relation(df, k).repartition("a", "b")
-    total = rows.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return materialise(rows.select("a", "b", "block", "code").join(total.hint("shuffle_hash"), ["a", "b"]), f"f{k + 1}")
+    """The groups of k + 1 words that occur ``least`` times in all blocks, with the blocks that hold them: a, b, block, code, f.
+
+    One shuffle serves the count and the semi-join: a window over a group has one row a block.
+    """
+    rows = _relation(df, k)
+    keys = ["a"] if k == 1 else ["a", "b"]
+    found = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("f") >= least).drop("n")
+    return materialise(found if k > 1 else found.withColumns({"b": F.lit(0).cast("long"), "code": F.col("a")}), f"f{k + 1}")
 
 
 def _kept(df: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -156,7 +191,10 @@ def _kept(df: DataFrame, found: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
-                pos, local, group, ids, codes = (whole.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("pos", "local", "group", "ids", "codes"))
+                pos, local, group, ids = _row(whole, r)
+                codes = whole.column("codes")[r].values.to_numpy(zero_copy_only=False)
+                if k == 1:  # pairs came back by the words' ids, which are in order
+                    codes = np.searchsorted(ids, codes >> 32) * len(ids) + np.searchsorted(ids, codes & _LOW)
                 at, code = extended(k, pos, local, group, len(ids))
                 place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                 here = codes[place] == code
@@ -165,27 +203,27 @@ def _kept(df: DataFrame, found: DataFrame, k: int) -> DataFrame:
                 inside = np.zeros(len(pos), bool)
                 for j in range(k + 1):
                     inside[at[here] + j] = True
-                yield pa.RecordBatch.from_arrays([whole.column("block").slice(r, 1), pa.array([pos[inside]], _INTS), pa.array([local[inside]], _INTS), pa.array([now[inside]], _INTS), pa.array([ids], _LONGS)], names=["block", "pos", "local", "group", "ids"])
+                yield _stored(whole.column("block")[r].as_py(), pos[inside], local[inside], now[inside], ids)
 
-    return materialise(df.join(codes, "block").select("block", "pos", "local", "group", "ids", "codes").mapInArrow(run, "block long, pos array<int>, local array<int>, group array<int>, ids array<bigint>"), f"r{k + 1}")
+    return materialise(df.join(codes, "block").select("block", "pos", "local", "group", "ids", "codes").mapInArrow(run, _PACKED), f"r{k + 1}")
 
 
 def _words(raw: DataFrame, back: DataFrame) -> DataFrame:
-    """R(1), persisted: occurrences of frequent words only, with the words' ids by their number in the block."""
+    """R(1), persisted: occurrences of frequent words only; a block's words are numbered anew in the order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
-                pos, local = (whole.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("pos", "local"))
+                pos, local = _places(whole.column("pos")[r].as_py()), unpacked(whole.column("local")[r].as_py())
                 terms = whole.column("terms")[r].values
-                at, ids = (terms.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                ids, at = (terms.field(i).to_numpy(zero_copy_only=False) for i in range(2))
                 number = np.full(int(max(local.max(initial=0), at.max(initial=0))) + 1, -1, np.int32)
                 number[at] = np.arange(len(at))
                 local = number[local]
                 pos, local = pos[local >= 0], local[local >= 0]
-                yield pa.RecordBatch.from_arrays([whole.column("block").slice(r, 1), pa.array([pos], _INTS), pa.array([local], _INTS), pa.array([local], _INTS), pa.array([ids], _LONGS)], names=["block", "pos", "local", "group", "ids"])
+                yield _stored(whole.column("block")[r].as_py(), pos, local, local, ids)
 
-    return materialise(raw.select("block", "pos", "local").join(back, "block").select("block", "pos", "local", "terms").mapInArrow(run, "block long, pos array<int>, local array<int>, group array<int>, ids array<bigint>"), "r1")
+    return materialise(raw.select("block", "pos", "local").join(back, "block").select("block", "pos", "local", "terms").mapInArrow(run, _PACKED), "r1")
 
 
 def _key(words: str, a: str, b: str) -> list:
@@ -200,7 +238,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     sizes = raw.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda t, x: t + x)).alias("n"))
     each = raw.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     terms = _numbered(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    back = each.join(terms.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("local", "id"))).alias("terms"))  # of one block
+    back = each.join(terms.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "local"))).alias("terms"))  # of one block
     now, out = _words(raw, back), None
     for k in range(1, longest):
         found = _frequent(now, k, least)
