@@ -58,6 +58,12 @@ def many_to_one(build: DataFrame, key: Sequence[str], rule: str = "join is not m
     return duplicate_keys(build, key, rule)
 
 
+def unmatched(left: DataFrame, right: DataFrame, key: Sequence[str], rule: str = "a key has no partner") -> DataFrame:
+    """Rows of the left side whose key the right side lacks; NULLs match each other."""
+    own = right.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct()
+    return _said(left.join(own, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]), "left_anti"), rule, key)
+
+
 def conflicting_duplicates(df: DataFrame, key: Sequence[str], rule: str = "rows of one key differ") -> DataFrame:
     """Keys with rows that differ anywhere; NULLs equal each other, and so do NaNs. Only a hash of each row is shuffled."""
     rest = [c for c in df.columns if c not in key]
@@ -70,13 +76,13 @@ def drop_exact_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.dropDuplicates(list(key))
 
 
-def divergent_lags(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("season", "GW", "player_code"), rule: str = "divergent form lags") -> DataFrame:
+def divergent_lags(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("season", "GW", "player_code"), rule: str = "rows of one event carry different lags") -> DataFrame:
     """Events whose rows differ in a lag; NULL counts as a value."""
     kinds = [F.count_distinct(c) + F.max(F.col(c).isNull().cast("int")) for c in columns]
     return _said(df.groupBy(*key).agg(F.greatest(*kinds, F.lit(0)).alias("n")).where("n > 1"), rule, key, F.col("n"))
 
 
-def after_cutoff(df: DataFrame, observed: str, cutoff: Column, key: Sequence[str], rule: str = "post-cutoff record") -> DataFrame:
+def after_cutoff(df: DataFrame, observed: str, cutoff: Column, key: Sequence[str], rule: str = "observed later than allowed") -> DataFrame:
     """Rows observed after the cutoff, or at no known time."""
     return _said(df.where(F.coalesce(F.col(observed) > cutoff, F.lit(True))), rule, key, F.col(observed))
 
@@ -107,7 +113,7 @@ def bad_history(history: DataFrame, season: Column, week: Column, points: str =
     key = ["season", "week", "player_id"]
     return [
         _said(history.where(~F.coalesce(F.col("season") == season, F.lit(False))), "history of another season", key),
-        _said(history.where(~F.coalesce(F.col("week") < week, F.lit(False))), "same-week or future history", key),
+        _said(history.where(~F.coalesce(F.col("week") < week, F.lit(False))), "history reaches the frozen week or beyond", key),
         _said(history.where(~finite(number(points))), "history points are not finite", key, F.col(points)),
     ]
 
@@ -134,8 +140,8 @@ def bad_capture(manifest: DataFrame, as_of: Column, season: str, sources: dict[s
 
 
 def bad_hashes(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """manifest (name, sha256) against files (name, content): missing or different content."""
-    own = files.select("name", F.sha2("content", 256).alias("__sha"))
+    """manifest (name, sha256) against files (name, sha256): missing or different content."""
+    own = files.select("name", F.col("sha256").alias("__sha"))
     return _said(manifest.join(own, "name", "left").where(~F.coalesce(F.col("sha256") == F.col("__sha"), F.lit(False))), "file hash differs", ["name"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtura.functions.scalars import availability, blended_minutes, clip, finite, interval_columns, minutes_lift
+from fixtura.operators.checks import duplicate_keys, enforce, unmatched
 from fixtura.operators.intervals import nudge, shift
-from fixtura.operators.metrics import log_loss, quantiles
+from fixtura.operators.metrics import histogram, log_loss, quantiles
+from fixtura.operators.stored import stored
 
 SEED = 42
 
@@ -35,9 +38,13 @@ def classifier(trees: int = 400, label: str = "label") -> GBTClassifier:
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED)
 
 
+def feature_table(train: DataFrame, features: Sequence[str], label: str, *more: str) -> DataFrame:
+    """Feature vectors, the label and ``more`` columns of the rows with a label, written once: however many trees are fitted, lags and joins are computed once."""
+    return stored(assembled(train.where(finite(label)), features).select("features", F.col(label).cast("double").alias("label"), *more), "features")
+
+
 def fit(learner, train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    rows = assembled(train.where(finite(label)), features).select("features", F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[learner]).fit(rows)
+    return Pipeline(stages=[learner]).fit(feature_table(train, features, label))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
@@ -58,6 +65,57 @@ def leaf_quantiles(train: DataFrame, score: DataFrame, features: Sequence[str],
     return done.withColumns({"q_low": F.col("__q")[0], "q_high": F.col("__q")[1]}).drop("features", "prediction", "leaf", "__q")
 
 
+@dataclass
+class QuantileHead:
+    """A start value, and trees with what each of their leaves adds."""
+
+    start: float
+    trees: list[tuple[object, dict[int, float]]]
+
+
+def leaf_steps(model, leaf: str, steps: dict[int, float]) -> Column:
+    """What a row's leaf adds; 0 in a leaf without steps."""
+    return F.coalesce(F.element_at(F.from_json(F.lit(json.dumps({str(k): v for k, v in steps.items()})), "map<string,double>"), F.col(leaf).cast("int").cast("string")), F.lit(0.0))
+
+
+def boosted_quantile(train: DataFrame, features: Sequence[str], label: str, alpha: float, rounds: int = 12, rate: float = 0.3, depth: int = 3, least: int = 50, cut: int = 4) -> QuantileHead:
+    """Boosting under the pinball loss of ``alpha``.
+
+    Each round fits a tree to the loss's slope (alpha where the label is above the forecast so far, alpha - 1 elsewhere), and each leaf adds
+    ``rate`` times the alpha quantile of its residuals, exact, from counts. The features are one stored table; the forecasts so
+    far are stored every ``cut`` rounds, so lineage stays short. Only values by leaf (2**depth) reach the driver.
+    """
+    rows = feature_table(train, features, label)
+    start = quantiles(rows, "label", [alpha]).first()["q"][0]
+    head, now = QuantileHead(float(start or 0.0), []), rows.withColumn("now", F.lit(float(start or 0.0)))
+    for k in range(rounds if start is not None else 0):
+        residual = F.col("label") - F.col("now")
+        sloped = now.select("features", F.when(residual > 0, alpha).otherwise(alpha - 1).alias("label"))
+        tree = DecisionTreeRegressor(labelCol="label", featuresCol="features", maxDepth=depth, minInstancesPerNode=least, leafCol="leaf", seed=SEED + k).fit(sloped)
+        placed = tree.transform(now).drop("prediction")
+        steps = {int(r["leaf"]): rate * r["q"][0] for r in quantiles(placed.select("leaf", residual.alias("residual")), "residual", [alpha], ["leaf"]).collect()}  # one row a leaf
+        head.trees.append((tree, steps))
+        now = placed.withColumn("now", F.col("now") + leaf_steps(tree, "leaf", steps)).drop("leaf")
+        if k % cut == cut - 1:
+            now = stored(now, "boosted")
+    return head
+
+
+def predict_quantile(head: QuantileHead, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+    done = assembled(df, features).withColumn(out, F.lit(head.start))
+    for tree, steps in head.trees:
+        done = tree.transform(done).withColumn(out, F.col(out) + leaf_steps(tree, "leaf", steps)).drop("leaf", "prediction")
+    return done.drop("features")
+
+
+def boosted_quantiles(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, low: float = 0.1, high: float = 0.9, **more) -> DataFrame:
+    """``score`` with q_low and q_high of two boosted heads, in order."""
+    out = score
+    for alpha, name in ((low, "q_low"), (high, "q_high")):
+        out = predict_quantile(boosted_quantile(train, features, label, alpha, **more), out, features, name)
+    return out.withColumns({"q_low": F.least("q_low", "q_high"), "q_high": F.greatest("q_low", "q_high")})
+
+
 def shifted_quantiles(scored: DataFrame, calibration: DataFrame, actual: str, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Quantile columns with the shift fitted on a slice of their own, low <= high; and the shift's row. With ``key``, rows on a bound are nudged on the slice."""
     moved = shift(calibration, actual, "q_low", "q_high")
@@ -81,8 +139,8 @@ def folds(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int =
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], trees: int = 400, n: int = 5) -> DataFrame:
-    """Each row's probability by the model that has not seen it. The feature frame is cached for the n fits."""
-    own = folds(df.where(finite(label)), label, key, n).persist()
+    """Each row's probability by the model that has not seen it. The rows and their folds are written once for the n fits."""
+    own = stored(folds(df.where(finite(label)), label, key, n), "folds")
     parts = [predict(fit(classifier(trees), own.where(F.col("fold") != k), features, label), own.where(F.col("fold") == k), features, "oof") for k in range(n)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -98,32 +156,38 @@ class Calibrator:
     offset: float = 0.0
 
     def apply(self, p: Column) -> Column:
+        """The calibrated probability. The steps are two constant arrays, whatever their number, and a row finds its own by halving."""
         if self.kind == "platt":
             return 1 / (1 + F.exp(-(self.slope * p + self.offset)))
         if self.kind != "isotonic":
             return p
-        b, v = F.array(*map(F.lit, self.bounds)), F.array(*map(F.lit, self.values))
-        at = F.size(F.filter(b, lambda x: x < p))
+        n = len(self.bounds)
+        b, v = (F.from_json(F.lit(json.dumps(x)), "array<double>") for x in (self.bounds, self.values))
+        jumps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        at = F.aggregate(jumps, F.lit(0), lambda lo, k: F.when((lo + k <= n) & (F.get(b, lo + k - 1) < p), lo + k).otherwise(lo))  # bounds below p
         x0, x1, y0, y1 = F.get(b, at - 1), F.get(b, at), F.get(v, at - 1), F.get(v, at)
         line = y0 + (p - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0))
-        return F.when(p.isNull(), None).when(at == 0, v[0]).when(at >= F.lit(len(self.bounds)), v[len(self.values) - 1]).otherwise(F.coalesce(line, y1))
+        return F.when(p.isNull(), None).when(at == 0, self.values[0]).when(at >= n, self.values[-1]).otherwise(F.coalesce(line, y1))
 
 
 def calibrate(df: DataFrame, p: str, label: str, kind: str) -> Calibrator:
-    own = df.where(finite(p) & finite(label)).select(F.col(p).alias("p"), F.col(label).cast("double").alias("label"))
+    """The isotonic learner, which pools on the driver at the end, gets one row a distinct p: its mean label, weighted by its rows."""
+    own = df.where(finite(p) & finite(label)).select(F.col(p).cast("double").alias("p"), F.col(label).cast("double").alias("label"))
     if kind == "isotonic":
-        model = IsotonicRegression(labelCol="label", featuresCol="p").fit(own)
-        return Calibrator("isotonic", [float(x) for x in model.boundaries], [float(x) for x in model.predictions])
+        rows = histogram(own, "p", {"label": F.avg("label"), "n": F.count(F.lit(1)).cast("double")})
+        model = IsotonicRegression(labelCol="label", featuresCol="p", weightCol="n").fit(rows)
+        bounds, values = [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
+        return Calibrator("isotonic", bounds, values) if bounds else Calibrator("raw")
     n = own.count()
     rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(own)
     model = LogisticRegression(regParam=1 / max(1, n), standardization=False, maxIter=200).fit(rows)
     return Calibrator("platt", slope=float(model.coefficients[0]), offset=float(model.intercept))
 
 
-def choose_calibrator(oof: DataFrame, holdout: DataFrame, p: str, label: str, few: int = 500) -> tuple[Calibrator, list[dict]]:
-    """The first calibrator that strictly lowers both losses on the holdout, else none; Platt is tried first with few positives. Also each attempt's losses."""
+def choose_calibrator(oof: DataFrame, holdout: DataFrame, p: str, label: str, few: int = 500, kinds: Sequence[str] = ("isotonic", "platt")) -> tuple[Calibrator, list[dict]]:
+    """The first calibrator of ``kinds`` that strictly lowers both losses on the holdout, else none; Platt is tried first with few positives. Also each attempt's losses."""
     positives = oof.where(F.col(label) == 1).count()
-    order = ("platt", "isotonic") if positives < few else ("isotonic", "platt")
+    order = sorted(kinds, reverse=positives < few)
     before = log_loss(holdout, label, p).first()
     tried = [{"kind": "raw", "log_loss": before["log_loss"], "brier": before["brier"], "positives": positives}]
     for kind in order:
@@ -175,11 +239,14 @@ def load_calibrator(spark, path: str) -> Calibrator:
     return Calibrator(**spark.read.parquet(path).first().asDict())
 
 
-def refit_quantiles(stored: DataFrame, train: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> DataFrame:
-    """Stored validation rows with fresh quantiles, joined by key instead of by place."""
-    rows = stored.select(*key, *[c for c in {*features, label} if c in stored.columns and c not in key])
-    new = leaf_quantiles(train, rows, features, label).select(*key, "q_low", "q_high")
-    return stored.drop("q_low", "q_high").join(new, list(key), "left")
+def refit_quantiles(stored_rows: DataFrame, rows: DataFrame, train: DataFrame, features: Sequence[str], label: str, key: Sequence[str], quantile=leaf_quantiles) -> DataFrame:
+    """Stored validation rows with fresh quantiles of ``rows``, the panel's; nothing else of them changes.
+
+    The two must be aligned, or nothing is made: keys are unique on both sides, and every key of one side is one of the other's.
+    """
+    enforce([duplicate_keys(stored_rows, key, "stored key repeats"), duplicate_keys(rows, key, "panel key repeats"), unmatched(stored_rows, rows, key, "stored row has no panel row"), unmatched(rows, stored_rows, key, "panel row was not stored")])
+    new = quantile(train, rows.select(*key, *[c for c in features if c not in key]), features, label).select(*key, "q_low", "q_high")
+    return stored_rows.drop("q_low", "q_high").join(new, list(key))
 
 
 def attach_quantiles(board: DataFrame, quantiles: DataFrame, key: str = "id") -> DataFrame:

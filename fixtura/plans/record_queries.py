@@ -251,4 +251,5 @@ def ml16_lifted_quantiles(spark, sf_dir):
 @query()
 def ml15_refit_quantiles(spark, sf_dir):
     own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))
-    return models.refit_quantiles(own.where("season = 'S2'").select(*KEY, "total_points", *FEATURES), own.where("season <> 'S2'"), FEATURES, "total_points", KEY).select(*KEY, "q_low", "q_high")
+    now = own.where("season = 'S2'")
+    return models.refit_quantiles(now.select(*KEY, "total_points"), now, own.where("season <> 'S2'"), FEATURES, "total_points", KEY).select(*KEY, "q_low", "q_high")

@@ -228,7 +228,7 @@ def val06_bad_actuals(spark, sf_dir):
     return checks.violations(checks.bad_actuals(frozen, now.withColumn("played", F.lit(1)), ["player_id"])).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {B.MONTHS} SELECT 'same-week or future history' AS rule, count(*) AS n FROM h WHERE week >= {LAST} HAVING count(*) > 0")
+@query(f"WITH {B.MONTHS} SELECT 'history reaches the frozen week or beyond' AS rule, count(*) AS n FROM h WHERE week >= {LAST} HAVING count(*) > 0")
 def val08_bad_history(spark, sf_dir):
     own = B.months(spark, sf_dir)
     last = own.agg(F.max("week").alias("last"))
@@ -389,17 +389,51 @@ def ml03_leaf_quantiles(spark, sf_dir):
     return models.leaf_quantiles(own.where("season <> 'S2'"), own.where("season = 'S2'"), FEATURES, "total_points").select(*KEY, "q_low", "q_high")
 
 
+@query()
+def ml03_boosted_quantiles(spark, sf_dir):
+    """Heads boosted under the pinball loss, fitted on the first seasons."""
+    own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))
+    return models.boosted_quantiles(own.where("season <> 'S2'"), own.where("season = 'S2'"), FEATURES, "total_points").select(*KEY, "q_low", "q_high")
+
+
 @query()
 def ml04_out_of_fold(spark, sf_dir):
     own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double")).where("season <> 'S2' and position <> 'GK'")
     return models.out_of_fold(own, FEATURES, "defcon_hit", KEY, trees=3).select(*KEY, "fold", "oof", "defcon_hit")
 
 
-@query()
+def _isotonic(rows: str) -> str:
+    """The increasing fit of ``rows`` (p, y) by its max-min formula over running sums, at each distinct p: table `fit` (p, g)."""
+    return f"""d AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS w FROM {rows} GROUP BY p),
+u AS MATERIALIZED (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS cs, sum(w) OVER (ORDER BY p) AS cw, s, w FROM d),
+mm AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM u a JOIN u b ON b.i >= a.i),
+lo AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM mm),
+fit AS (SELECT u.p, max(lo.n) AS g FROM lo JOIN u USING (i) GROUP BY u.p)"""
+
+
+_KEYED = LABELLED.replace("SELECT ", "SELECT doc_id, ", 1)
+
+
+@query(f"WITH {_KEYED}, {_isotonic('lb')} SELECT doc_id, y, p, round(g, 6) AS calibrated FROM lb JOIN fit USING (p)")
 def ml05_isotonic(spark, sf_dir):
     own = probabilities(spark, sf_dir)
     found = models.calibrate(own, "p", "y", "isotonic")
-    return own.select("doc_id", "y", "p", found.apply(F.col("p")).alias("calibrated"))
+    return own.select("doc_id", "y", "p", six(found.apply(F.col("p")), "calibrated"))
+
+
+_LOSS = "avg(-(y * ln(least(1 - 1e-6, greatest(1e-6, {0}))) + (1 - y) * ln(1 - least(1 - 1e-6, greatest(1e-6, {0}))))) AS l_{1}, avg((least(1 - 1e-6, greatest(1e-6, {0})) - y) * (least(1 - 1e-6, greatest(1e-6, {0})) - y)) AS b_{1}"
+
+
+@query(f"""WITH {_KEYED}, even AS (SELECT * FROM lb WHERE doc_id % 2 = 0), odd AS (SELECT * FROM lb WHERE doc_id % 2 = 1), {_isotonic('even')},
+pl AS (SELECT lb.doc_id, lb.y, lb.p, (SELECT {{'p': max(f.p), 'g': max_by(f.g, f.p)}} FROM fit f WHERE f.p < lb.p) AS x0, (SELECT {{'p': min(f.p), 'g': min_by(f.g, f.p)}} FROM fit f WHERE f.p >= lb.p) AS x1 FROM lb),
+ca AS (SELECT doc_id, y, p, CASE WHEN x0.p IS NULL THEN x1.g WHEN x1.p IS NULL THEN x0.g ELSE x0.g + (p - x0.p) * (x1.g - x0.g) / (x1.p - x0.p) END AS c FROM pl),
+ls AS (SELECT {_LOSS.format('p', 'raw')}, {_LOSS.format('c', 'iso')} FROM ca WHERE doc_id % 2 = 1)
+SELECT doc_id, CASE WHEN l_iso < l_raw AND b_iso < b_raw THEN 'isotonic' ELSE 'raw' END AS kind, round(CASE WHEN l_iso < l_raw AND b_iso < b_raw THEN c ELSE p END, 6) AS calibrated FROM ca, ls""")
+def ml06_shipped_isotonic(spark, sf_dir):
+    """Fitted on even keys, shipped if both losses fall on odd ones; else the forecasts stay raw."""
+    own = probabilities(spark, sf_dir)
+    found, _ = models.choose_calibrator(own.where("doc_id % 2 = 0"), own.where("doc_id % 2 = 1"), "p", "y", kinds=("isotonic",))
+    return own.select("doc_id", F.lit(found.kind).alias("kind"), six(found.apply(F.col("p")), "calibrated"))
 
 
 @query()
@@ -410,6 +444,17 @@ def ml06_calibrator_choice(spark, sf_dir):
     return own.select("doc_id", F.lit(found.kind).alias("kind"), found.apply(F.col("p")).alias("calibrated"), F.lit(len(tried)).alias("attempts"))
 
 
+@query(f"""WITH {BOUNDS}, cal AS (SELECT greatest(lo - y, y - hi) AS need FROM iv WHERE "GW" <= 5), t AS (SELECT avg(CASE WHEN need <= 0 THEN 1.0 ELSE 0.0 END) AS coverage, quantile_cont(need, 0.8) AS q FROM cal),
+sh AS (SELECT CASE WHEN coverage BETWEEN 0.75 AND 0.9 THEN 0.0 ELSE q END AS s FROM t), mv AS (SELECT iv.* REPLACE (lo - s AS lo, greatest(hi + s, lo - s) AS hi) FROM iv, sh), nd AS (SELECT *, greatest(lo - y, y - hi) AS need FROM mv),
+tt AS (SELECT count(*) AS n, count_if(need <= 0) AS i FROM nd), k AS (SELECT greatest(0, i - CAST(floor(0.9 * n + 1e-9) AS BIGINT)) AS o, greatest(0, CAST(ceil(0.75 * n) AS BIGINT) - i) AS a FROM tt),
+r AS (SELECT nd.*, o, a, row_number() OVER (PARTITION BY need <= 0 ORDER BY abs(need), season, "GW", player_code, fixture) <= CASE WHEN o > 0 AND need <= 0 THEN o WHEN o = 0 AND need > 0 THEN a ELSE 0 END AS nudged FROM nd, k)
+SELECT season, "GW", player_code, fixture, round(CASE WHEN nudged AND o = 0 THEN least(lo, y) ELSE lo END, 6) AS q_low, round(CASE WHEN nudged AND o = 0 THEN greatest(hi, y) ELSE hi END, 6) AS q_high FROM r""")
+def ml09_shifted_bounds(spark, sf_dir):
+    """Bounds from a table instead of a head: the shift found on the first events, order and nudge on all rows."""
+    own = bounded(spark, sf_dir).withColumnsRenamed({"lo": "q_low", "hi": "q_high"})
+    return models.shifted_quantiles(own, own.where("GW <= 5"), "y", KEY)[0].select(*KEY, six("q_low"), six("q_high"))
+
+
 @query()
 def ml09_shifted_quantiles(spark, sf_dir):
     own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +55,65 @@ def declared_rows(manifest_: DataFrame) -> DataFrame:
     return manifest_.select(F.explode("history_rows_by_element").alias("key", "n")).select(F.col("key").try_cast("int").alias("element"), "n")
 
 
-def file_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(name, content) for hash checks."""
-    return spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "content")
+PIECE = 8 << 20
+
+
+def file_hashes(spark: SparkSession, paths: list[str], piece: int = PIECE, by: str = r"([^/]+)$") -> DataFrame:
+    """(name, bytes, sha256) of each file, of any size; the name is what ``by`` catches in the path.
+
+    Files are read in splits, as lines of raw bytes, and packed into pieces of about ``piece`` bytes; a file's pieces stream in order through the task that
+    hashes it, so no row and no task ever holds a file. What bounds memory is one line. An empty file has the hash of nothing.
+    """
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    lines = raw.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, seq = None, [], 0, 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, seq, b"\n".join(held)), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "size", "start", "seq", "piece"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                for path, total, start, value in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    if now is not None and (now != (path, total, start) or size >= piece):
+                        yield told()
+                        held, size, seq = [], 0, seq + 1
+                    now = (path, total, start)
+                    held.append(value)
+                    size += len(value) + 1
+        if now is not None:
+            yield told()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, done = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            if done < now[1]:
+                sha.update(b"\n")  # the file ends with one
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([sha.hexdigest()])], names=["path", "bytes", "sha256"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                path, total, part = (batch.column(c)[at].as_py() for c in ("path", "size", "piece"))
+                if now != (path, total):
+                    if now is not None:
+                        yield told()
+                    now, sha, done = (path, total), hashlib.sha256(), 0
+                else:
+                    sha.update(b"\n")
+                    done += 1
+                sha.update(part)
+                done += len(part)
+        if now is not None:
+            yield told()
+
+    parts = lines.mapInArrow(pack, "path string, size long, start long, seq long, piece binary").repartition("path").sortWithinPartitions("path", "start", "seq")
+    found = parts.mapInArrow(hashed, "path string, bytes long, sha256 string")
+    every = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string")  # the reader's own listing
+    name, nothing = F.regexp_extract("path", by, 1), hashlib.sha256().hexdigest()
+    told = every.select(name.alias("name")).distinct().join(found.select(name.alias("name"), "bytes", "sha256"), "name", "left")
+    return told.select("name", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha256", F.lit(nothing)).alias("sha256"))
 
 
 def entry_history(spark: SparkSession, path: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_frozen_rules(spark):
     good = [*checks.bad_history(history, F.lit("2025"), F.lit(5)), *checks.bad_snapshot(frozen, position), *checks.bad_actuals(frozen, actuals, key)]
     checks.enforce(good)
     for rule, bad in {
-        "same-week or future": checks.bad_history(history.withColumn("week", F.lit(5)), F.lit("2025"), F.lit(5)),
+        "frozen week or beyond": checks.bad_history(history.withColumn("week", F.lit(5)), F.lit("2025"), F.lit(5)),
         "another season": checks.bad_history(history, F.lit("2024"), F.lit(5)),
         "one season and week": checks.bad_snapshot(frozen.withColumn("week", F.when(F.col("player_id") == "QB_A", 4).otherwise(5)), position),
         "position is not allowed": checks.bad_snapshot(frozen, ["QB"]),
@@ -63,7 +63,7 @@ def test_frozen_rules(spark):
             checks.enforce(bad)
     seen = spark.createDataFrame([("a", "2025-09-25T00:00:00Z"), ("b", "2025-09-25T00:00:01Z"), ("c", "yesterday")], "player_id string, observed_at string").withColumn("at", utc("observed_at"))
     late = checks.after_cutoff(seen, "at", utc(F.lit("2025-09-25T00:00:00Z")), ["player_id"])
-    assert [r["key"] for r in late.orderBy("key").collect()] == ["player_id=b", "player_id=c"] and "post-cutoff" in late.first()["rule"]
+    assert [r["key"] for r in late.orderBy("key").collect()] == ["player_id=b", "player_id=c"] and "later than allowed" in late.first()["rule"]
     assert weighted_points({"points": 1.0}) is not None
 
 

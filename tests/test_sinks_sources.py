@@ -38,7 +38,7 @@ def test_board_is_frozen_after_its_deadline(spark, tmp_path):
     board = spark.createDataFrame([(1, 5.0)], "id int, e_points_final double")
     early, late, deadline = (dt.datetime(2025, 9, d) for d in (1, 3, 2))
     path = f"{tmp_path}/boards"
-    read = lambda: [tuple(r) for r in spark.read.parquet(f"{path}/season=2025-26/gw=3").collect()]
+    read = lambda: [tuple(r) for r in sinks.read_table(spark, sinks.board_path(path, "2025-26", 3)).collect()]
     assert sinks.write_board(board, path, "2025-26", 3, deadline, late) and read() == [(1, 5.0)]
     assert sinks.write_board(board.withColumn("e_points_final", F.lit(6.0)), path, "2025-26", 3, deadline, early) and read() == [(1, 6.0)]
     assert not sinks.write_board(board, path, "2025-26", 3, deadline, late) and read() == [(1, 6.0)]
@@ -56,7 +56,7 @@ def test_predictions_need_unique_keys(spark, tmp_path):
 
 def test_upsert_is_idempotent(spark, tmp_path):
     path, new = f"{tmp_path}/scores", spark.createDataFrame([("s", 2, 1.0), ("s", 1, 2.0)], "season string, gw int, mae double")
-    get = lambda: [(r["gw"], r["mae"]) for r in spark.read.parquet(path).orderBy("gw").collect()]
+    get = lambda: [(r["gw"], r["mae"]) for r in sinks.read_table(spark, path).orderBy("gw").collect()]
     sinks.upsert(new, path)
     again = spark.createDataFrame([("s", 2, 9.0)], "season string, gw int, mae double")
     for _ in range(2):
@@ -111,3 +111,59 @@ def test_snapshot_documents(spark, tmp_path):
     assert tuple(snapshots.event_live(spark, f"{tmp_path}/live.json").first()) == (4, 9, 80)
     assert snapshots.entry_history(spark, f"{tmp_path}/entry.json").first()["points"] == 50
     assert snapshots.picks(spark, f"{tmp_path}/picks.json").first()["slot"] == 1
+
+
+def test_readers_survive_a_write_that_stops_anywhere(spark, tmp_path, monkeypatch):
+    path, schema = f"{tmp_path}/scores", "season string, gw int, mae double"
+    get = lambda: sorted((r["gw"], r["mae"]) for r in sinks.read_table(spark, path).collect())
+    sinks.upsert(spark.createDataFrame([("s", 1, 1.0)], schema), path)
+    held = sinks.read_table(spark, path)  # a reader that began before
+    real = sinks.commit
+
+    def stops(*a, **k):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(sinks, "commit", stops)  # the data is written, the commit never comes
+    with pytest.raises(KeyboardInterrupt):
+        sinks.upsert(spark.createDataFrame([("s", 1, 9.0)], schema), path)
+    assert get() == [(1, 1.0)]
+    monkeypatch.setattr(sinks, "commit", real)
+    sinks.upsert(spark.createDataFrame([("s", 1, 2.0)], schema), path)
+    assert get() == [(1, 2.0)] and held.first()["mae"] == 1.0
+    assert len(sinks.versions(spark, path)) == 2 and len(sinks.cleaned(spark, path, keep=1)) == 1 and get() == [(1, 2.0)]
+
+
+def test_no_update_of_two_writers_is_lost(spark, tmp_path, monkeypatch):
+    path, schema = f"{tmp_path}/scores", "season string, gw int, mae double"
+    sinks.upsert(spark.createDataFrame([("s", 1, 1.0)], schema), path)
+    real, other = sinks.commit, [True]
+
+    def late(spark_, path_, folder, after):
+        if other.pop() if other else False:  # another writer is faster once
+            monkeypatch.setattr(sinks, "commit", real)
+            sinks.upsert(spark.createDataFrame([("s", 2, 2.0)], schema), path)
+        real(spark_, path_, folder, after)
+
+    monkeypatch.setattr(sinks, "commit", late)
+    sinks.upsert(spark.createDataFrame([("s", 3, 3.0)], schema), path)
+    assert sorted((r["gw"], r["mae"]) for r in sinks.read_table(spark, path).collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    with pytest.raises(sinks.Conflict):
+        sinks.replace(spark.createDataFrame([("s", 4, 4.0)], schema), path, after=1)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("piece,split", [(1 << 23, "128m"), (100, "1k")])
+def test_files_are_hashed_in_pieces(spark, tmp_path, piece, split):
+    """Files above the piece's size and above a split's, with and without a last newline, with bytes that are no text."""
+    import hashlib
+
+    made = {"a.txt": b"x\n" * 5000, "b.bin": bytes(range(256)) * 40, "c.txt": b"", "d.txt": b"\n", "e.txt": b"no end", "f.txt": b"\r\nline\r\n\n\n", "g.txt": b"\n" * 3000 + b"z"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {r["name"]: (r["bytes"], r["sha256"]) for r in snapshots.file_hashes(spark, [str(tmp_path)], piece).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: (len(c), hashlib.sha256(c).hexdigest()) for name, c in made.items()}
