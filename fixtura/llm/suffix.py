@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from fixtura.llm.common import _BASE, Words, _powers, groups, materialise, mix, pieces
 
 LEAST, SEED = 50, 12
+#: Rows that a task compares at once, and rows of a partition.
+PIECE, PART = 1 << 18, 1 << 21
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
@@ -132,23 +134,25 @@ def runs(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, uid long, run long, twin long, pos int, a int, b int, held boolean")
 
 
-def compared(rows: DataFrame, levels: list[list[str]], across: bool, held: bool = False) -> DataFrame:
+def compared(rows: DataFrame, levels: list[list[str]], across: bool, held: bool = False, piece: int = PIECE, part: int = PART) -> DataFrame:
     """Rows (key, uid, pos, ...) that have others like them, sorted and compared with their neighbours.
 
     Rows are alike at a level if they have the same values in its columns and in those of the levels before it. Added for each level n: shared_n (another
     row is alike; ``across``: one of another text; ``held``: or a row alike has that flag), first_n (the first of those alike, by key and place)
     and, but for the last, mixed_n (those alike differ at the next level).
+
+    Sorted rows stream in pieces of about ``piece`` rows that end between groups of the first level; a group that goes on beyond a piece or a partition
+    is an edge, and edges are settled by an aggregate. Partitions have about ``part`` rows, so their number follows the table.
     """
     columns = [c for level in levels for c in level]
     order = [*columns, "key", "uid", "pos"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-rows.count() // part)  # rows are a stored table
+    dealt = (rows.repartitionByRange(wanted, *order) if wanted > most else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
     flags = [f"{name}_{n}" for n in range(len(levels)) for name in ("shared", "first", "mixed", "edge")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
+    def told(table: pa.Table, opens: bool, closes: bool) -> Iterator[pa.RecordBatch]:
+        """One piece; ``opens``, ``closes``: its first or last group may go on outside it."""
         uid, made, new = table["uid"].to_numpy(), [], np.arange(table.num_rows) == 0
         starts = []
         for level in levels:
@@ -163,13 +167,39 @@ def compared(rows: DataFrame, levels: list[list[str]], across: bool, held: bool
                 shared |= np.logical_or.reduceat(table["held"].to_numpy(zero_copy_only=False), at)
             mixed = np.add.reduceat(starts[n + 1].astype(int), at) > 1 if n + 1 < len(starts) else np.zeros(len(at), bool)
             edge = np.zeros(len(at), bool)
-            edge[[0, -1]] = True  # such a group may go on in the next partition
+            edge[0] |= opens
+            edge[-1] |= closes
             made += [np.repeat(shared, size), begins, np.repeat(mixed, size), np.repeat(edge, size)]
         keep = pa.array(made[0] | made[3])
         for name, x in zip(flags, made, strict=True):
             table = table.append_column(name, pa.array(x))
         yield from table.filter(keep).to_batches(max_chunksize=50_000)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, opens, look = [], 0, True, piece
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= look:
+                table = pa.Table.from_batches(waiting)
+                new = np.zeros(size, bool)
+                for c in levels[0]:
+                    new[1:] |= np.diff(table[c].to_numpy()) != 0
+                last = int(np.flatnonzero(new)[-1]) if new.any() else 0  # where the last group begins
+                if last:
+                    yield from told(table.slice(0, last), opens, False)
+                    waiting, size, opens = table.slice(last).to_batches(), size - last, False
+                    look = max(piece, 2 * size)
+                elif size >= 4 * piece:  # one group: what follows of it is an edge as well
+                    yield from told(table, True, True)
+                    waiting, size, opens, look = [], 0, True, piece
+                else:
+                    look = 2 * size
+        if size:
+            yield from told(pa.Table.from_batches(waiting), opens, True)
+
     found = materialise(dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(f, T.BooleanType()) for f in flags)])), "sorted")
     place, names = F.struct("key", "uid", "pos"), rows.columns
     for n in range(len(levels)):
@@ -177,7 +207,7 @@ def compared(rows: DataFrame, levels: list[list[str]], across: bool, held: bool
         after = F.struct(*levels[n + 1]) if n + 1 < len(levels) else F.lit(0)
         shared = F.min("uid") != F.max("uid") if across else F.count(F.lit(1)) > 1
         whole = found.where(f"edge_{n}").groupBy(*own).agg((shared | F.max("held") if held else shared).alias("s"), F.min(place).alias("least"), (F.min(after) != F.max(after)).alias("m"))
-        found = found.join(F.broadcast(whole), own, "left")  # at most two groups a partition
+        found = found.join(F.broadcast(whole), own, "left")  # at most two groups a partition, and those of over `piece` rows
         say = lambda name, new: F.when(F.col(f"edge_{n}"), new).otherwise(F.col(name)).alias(name)  # noqa: E731, B023
         fixed = {f"shared_{n}": F.col("s"), f"first_{n}": place.eqNullSafe(F.col("least")), f"mixed_{n}": F.col("m")}
         found = found.select(*names, *[say(f, fixed[f]) if f in fixed else F.col(f) for f in flags])
@@ -210,14 +240,14 @@ def merged(pairs: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"key {pairs.schema['key'].dataType.simpleString()}, uid long, spans {kind}, extra {kind}")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, across: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, across: bool = False, piece: int = PIECE, part: int = PART) -> DataFrame:
     """Rows of ``docs`` with repeated passages: key, spans and extra, arrays of (start, end) code points.
 
     ``across``: only what another text (another key or other content) holds too; else repeats within one text count as well.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("uid"), F.col(text).alias("text"))
     kept = materialise(suffixes(rows, least, seed), "suffixes")
-    met = materialise(compared(kept, [["seed"], ["context"]], across), "met")
+    met = materialise(compared(kept, [["seed"], ["context"]], across, piece=piece, part=part), "met")
     # same context: repeated from end to end of it
     whole = met.where("shared_1").select("key", "uid", "a", "b", F.col("first_1").alias("first"))
     # same seed, other context: one of each context is extended, and all of a context that one text alone holds
@@ -227,5 +257,5 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     texts = rows.join(own, (F.col("uid") == F.col("in")) & F.col("key").eqNullSafe(F.col("of"))).select("key", "uid", "text", "wanted")
     extended = materialise(runs(texts, least, seed), "runs")
     # a context of two texts is extended for one of them, so its runs are shared even where no other row has them
-    part = compared(extended, [["run", "twin"]], across, held=True).select("key", "uid", "a", "b", F.col("first_0").alias("first"))
-    return merged(whole.unionByName(part)).select(F.col("key").alias(key), "spans", "extra")
+    inner = compared(extended, [["run", "twin"]], across, held=True, piece=piece, part=part).select("key", "uid", "a", "b", F.col("first_0").alias("first"))
+    return merged(whole.unionByName(inner)).select(F.col("key").alias(key), "spans", "extra")

@@ -77,9 +77,9 @@ def test_passage_again_in_a_text_whose_context_another_shares(spark, seed):
     assert got == dict(enumerate(brute(texts, across=True))) and len(got[0]) == 2
 
 
-@pytest.mark.parametrize("across", [False, True])
-def test_groups_that_reach_over_partitions(spark, across):
-    """Many partitions for few rows: a hot passage is cut into several, so its groups are completed from the edges."""
+@pytest.mark.parametrize("across,sizes", [(False, {}), (True, {}), (True, {"piece": 5, "part": 400}), (False, {"piece": 2, "part": 50})])
+def test_groups_that_reach_over_partitions(spark, across, sizes):
+    """Many partitions and pieces for few rows: a hot passage is cut into several, so its groups are completed from the edges."""
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
     hot, warm = words(56), words(70)
@@ -88,7 +88,7 @@ def test_groups_that_reach_over_partitions(spark, across):
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "29")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        got = {r["doc_id"]: r for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=across).collect()}
+        got = {r["doc_id"]: r for r in suffix.repeats(docs(spark, list(enumerate(texts))), across=across, **sizes).collect()}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
