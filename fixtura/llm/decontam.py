@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,16 +156,18 @@ def _parts(items: DataFrame, item: str, text: str, most: int) -> list[DataFrame]
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "leaks", k: int = WORDS, threshold: float = THRESHOLD, most: int = PART_BYTES) -> DataFrame:
     """``docs`` with ``out``, an array of structs (item, containment) of the items found in each text.
 
-    One part of items is one pass. With more, ``docs`` is written once with a row number, each part is a pass of its own over the texts, whose
-    tasks hold that part's index only, and what they find is joined back by row.
+    One part of items is one pass. With more, ``docs`` is written once with a row number, and the parts are passes over the texts one after another: the
+    driver and the tasks hold one part at a time, what it finds is written, and what all have found is joined back by row.
     """
     kind = T.ArrayType(T.StructType([T.StructField("item", items.schema[item].dataType), T.StructField("containment", T.DoubleType())]))
     arrow = to_arrow_type(kind)
     parts = _parts(items, item, item_text, most)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
 
-    def search(rows: DataFrame, part: DataFrame) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])  # at most about `most` bytes
+    def sent(part: DataFrame) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])  # at most about `most` bytes
+
+    def search(rows: DataFrame, held: Broadcast) -> DataFrame:
 
         def make():
             index = Index(held.value, k, threshold)
@@ -173,10 +176,15 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
         return append_columns(rows, text, [T.StructField(out, kind)], make)
 
     if len(parts) < 2:
-        return search(docs, parts[0]) if parts else docs.withColumn(out, F.array().cast(kind))
+        return search(docs, sent(parts[0])) if parts else docs.withColumn(out, F.array().cast(kind))
     row = fresh([*docs.columns, out], "row")
     own = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    found = reduce(DataFrame.unionByName, [search(own.select(row, text), part).where(F.size(out) > 0).select(row, out) for part in parts])
+    passes = []
+    for part in parts:
+        held = sent(part)
+        passes.append(materialise(search(own.select(row, text), held).where(F.size(out) > 0).select(row, out), "found"))
+        held.destroy()
+    found = reduce(DataFrame.unionByName, passes)
     joined = own.join(found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(out))).alias(out)), row, "left")
     return joined.select(*docs.columns, F.coalesce(out, F.array().cast(kind)).alias(out))
 
