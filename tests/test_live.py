@@ -71,11 +71,22 @@ def test_board_slugs_rosters(spark):
     assert [(r["id"], r["e_points_final"]) for r in publish(raw).collect()] == [(1, 6.5), (3, 2.0), (2, 0.0)]
 
 
+SQUADS = {31: "Harbour", 44: "Mill Lane", 58: "Orchard"}
+PLAYERS = {7001: (31, 3, 5501), 7002: (31, 1, 5502), 7003: (44, 4, 5503), 7004: (58, 2, 5504)}  # team, kind, stable code
+GAMES = {610: (4, "2025-09-13T14:00:00Z", 31, 44), 611: (4, "2025-09-14T16:30:00Z", 58, 31), 640: (5, "2025-09-27T11:30:00Z", 44, 58)}
+#: element, game -> minutes, points, conceded
+PLAYED = {(7001, 610): (77, 5, "0.8"), (7001, 611): (90, 2, "1.9"), (7003, 610): (12, 1, "0.1"), (7004, 611): (90, 9, "0.0")}
+
+
 def bundle(folder, change=lambda b: b):
-    boot = {"teams": [{"id": 1, "name": "A", "short_name": "A"}, {"id": 2, "name": "B", "short_name": "B"}], "events": [{"id": 1, "deadline_time": "2025-08-01T00:00:00Z", "finished": True, "data_checked": True, "is_current": False, "is_next": False}, {"id": 2, "deadline_time": "2025-08-20T00:00:00Z", "finished": False, "data_checked": False, "is_current": False, "is_next": True}], "elements": [{"id": 101, "code": 7, "element_type": 3, "team": 1, "minutes": 90, "starts": 1, "total_points": 6, "web_name": "X", "status": "a"}, {"id": 102, "code": 8, "element_type": 1, "team": 2, "minutes": 0, "starts": 0, "total_points": 0, "web_name": "Y", "status": "a"}]}
-    fx = [{"id": 1, "event": 1, "kickoff_time": "2025-08-02T12:00:00Z", "finished": True, "finished_provisional": True, "team_h": 1, "team_a": 2, "team_h_difficulty": 2, "team_a_difficulty": 4}]
-    history = {101: [{"element": 101, "fixture": 1, "round": 1, "kickoff_time": "2025-08-02T12:00:00Z", "minutes": 90, "starts": 1, "total_points": 6, "was_home": True, "expected_goals_conceded": "1.2"}], 102: []}
-    manifest = {"format_version": 1, "season": "2025-26", "captured_at_utc": "2025-08-19T12:00:00Z", "bootstrap_source": "boot", "fixtures_source": "fix", "covered_element_ids": [101, 102], "history_rows_by_element": {"101": 1, "102": 0}}
+    """Three clubs, four players, two games played and one to come; player 7002 has no history."""
+    own = {p: [(g, v) for (q, g), v in PLAYED.items() if q == p] for p in PLAYERS}
+    elements = [{"id": p, "code": code, "element_type": kind, "team": team, "minutes": sum(v[0] for _, v in own[p]), "starts": sum(v[0] > 60 for _, v in own[p]), "total_points": sum(v[1] for _, v in own[p]), "web_name": f"P{p}", "status": "a"} for p, (team, kind, code) in PLAYERS.items()]
+    events = [{"id": e, "deadline_time": f"2025-09-{day}T10:00:00Z", "finished": e < 5, "data_checked": e < 5, "is_current": e == 4, "is_next": e == 5} for e, day in ((4, 13), (5, 27))]
+    boot = {"teams": [{"id": t, "name": name, "short_name": name[:3].upper()} for t, name in SQUADS.items()], "events": events, "elements": elements}
+    fx = [{"id": g, "event": e, "kickoff_time": at, "finished": e < 5, "finished_provisional": e < 5, "team_h": h, "team_a": a, "team_h_difficulty": 3, "team_a_difficulty": 2} for g, (e, at, h, a) in GAMES.items()]
+    history = {p: [{"element": p, "fixture": g, "round": GAMES[g][0], "kickoff_time": GAMES[g][1], "minutes": v[0], "starts": int(v[0] > 60), "total_points": v[1], "was_home": PLAYERS[p][0] == GAMES[g][2], "expected_goals_conceded": v[2]} for g, v in rows] for p, rows in own.items()}
+    manifest = {"format_version": 1, "season": "2025-26", "captured_at_utc": "2025-09-26T07:15:00Z", "bootstrap_source": "boot", "fixtures_source": "fix", "covered_element_ids": list(PLAYERS), "history_rows_by_element": {str(p): len(rows) for p, rows in own.items()}}
     b = {"boot": boot, "fx": fx, "history": history, "manifest": manifest}
     change(b)
     (folder / "history").mkdir()
@@ -88,7 +99,7 @@ def bundle(folder, change=lambda b: b):
     (folder / "manifest.json").write_text(json.dumps(b["manifest"]))
 
 
-def rules(spark, folder, as_of="2025-08-19T18:00:00Z"):
+def rules(spark, folder, as_of="2025-09-26T20:00:00Z"):
     d = str(folder)
     elements, teams, events = snapshots.bootstrap(spark, f"{d}/bootstrap.json")
     fx, manifest = snapshots.fixtures(spark, f"{d}/fixtures.json"), snapshots.manifest(spark, f"{d}/manifest.json")
@@ -96,12 +107,12 @@ def rules(spark, folder, as_of="2025-08-19T18:00:00Z"):
     el = elements.select(F.col("id").alias("element"), "code", "minutes", "starts", "total_points")
     at = utc(F.lit(as_of))
     hashes = manifest.select(F.explode(F.array(F.struct(F.lit("bootstrap.json").alias("name"), F.col("bootstrap_sha256").alias("sha256")), F.struct(F.lit("fixtures.json").alias("name"), F.col("fixtures_sha256").alias("sha256")))).alias("x")).select("x.*")
-    files = snapshots.file_contents(spark, [f"{d}/bootstrap.json", f"{d}/fixtures.json"])
+    files = snapshots.file_hashes(spark, [f"{d}/bootstrap.json", f"{d}/fixtures.json"])
     met = live.history_with_meta(rows, fx, elements.select("id", "code"))
     return [
         *checks.bad_capture(manifest.withColumn("captured", utc("captured_at_utc")), at, "2025-26", {"bootstrap_source": "boot", "fixtures_source": "fix"}),
         checks.bad_hashes(hashes, files), *checks.bad_coverage(snapshots.covered(manifest), el, snapshots.declared_rows(manifest), rows), *checks.bad_alignment(met),
-        checks.bad_totals(el, rows), checks.late_as_of(events.withColumn("deadline_time", utc("deadline_time")), 2, at), checks._said(rows.where("element <> file_element"), "element differs from file", ["element"]),
+        checks.bad_totals(el, rows), checks.late_as_of(events.withColumn("deadline_time", utc("deadline_time")), 5, at), checks._said(rows.where("element <> file_element"), "element differs from file", ["element"]),
         checks.bad_fields(rows.withColumn("position", F.lit("MID")).withColumn("expected_goals_conceded", F.col("expected_goals_conceded").try_cast("double")), ["minutes", "expected_goals_conceded"]),
     ]
 
@@ -112,29 +123,31 @@ def test_good_bundle_passes(spark, tmp_path):
 
 
 CHANGES = [
-    ("unsupported snapshot version", lambda b: b["manifest"].update(format_version=2)),
-    ("snapshot season differs", lambda b: b["manifest"].update(season="2024-25")),
-    ("captured after as_of", lambda b: b["manifest"].update(captured_at_utc="2025-08-19T19:00:00Z")),
-    ("too old", lambda b: b["manifest"].update(captured_at_utc="2025-08-18T00:00:00Z")),
-    ("bootstrap_source is not", lambda b: b["manifest"].update(bootstrap_source="other")),
-    ("file hash differs", lambda b: b["manifest"].update(fixtures_sha256="0" * 64)),
-    ("element is covered twice", lambda b: b["manifest"].update(covered_element_ids=[101, 102, 102])),
-    ("covered element is unknown", lambda b: b["manifest"].update(covered_element_ids=[101, 102, 103])),
-    ("element is not covered", lambda b: b["manifest"].update(covered_element_ids=[101])),
-    ("stable code is not unique", lambda b: b["boot"]["elements"][1].update(code=7)),
-    ("history row count differs", lambda b: b["manifest"].update(history_rows_by_element={"101": 2, "102": 0})),
-    ("unknown fixture", lambda b: b["history"][101][0].update(fixture=9)),
-    ("unknown element", lambda b: b["history"][101][0].update(element=999)),
-    ("element differs from file", lambda b: b["history"][101][0].update(element=102)),
-    ("event differs from fixture", lambda b: b["history"][101][0].update(round=3)),
-    ("kickoff differs from fixture", lambda b: b["history"][101][0].update(kickoff_time="2025-08-03T12:00:00Z")),
-    ("cumulative totals differ", lambda b: b["boot"]["elements"][0].update(minutes=45)),
-    ("as_of is not before the deadline", lambda b: b["boot"]["events"][1].update(deadline_time="2025-08-19T18:00:00Z")),
-    ("required field is missing", lambda b: b["history"][101][0].update(expected_goals_conceded="x")),
+    ("unsupported snapshot version", lambda b: b["manifest"].update(format_version=7)),
+    ("snapshot season differs", lambda b: b["manifest"].update(season="2023-24")),
+    ("captured after as_of", lambda b: b["manifest"].update(captured_at_utc="2025-09-26T20:00:01Z")),
+    ("too old", lambda b: b["manifest"].update(captured_at_utc="2025-09-25T19:59:59Z")),
+    ("bootstrap_source is not", lambda b: b["manifest"].update(bootstrap_source="mirror")),
+    ("file hash differs", lambda b: b["manifest"].update(fixtures_sha256="ab" * 32)),
+    ("element is covered twice", lambda b: b["manifest"]["covered_element_ids"].append(7003)),
+    ("covered element is unknown", lambda b: b["manifest"]["covered_element_ids"].append(7999)),
+    ("element is not covered", lambda b: b["manifest"]["covered_element_ids"].remove(7002)),
+    ("stable code is not unique", lambda b: b["boot"]["elements"][3].update(code=5501)),
+    ("history row count differs", lambda b: b["manifest"]["history_rows_by_element"].update({"7001": 1})),
+    ("history row count differs", lambda b: b["history"][7003].clear()),
+    ("unknown fixture", lambda b: b["history"][7004][0].update(fixture=699)),
+    ("unknown element", lambda b: b["history"][7001][1].update(element=7777)),
+    ("element differs from file", lambda b: b["history"][7001][1].update(element=7002)),
+    ("event differs from fixture", lambda b: b["history"][7003][0].update(round=5)),
+    ("kickoff differs from fixture", lambda b: b["history"][7004][0].update(kickoff_time="2025-09-14T16:31:00Z")),
+    ("cumulative totals differ", lambda b: b["boot"]["elements"][2].update(minutes=13)),
+    ("cumulative totals differ", lambda b: b["boot"]["elements"][1].update(total_points=1)),
+    ("as_of is not before the deadline", lambda b: b["boot"]["events"][1].update(deadline_time="2025-09-26T20:00:00Z")),
+    ("required field is missing", lambda b: b["history"][7004][0].update(expected_goals_conceded="n/a")),
 ]
 
 
-@pytest.mark.parametrize("rule,change", CHANGES, ids=[c[0] for c in CHANGES])
+@pytest.mark.parametrize("rule,change", CHANGES, ids=[f"{i}-{c[0]}" for i, c in enumerate(CHANGES)])
 def test_changed_bundle_fails(spark, tmp_path, rule, change):
     bundle(tmp_path, change)
     with pytest.raises(checks.CheckFailed, match=rule):
