@@ -4,7 +4,9 @@ Base spans are fixed patterns with checks (KINDS). The field runs over the token
 sign. Its labels are `none`, the kinds and `secret` (a credential's value). Potentials: weights of shape features for each token,
 a table for neighbouring tokens, and one weight each for two sorts of skip edges, however far apart the tokens are: equal core
 (letters and digits, lower case), and similar core (one character more, less or other; the same digits with other separators or without
-the first ones; the local part of an address alone). Loopy sum-product messages give beliefs. Base spans' tokens are told their
+the first ones; the local part of an address alone). Values of 9 to 40 letters and digits are similar at one edit; shorter ones would meet by
+chance, longer ones meet only if equal, by their digits or by an address's local part; cores of under 5 or without a digit have no skip edges. A token's
+shape sees the last word of the 24 code points before it. Loopy sum-product messages give beliefs. Base spans' tokens are told their
 kind; any other token is added if its belief in one label passes SURE, wherever it stands and whether the document
 has base spans or not. Neighbouring added tokens of one phone or card are one span. Base spans never change.
 

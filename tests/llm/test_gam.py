@@ -51,3 +51,16 @@ def test_odd_rows_and_labels(spark):
     one = gam.train(table, labels.where("quality = 1"))
     assert len({r["p"] for r in gam.score(table, one, out="p").collect()}) == 1
     assert gam.score(docs(spark, []), model).collect() == []
+
+
+def test_query_scores_by_plain_sums(spark, sf):
+    """Each document's score is the sum of the learned tables' entries at its features' bins."""
+    from fixtura.llm.queries import quality_model
+
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_model(spark, docs_, sf)
+    got = {r["doc_id"]: r["score"] for r in op6_quality_gam(spark, sf).collect()}
+    for r in docs_.collect():
+        x = gam.features(r["text"])
+        total = model.base + sum(t[sum(c <= v for c in cut)] for cut, t, v in zip(model.cuts, model.tables, x)) + sum(t[sum(c <= x[i] for c in a), sum(c <= x[j] for c in b)] for i, j, a, b, t in model.pairs)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9

@@ -144,3 +144,27 @@ def test_redact_and_odd_rows(spark):
     assert by[31]["text"] == "[PHONE]x" and by[1]["text"] is None and by[2]["text"] == ""
     assert pii.find(table, model, out="s").count() == len(ODD) + 2
     assert pii.redact(docs(spark, []), pii.train(docs(spark, []))).collect() == []
+
+
+def test_credentials_that_no_keyword_names(spark):
+    """The keyword hidden, the shape still tells; said again without any mark, only the skip edge does."""
+    import numpy as np
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    known = [t for t in texts if pii.base_spans(t) + pii.seeds(t)]
+    model = pii.fit([pii.surroundings(t, pii.base_spans(t) + pii.seeds(t)) for t in known])
+    bare = pii.Field(model.unary, model.chain, np.zeros(2))
+    hidden = again = alone = n = 0
+    for t in known:
+        m = next((m for m in pii.SEED.finditer(t) if pii._DIGIT.search(m[1])), None)
+        if m is None or len(t) > 6000:
+            continue
+        n += 1
+        masked = f"{t[: m.start()]}item = {t[m.start(1) :]}"
+        at = m.start() + len("item = ")
+        hidden += any(k == "secret" and a <= at < b for k, a, b in pii.added_spans(masked, pii.base_spans(masked), model))
+        longer = f"{t}\nlater on the same one {m[1]} was seen again by them"
+        for field, told in ((model, 1), (bare, 0)):
+            got = any(k == "secret" and a >= len(t) for k, a, b in pii.added_spans(longer, pii.base_spans(longer), field))
+            again, alone = again + got * told, alone + got * (1 - told)
+    assert n >= 8 and hidden >= 0.9 * n and again >= 0.9 * n and alone <= 0.1 * n

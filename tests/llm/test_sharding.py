@@ -48,3 +48,21 @@ def test_odd_tables(spark):
         got = sharding.shards(clashing(docs(spark, rows)), ["lang", "source", "n_chars"], 7).collect()
         check(got, 7, len(rows))
         assert all(r["size"] == 16 and r["text_crc32"] == 0 for r in got if r["doc_id"] == 1 and rows is ODD)
+
+
+def test_cells_cuts_and_shards_by_plain_code(spark, sf):
+    """Equal-depth cuts, cells, curve order, shards and slots recomputed from the table."""
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    cells = []
+    for c in ("lang", "source", "n_chars"):
+        have = sorted(r[c] for r in docs_ if r[c] is not None)
+        cuts = sorted({have[max(0, -(-i * len(have) // 31) - 1)] for i in range(1, 31)})
+        cells.append([0 if r[c] is None else 1 + sum(x <= r[c] for x in cuts) for r in docs_])
+    index = sharding.hilbert(np.array(cells).T, sharding.BITS)
+    raw = [(r["text"] or "").encode() for r in docs_]
+    order = sorted(range(len(docs_)), key=lambda i: (index[i], docs_[i]["doc_id"], len(raw[i]) + 16, zlib.crc32(raw[i])))
+    n, want = len(order), {}
+    for rank, i in enumerate(order):
+        shard = rank * 40 // n
+        want[docs_[i]["doc_id"]] = (shard, rank - -(-shard * n // 40), index[i])
+    assert {r["doc_id"]: (r["shard"], r["slot"], r["hilbert"]) for r in op2_hilbert_shards(spark, sf).collect()} == want
