@@ -92,6 +92,14 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(row, F.col(text)).alias("key"), F.xxhash64(F.lit(1), row, F.col(text)).alias("key2"), row.alias("row"), F.col(text).alias("text"))
 
 
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unzipped(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def dealt(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Chunk rows of the texts of ``keyed``, dealt by text and chunk: key, key2, row (of the first chunk), n, at, part (compressed)."""
     spark = rows.sparkSession
@@ -105,8 +113,7 @@ def dealt(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     n = -(-len(t) // chunk)
                     for first in range(0, n, 64):
                         places = range(first, min(n, first + 64))
-                        parts = [t[at * chunk : (at + 1) * chunk + overlap].encode("utf-8", "surrogatepass") for at in places]
-                        parts = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in parts]
+                        parts = [zipped(t[at * chunk : (at + 1) * chunk + overlap].encode("utf-8", "surrogatepass")) for at in places]
                         own = batch.select([0, 1, 2]).take(pa.array([i] * len(parts)))
                         kept = batch.column(2).take(pa.array([None if at else i for at in places], pa.int64()))
                         yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), kept, pa.array([n] * len(parts), pa.int32()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
@@ -118,7 +125,7 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
     """The same for texts of several chunks."""
     rows, keys, ints = keyed(docs, text), ["key", "key2"], pa.list_(pa.int32())
     chunks = dealt(rows, chunk, overlap)
-    schema = T.StructType([*chunks.schema.fields[:5], *T.StructType.fromDDL("ids binary, head array<int>, head_ids array<int>, tail array<int>, tail_ids array<int>").fields])
+    schema = T.StructType([*chunks.schema.fields[:5], *T.StructType.fromDDL("ids binary, head binary, tail binary").fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path, pattern)
@@ -126,7 +133,7 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
             for s in range(0, whole.num_rows, 64):
                 batch, made = whole.slice(s, 64), []
                 for n, at, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "at", "part")), strict=True):
-                    part = pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+                    part = unzipped(raw).decode("utf-8", "surrogatepass")
                     ids, ends, before = [], [], 0
                     for m in known.find(part):
                         ids.append(known[m[0]])
@@ -136,12 +143,13 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
                     safe = [x for x in ends if x[0] < len(part) - 1]
                     head = [x for x in safe if x[0] <= overlap] if at else []
                     tail = [(e - chunk, c) for e, c in safe if e > chunk] if at < n - 1 else []
-                    made.append((b"".join(ids), [e for e, _ in head], [c for _, c in head], [e for e, _ in tail], [c for _, c in tail]))
-                columns = list(zip(*made, strict=True)) if made else [()] * 5
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(columns[0], pa.binary()), *(pa.array(c, ints) for c in columns[1:])], names=schema.names)
+                    # boundaries and the ids before each, as steps
+                    made.append((zipped(b"".join(ids)), *(zipped(np.diff(np.array(x, np.int32).reshape(-1, 2), axis=0, prepend=0).T.astype(np.int32).tobytes()) for x in (head, tail))))
+                columns = list(zip(*made, strict=True)) if made else [()] * 3
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, pa.binary()) for c in columns)], names=schema.names)
 
     encoded = chunks.mapInArrow(work, schema)
-    part = F.struct("at", "ids", "head", "head_ids", "tail", "tail_ids")
+    part = F.struct("at", "ids", "head", "tail")
     gathered = encoded.groupBy(*keys).agg(F.first("row", ignorenulls=True).alias("row"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("times"), F.array_sort(F.collect_set(part)).alias("p"))
     told = T.StructType([*gathered.schema.fields[:4], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -152,16 +160,17 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
                 for r in range(batch.num_rows):
                     p, start, own = batch.column("p")[r].as_py(), 0, []
                     for i, x in enumerate(p):
-                        stop = len(x["ids"]) // 4
+                        ids = np.frombuffer(unzipped(x["ids"]), np.int32)
+                        stop, after = len(ids), 0
                         if i + 1 < len(p):
-                            shared = dict(zip(p[i + 1]["head"], p[i + 1]["head_ids"], strict=True))
-                            meet = next(((e, c) for e, c in zip(x["tail"], x["tail_ids"], strict=True) if e in shared), None)
-                            if meet is None:
+                            (tail, stops), (head, starts) = (np.cumsum(np.frombuffer(unzipped(y), np.int32).reshape(2, -1), axis=1) for y in (x["tail"], p[i + 1]["head"]))
+                            both, left, right = np.intersect1d(tail, head, assume_unique=True, return_indices=True)
+                            if not len(both):
                                 own = None
                                 break
-                            stop, after = meet[1], shared[meet[0]]
-                        own.append(np.frombuffer(x["ids"], np.int32)[start:stop])
-                        start = after if i + 1 < len(p) else 0
+                            stop, after = int(stops[left[0]]), int(starts[right[0]])  # the first boundary of both
+                        own.append(ids[start:stop])
+                        start = after
                     made.append(None if own is None else np.concatenate(own))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, ints)], names=told.names)
 
