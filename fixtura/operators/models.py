@@ -78,7 +78,7 @@ def leaf_steps(model, leaf: str, steps: dict[int, float]) -> Column:
     return F.coalesce(F.element_at(F.from_json(F.lit(json.dumps({str(k): v for k, v in steps.items()})), "map<string,double>"), F.col(leaf).cast("int").cast("string")), F.lit(0.0))
 
 
-def boosted_quantile(train: DataFrame, features: Sequence[str], label: str, alpha: float, rounds: int = 12, rate: float = 0.3, depth: int = 3, least: int = 50, cut: int = 4) -> QuantileHead:
+def boosted_quantile(train: DataFrame, features: Sequence[str], label: str, alpha: float, rounds: int = 12, rate: float = 0.4, depth: int = 3, least: int = 40, cut: int = 4) -> QuantileHead:
     """Boosting under the pinball loss of ``alpha``.
 
     Each round fits a tree to the loss's slope (alpha where the label is above the forecast so far, alpha - 1 elsewhere), and each leaf adds

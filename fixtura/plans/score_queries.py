@@ -375,6 +375,14 @@ def ml02_live_label(spark, sf_dir):
     return models.predict(models.fit(models.classifier(10), train, FEATURES, "defcon_hit"), own.where("season = 'S2'"), FEATURES, "pred_defcon").select(*KEY, "pred_defcon")
 
 
+@query()
+def ml02_full_label(spark, sf_dir):
+    """The holdout head with all its 400 trees."""
+    own = forecasts(spark, sf_dir).withColumn("k", F.col("GW").cast("double"))
+    train = own.where(P.label_training("defcon_hit", ["S0", "S1"], 9))
+    return models.predict(models.fit(models.classifier(), train, FEATURES, "defcon_hit"), own.where("season = 'S2'"), FEATURES, "pred_defcon").select(*KEY, "pred_defcon")
+
+
 @query(f"""WITH {B.PANEL}, t AS (SELECT * FROM l WHERE season IN ('S0', 'S1') AND position <> 'GK' AND minutes > 0 AND defcon_hit IS NOT NULL)
 SELECT count(*) FILTER ("GW" <= 9) AS holdout, count(*) AS live FROM t""")
 def ml02_training_rows(spark, sf_dir):

@@ -222,3 +222,86 @@ def test_nudge_takes_the_first_rows_without_a_global_limit(spark):
     assert sorted(r["id"] for r in done.where("nudged").collect()) == sorted(i for _, i in need[: -(-75 * len(rows) // 100) - inside])
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def boosted_plainly(x, y, alpha, rounds, rate, least):
+    """Boosting under the pinball loss with stumps on one feature, each the split that lowers the squared error of the slopes most."""
+    import numpy as np
+
+    now, trees = np.full(len(y), np.quantile(y, alpha)), []
+    for _ in range(rounds):
+        slope, best = np.where(y - now > 0, alpha, alpha - 1), None
+        for cut in np.unique(x)[:-1]:
+            left = x <= cut
+            if min(left.sum(), (~left).sum()) >= least:
+                loss = slope[left].var() * left.sum() + slope[~left].var() * (~left).sum()
+                best = min(best or (loss, cut), (loss, cut))
+        if best is None:
+            break
+        left = x <= best[1]
+        steps = [rate * np.quantile((y - now)[m], alpha) for m in (left, ~left)]
+        now = now + np.where(left, *steps)
+        trees.append((best[1], steps))
+    return now
+
+
+def test_boosted_quantiles_against_plain_boosting(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, 500).astype(float)
+    y = x**1.5 + rng.normal(0, 1 + x / 4, 500)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id int, x double, y double")
+    for alpha in (0.1, 0.9):
+        head = models.boosted_quantile(df, ["x"], "y", alpha, rounds=6, rate=0.5, depth=1, least=40, cut=3)
+        got = [r["q"] for r in models.predict_quantile(head, df, ["x"], "q").orderBy("id").collect()]
+        assert got == pytest.approx(list(boosted_plainly(x, y, alpha, 6, 0.5, 40)), abs=1e-9)
+        assert abs(np.mean(y <= np.array(got)) - alpha) < 0.06
+
+
+def test_boosted_quantiles_beat_one_tree_on_rows_held_out(spark):
+    rng = random.Random(11)
+    rows = [(i, a := rng.random(), b := rng.random(), 20 * a * a + 6 * b + rng.gauss(0, 1 + 3 * b)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    train, held = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    one = models.leaf_quantiles(train, held, ["a", "b"], "y", depth=5)
+    many = models.boosted_quantiles(train, held, ["a", "b"], "y", rounds=10, rate=0.5, least=30)
+    for column, alpha in (("q_low", 0.1), ("q_high", 0.9)):
+        assert metrics.pinball_loss(many, "y", column, alpha).first()["pinball"] < metrics.pinball_loss(one, "y", column, alpha).first()["pinball"]
+    assert many.where("q_low > q_high").count() == 0
+    none = models.boosted_quantile(df.where("false"), ["a", "b"], "y", 0.1)
+    assert none.trees == [] and models.predict_quantile(none, held, ["a", "b"], "q").agg(F.max("q")).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("rule,change", [
+    ("stored key repeats", lambda s, p: (s.unionByName(s.limit(1)), p)), ("panel key repeats", lambda s, p: (s, p.unionByName(p.limit(1)))),
+    ("stored row has no panel row", lambda s, p: (s, p.where("id <> 7"))), ("panel row was not stored", lambda s, p: (s.where("id <> 7"), p)),
+])
+def test_refit_of_quantiles_needs_aligned_rows(spark, rule, change):
+    rng = random.Random(12)
+    panel = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(300)], "id int, a double, y double")
+    stored, rows = change(panel.select("id", F.lit(1.5).alias("kept"), F.lit(0.0).alias("q_low"), F.lit(0.0).alias("q_high")), panel)
+    with pytest.raises(checks.CheckFailed, match=rule):
+        models.refit_quantiles(stored, rows, panel, ["a"], "y", ["id"])
+
+
+def test_refit_changes_the_quantiles_alone(spark):
+    rng = random.Random(12)
+    panel = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(300)], "id int, a double, y double")
+    stored = panel.select("id", F.col("y").alias("kept"), F.lit(9.0).alias("q_low"), F.lit(9.0).alias("q_high"))
+    out = models.refit_quantiles(stored, panel, panel, ["a"], "y", ["id"]).collect()
+    assert len(out) == 300 and all(r["q_low"] <= r["q_high"] < 9 for r in out) and {r["id"]: r["kept"] for r in out} == {r["id"]: r["y"] for r in panel.collect()}
+
+
+def test_plan_of_a_calibrator_does_not_grow_with_its_steps(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(x,) for x in (None, -1.0, 0.0, 0.31, 0.5, 1.0, 7.0)], "p double")
+    sizes = []
+    for n in (2, 3, 7, 1000):
+        bounds = list(np.linspace(0, 1, n))
+        found = models.Calibrator("isotonic", bounds, [b * b for b in bounds])
+        out = df.select("p", found.apply(F.col("p")).alias("q"))
+        assert [r["q"] for r in out.collect() if r["p"] is not None] == pytest.approx(list(np.interp([-1.0, 0.0, 0.31, 0.5, 1.0, 7.0], bounds, found.values)))
+        sizes.append(out._jdf.queryExecution().analyzed().toString().count("from_json"))
+    assert len(set(sizes)) == 1
