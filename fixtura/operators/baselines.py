@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from fixtura.operators.metrics import quantiles
 
 
-def ewma(history: DataFrame, value: str = "points", player: str = "player_id", order: tuple[str, ...] = ("season", "week"), span: int = 4, last: int = 4) -> DataFrame:
-    """Exponential mean of the last values, without adjustment: weight a(1-a)**(r-1) for the r-th newest, the oldest takes the rest. One aggregate."""
+def form(history: DataFrame, value: str = "points", player: str = "player_id", order: tuple[str, ...] = ("season", "week"), span: int = 4, last: int = 4) -> DataFrame:
+    """By player `ewma` and `history_games`, all rows counted, in one pass over the history.
+
+    The exponential mean of the last values is without adjustment: weight a(1-a)**(r-1) for the r-th newest, the oldest takes the rest.
+    """
     a = 2 / (span + 1)
     rn = F.row_number().over(Window.partitionBy(player).orderBy(*[F.desc(c) for c in order]))
-    n = F.least(F.count(F.lit(1)).over(Window.partitionBy(player)), F.lit(last))
-    own = history.withColumns({"__r": rn, "__n": n}).where(F.col("__r") <= last)
-    weight = F.when(F.col("__r") < F.col("__n"), a * F.pow(F.lit(1 - a), F.col("__r") - 1)).otherwise(F.pow(F.lit(1 - a), F.col("__n") - 1))
-    return own.groupBy(player).agg(F.sum(F.col(value) * weight).alias("ewma"))
+    own = history.withColumns({"__r": rn, "__all": F.count(F.lit(1)).over(Window.partitionBy(player))}).where(F.col("__r") <= last)
+    weight = F.when(F.col("__r") < F.least("__all", F.lit(last)), a * F.pow(F.lit(1 - a), F.col("__r") - 1)).otherwise(F.pow(F.lit(1 - a), F.least("__all", F.lit(last)) - 1))
+    return own.groupBy(player).agg(F.sum(F.col(value) * weight).alias("ewma"), F.first("__all").alias("history_games"))
+
+
+def ewma(history: DataFrame, value: str = "points", player: str = "player_id", order: tuple[str, ...] = ("season", "week"), span: int = 4, last: int = 4) -> DataFrame:
+    return form(history, value, player, order, span, last).drop("history_games")
 
 
 def group_median(history: DataFrame, value: str = "points", by: str = "position") -> DataFrame:
@@ -30,7 +36,7 @@ def games(history: DataFrame, player: str = "player_id") -> DataFrame:
 def baselines(frozen: DataFrame, history: DataFrame, value: str = "points", player: str = "player_id", by: str = "position", order: tuple[str, ...] = ("season", "week")) -> DataFrame:
     """Each candidate's mean (its position's median without history) and position median (0 without), six decimals, halves to even."""
     medians = F.broadcast(group_median(history, value, by))  # one row a position
-    out = frozen.join(ewma(history, value, player, order), player, "left").join(medians, by, "left").join(games(history, player), player, "left")
+    out = frozen.join(form(history, value, player, order), player, "left").join(medians, by, "left")
     median = F.coalesce("median", F.lit(0.0))
     return out.withColumns({"baseline_ewma4": F.bround(F.coalesce("ewma", median), 6), "baseline_position_median": F.bround(median, 6), "history_games": F.coalesce("history_games", F.lit(0))}).drop("ewma", "median")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fixtura.functions import predicates as P
 from fixtura.functions import scalars as S
 from fixtura.operators import baselines, checks, intervals, lags, lineup, live, metrics, models, sinks
+from fixtura.operators.stored import stored
 from fixtura.plans import bindings as B
 from fixtura.plans.live_board import publish
 from fixtura.plans.panel_queries import KEY, LAGS, panel
@@ -172,7 +173,8 @@ bs AS (SELECT fz.player_id, fz.position, round(coalesce(ewma, median, 0), 6) AS
 
 
 def history(spark, sf_dir):
-    own = B.months(spark, sf_dir)
+    """Candidates, history and the last week's rows. The weekly points are written once: history is read for medians, means and counts."""
+    own = stored(B.months(spark, sf_dir), "months")
     last = own.agg(F.max("week").alias("last"))
     both = own.crossJoin(F.broadcast(last))  # one row on the right
     frozen = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_mktsegment").alias("position"))
