@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from fixtura.llm.common import append_columns, fresh, materialise, pieces
 
 CHUNK, OVERLAP = 8_192, 1_024
 #: Entries of a task's memory of encoded pieces; it starts anew beyond that.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -63,12 +62,6 @@ class Encoder(dict):
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(path, pattern)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
     """``docs`` with ``out``, the ids of each text (array<int>); without ``keep`` the text column goes."""
     if not 0 < overlap <= chunk:
@@ -76,7 +69,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     ids = T.StructField(out, T.ArrayType(T.IntegerType()))
 
     def make():
-        known = encoder(path, pattern)
+        known = Encoder(path, pattern)
         return lambda texts: [known.encode(texts)]
 
     short = F.coalesce(F.length(text), F.lit(0)) <= chunk
@@ -128,7 +121,7 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
     schema = T.StructType([*chunks.schema.fields[:5], *T.StructType.fromDDL("ids binary, head binary, tail binary").fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path, pattern)
+        known = Encoder(path, pattern)
         for whole in batches:
             for s in range(0, whole.num_rows, 64):
                 batch, made = whole.slice(s, 64), []
@@ -185,7 +178,7 @@ def _long(docs: DataFrame, path: str, pattern: str, text: str, out: str, chunk:
         return shown(back)
 
     def make():
-        known = encoder(path, pattern)
+        known = Encoder(path, pattern)
         return lambda texts: [known.encode(texts)]
 
     open_ = rows.join(done.where("ids is null").select(*keys), keys, "left_semi")

@@ -66,6 +66,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
             for batch in pieces(whole, at):
                 made = work(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return df.mapInArrow(run, schema)
 
