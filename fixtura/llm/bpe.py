@@ -62,21 +62,41 @@ class Encoder(dict):
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
-    """``docs`` with ``out``, the ids of each text (array<int>); without ``keep`` the text column goes."""
+class Decoder:
+    """Bytes of each id."""
+
+    def __init__(self, path: str):
+        known = vocabulary(path)
+        self.tokens = np.full(max(known.values()) + 1, None, object)
+        self.tokens[list(known.values())] = list(known)
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """Raw bytes of each list of ids, joined; a null list is null."""
+        flat, ends, empty = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+        return pa.array([None if empty[i] else b"".join(self.tokens[flat[ends[i] : ends[i + 1]]].tolist()) for i in range(len(lists))], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``out``, the ids of each text (array<int>); without ``keep`` the text column goes. ``decoded``: also that column, the ids' bytes, as ``decode`` gives them; made in the same pass, it spares a second Python worker a task."""
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must be positive and at most chunk")
-    ids = T.StructField(out, T.ArrayType(T.IntegerType()))
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
 
     def make():
-        known = Encoder(path, pattern)
-        return lambda texts: [known.encode(texts)]
+        known, back = Encoder(path, pattern), Decoder(path) if decoded else None
+
+        def run(texts: list) -> list[pa.Array]:
+            ids = known.encode(texts)
+            return [ids, back.decode(ids)] if back else [ids]
+
+        return run
 
     short = F.coalesce(F.length(text), F.lit(0)) <= chunk
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
-    single = append_columns(docs.where(short), text, [ids], make)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (out.lower(), (decoded or out).lower())])
+    single = append_columns(docs.where(short), text, fields, make)
     single = single if keep else single.drop(text)
-    return single.unionByName(_long(docs.where(~short), path, pattern, text, out, chunk, overlap, keep))
+    long = _long(docs.where(~short), path, pattern, text, out, chunk, overlap, keep)
+    return single.unionByName(decode(long, path, out, decoded) if decoded else long)
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -191,16 +211,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        tokens = np.full(max(known.values()) + 1, None, object)
-        tokens[list(known.values())] = list(known)
+        back = Decoder(path)
         for whole in batches:
             for k in range(0, max(1, whole.num_rows), 500):
                 batch = whole.slice(k, 500)
-                lists = batch.column(at)
-                flat, ends, empty = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
-                made = [None if empty[i] else b"".join(tokens[flat[ends[i] : ends[i + 1]]].tolist()) for i in range(len(lists))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, back.decode(batch.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -208,6 +223,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 and decoded_sha256, after a round trip through the ids."""
     ids = fresh([key, text], "ids")
-    encoded = encode(docs.select(key, text), path, pattern, text, ids, keep=False)
-    done = decode(encoded, path, ids, "decoded")
-    return done.select(key, F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col(ids), " "), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    raw = fresh([key, text, ids], "decoded")
+    done = encode(docs.select(key, text), path, pattern, text, ids, keep=False, decoded=raw)
+    return done.select(key, F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col(ids), " "), 256).alias("ids_sha256"), F.sha2(F.col(raw), 256).alias("decoded_sha256"))
