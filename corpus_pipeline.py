@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash of five-word shingles, then MinHash for the rest, each link verified at a Jaccard similarity of 0.8."""
     return simhash.keep_one(docs, find=jaccard.near_duplicates)
 
 

@@ -1,17 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash with pigeonring filtering, at an exact Jaccard similarity of word shingles.
 
 Words are runs without ASCII white space, after A-Z became a-z; a text's set holds its distinct shingles of WORDS words as
 64-bit hashes (a shorter text is one shingle; texts without words are alike). Two sets are linked if they have at least
-SIMILARITY (tenths) of their union in common; a component is what links reach.
+SIMILARITY (tenths) of their union in common; a component is what links reach. Equal sets (128 bits of hashes and the size) are one
+node, named by its least row.
 
-Candidates share one of BANDS hashes of ROWS MinHash values each: at similarity 0.8 a pair misses all of them with a chance of
-7 in a million, less above it. Candidates whose sizes allow the similarity are verified on their whole sets, so no pair below it
-is linked. Equal sets (128 bits of hashes and the size) are one node, named by its least row. First each bucket's nodes meet its least one. Then those of a bucket that are still in different components meet: as pairs
-in a bucket of up to SMALL nodes; in a larger one each reached node meets the nodes not yet reached, in one task or, by blocks of about ELEMENTS
-shingles, in several, and a pair only in the first bucket that it shares. So no bucket's pairs are ever rows, and nothing is collected to the driver.
+First ``simhash`` links the nodes' fingerprints (shingles of WORDS words, repeats included) at BITS differing bits or fewer, by
+pigeonring keys and budgets; each linked pair is verified on its whole sets, so no pair below the similarity is linked. Pairs at this
+similarity differ in 7 of 64 bits at the median, and keys stay selective up to 6 (README has the figures), so fingerprints alone would
+lose links.
 
-Why not the fingerprints of ``simhash``: pairs at this similarity differ in 7 of 64 bits at the median, and a pigeonring's keys stay
-selective up to 5 or 6. README has the figures. Null texts count as empty; rows repeat as they come; keys keep their type.
+Then the rest: pairs further apart in bits share one of BANDS hashes of ROWS MinHash values each; at similarity 0.8 a pair misses all of
+them with a chance of 7 in a million, less above it. A bucket's nodes that are in other components than its least one meet that; then those
+still in different components meet: as pairs in a bucket of up to SMALL nodes; in a larger one each reached node meets the nodes not yet
+reached, in one task or, by blocks of about ELEMENTS shingles, in several, and a pair only in the first bucket that it shares. So no
+bucket's pairs are ever rows, and nothing is collected to the driver.
+
+Null texts count as empty; rows repeat as they come; keys keep their type.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtura.llm.common import Words, append_columns, groups, materialise, mix
-from fixtura.llm.simhash import UPPER, components
+from fixtura.llm.simhash import UPPER, components, fingerprint
+from fixtura.llm.simhash import links as reached
 
 WORDS, SIMILARITY, BANDS, ROWS, SMALL, ELEMENTS = 5, 8, 30, 5, 8, 1 << 21
+#: Of the fingerprints: differing bits, ring segments and chain. Four of 13 segments are a key of 19 bits or more.
+BITS, SEGMENTS, CHAIN = 6, 13, 6
 
 
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> Iterator[list[np.ndarray]]:
@@ -47,8 +55,8 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> Iterator[list[np.nd
 
 
 def sets(docs: DataFrame, text: str = "text", k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with h1 and h2 (hashes of the set), size and bands (hashes of MinHash values)."""
-    fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    """``docs`` with h1 and h2 (hashes of the set), size, bands (hashes of MinHash values) and fp (the text's SimHash of ``k`` words)."""
+    fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
 
     def make():
         rng = np.random.default_rng(42)
@@ -75,7 +83,8 @@ def sets(docs: DataFrame, text: str = "text", k: int = WORDS, bands: int = BANDS
                     second.append(b)
                     found.append(keys)
                     size.append(len(s))
-            return [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            fps = np.array([fingerprint(t, k) for t in texts], np.uint64).astype(np.int64)
+            return [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
 
         return work
 
@@ -166,20 +175,42 @@ def spanned(members: DataFrame, least: int = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def alike(size: str, other: str, least: int = SIMILARITY) -> Column:
+    """Whether two sets' sizes allow the similarity."""
+    return 10 * F.least(size, other) >= least * F.greatest(size, other)
+
+
+def candidates(nodes: DataFrame, least: int = SIMILARITY, bits: int = BITS, segments: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, size, fp) by SimHash: those of one fingerprint with its least node, and the least nodes of fingerprints within ``bits``."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # spread, as a fingerprint becomes many keys
+    first = materialise(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")).repartition(parts), "fingerprints")
+    same = nodes.join(first, "fp").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.size").alias("size"), F.col("size").alias("other")).where("a <> b")
+    found = materialise(reached(first.select("fp"), bits, segments, chain, direct=True).distinct(), "reached")
+    ends = [first.select(F.col("fp").alias(x), F.col("first.node").alias(f"{x}_node"), F.col("first.size").alias(f"{x}_size")) for x in ("a", "b")]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.col("a_size").alias("size"), F.col("b_size").alias("other"))
+    return same.unionByName(near).where(alike("size", "other", least)).select("a", "b").distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, k: int = WORDS, least: int = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) of ``nodes`` (node, at, size, bands) that have the components of all candidates. ``texts`` has their place ``at`` and text."""
+    """Verified links (a, b) of ``nodes`` (node, at, size, bands, fp) that have the components of all candidates. ``texts`` has their place ``at`` and text."""
+    told = materialise(candidates(nodes, least), "told")
     each = nodes.select("node", "size", F.explode("bands").alias("band"))
     center = F.min(F.struct("node", "size")).alias("center")
     shared = each.groupBy("band").agg(center, F.max("node").alias("last")).where("center.node < last").select("band", "center")
     met = materialise(each.join(shared, "band"), "buckets")
-    near = 10 * F.least("size", "other") >= least * F.greatest("size", "other")  # else the sizes rule the similarity out
+    near = alike("size", "other", least)
     star = met.select(F.col("center.node").alias("a"), F.col("node").alias("b"), "size", F.col("center.size").alias("other")).where("a <> b").where(near)
-    star = materialise(star.select("a", "b").distinct(), "pairs")
+    ends = told.select(F.explode(F.array("a", "b")).alias("node"))
     # a table of its own, so that Spark knows its size: texts are shuffled only where it is too large to broadcast
-    wanted = materialise(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "at"), "wanted")
+    wanted = materialise(nodes.join(met.select("node").unionByName(ends).distinct(), "node", "left_semi").select("node", "at"), "wanted")
     held = texts.join(wanted, "at").groupBy("node").agg(F.first("text").alias("text"))
     own = materialise(shingled(held, k), "sets")
-    first = materialise(verified(star, own, least), "links")
+    first = materialise(verified(told, own, least), "links")
+    # what the fingerprints linked meets no more: the buckets' pairs are those of different components
+    found = components(first)
+    named = star.select("a", "b").distinct().join(found.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+    star = materialise(named.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"), "pairs")
+    first = materialise(first.unionByName(verified(star, own, least)), "links")
     found = components(first)
     named = met.select("band", "node", "size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("band").agg(F.min("label").alias("m"), F.max("label").alias("n"), F.count(F.lit(1)).alias("count"), F.sum("size").alias("total")).where("m < n")
@@ -193,12 +224,12 @@ def links(nodes: DataFrame, texts: DataFrame, k: int = WORDS, least: int = SIMIL
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, least: int = SIMILARITY) -> DataFrame:
-    """Per row: key and component_id (smallest key reachable)."""
+    """Per row: key and component_id (smallest key reachable), by fingerprints first and bands for the rest."""
     # the key is part of a text's place, so only texts of one key could be taken for each other
     texts = docs.select(F.col(key).alias("key"), F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).alias("at"), F.col(text).alias("text"))
     rows = materialise(sets(texts, k=k).drop("text").withColumn("row", F.monotonically_increasing_id()), "rows")
     same = ["h1", "h2", "size"]
-    nodes = materialise(rows.groupBy(*same).agg(F.min("row").alias("node"), F.min("key").alias("least"), F.min_by("at", "row").alias("at"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(rows.groupBy(*same).agg(F.min("row").alias("node"), F.min("key").alias("least"), F.min_by("at", "row").alias("at"), F.first("bands").alias("bands"), F.min_by("fp", "row").alias("fp")), "nodes")
     found = components(links(nodes, texts.select("at", "text"), k, least))
     named = nodes.select("node", "least", *same).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     moved = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*same, "component_id")

@@ -150,15 +150,20 @@ class Union:
             up[x] = x = up.get(y, y)
         return x
 
-    def add(self, a: int, b: int) -> None:
+    def add(self, a: int, b: int) -> bool:
+        """Whether the link joined two components."""
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
             self.up.setdefault(min(a, b), min(a, b))
+        return a != b
 
 
-def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: int = CHAIN, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between different fingerprints ``fp`` of ``nodes`` (distinct) that have the components of all links."""
+def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: int = CHAIN, block: int = BLOCK, direct: bool = False) -> DataFrame:
+    """Links (a, b) between different fingerprints ``fp`` of ``nodes`` (distinct) that have the components of all links.
+
+    direct: only pairs that are themselves within ``bits``, for callers that check each pair; else a task names each node's least one.
+    """
     rows = nodes.select("fp", F.explode(keys(F.col("fp"), bits, segments, chain)).alias("k")).select("fp", F.col("k.start").alias("start"), F.col("k.key").alias("key"))
     rows = materialise(rows, "keys")  # counted, then met
     # Keys of more than `block` fingerprints: there are at most rows / block of them, and they are met block by block.
@@ -176,6 +181,7 @@ def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, found, kept = Ring(bits, segments), Union(), None
+        own: list[tuple[int, int]] = []  # direct: those that joined two components
 
         def meet(fp: np.ndarray, start: np.ndarray, cut: np.ndarray) -> None:
             """cut: first rows of the runs of one key and block pair."""
@@ -187,13 +193,10 @@ def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: i
                 if not len(same):
                     break
                 near = same[rule.linked(fp[same] ^ fp[same + d], start[same])]
-                for a, b in zip(fp[near].tolist(), fp[near + d].tolist(), strict=True):
-                    found.add(a, b)
+                own.extend(x for x in zip(fp[near].tolist(), fp[near + d].tolist(), strict=True) if found.add(*x) and direct)
             for k in np.flatnonzero(size > 24):
-                own = np.unique(fp[cut[k] : cut[k] + size[k]])
-                for a, b in _forest(own, int(start[cut[k]]), rule):
-                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        found.add(x, y)
+                for a, b in _forest(np.unique(fp[cut[k] : cut[k] + size[k]]), int(start[cut[k]]), rule):
+                    own.extend(x for x in zip(a.tolist(), b.tolist(), strict=True) if found.add(*x) and direct)
 
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -210,7 +213,7 @@ def links(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, chain: i
                 meet(now[0][:last].astype(np.uint64), now[1][:last], cut[:-1])
         if kept is not None:
             meet(kept[0].astype(np.uint64), kept[1], np.zeros(1, np.int64))
-        both = [(a, r) for a in found.up if (r := found.root(a)) != a]
+        both = own if direct else [(a, r) for a in found.up if (r := found.root(a)) != a]
         for i in range(0, len(both), 50_000):
             a, b = (np.array(x, np.uint64).astype(np.int64) for x in zip(*both[i : i + 50_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])

@@ -86,3 +86,37 @@ def test_large_buckets_are_spanned_in_one_task_or_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "ELEMENTS", elements)
         got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, list(texts.items()))).collect()}
         assert got == want
+
+
+def bits_apart(a, b):
+    """Differing bits of two texts' 64-bit fingerprints of five-word shingles, repeats included."""
+    from xxhash import xxh64_intdigest
+
+    out = 0
+    for text in (a, b):
+        words = text.encode().lower().split()
+        hashes = [xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)]
+        out ^= sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hashes) * 2 > len(hashes))
+    return out.bit_count()
+
+
+def test_simhash_links_near_copies_that_share_no_bucket(spark):
+    """Without MinHash values all links are those of fingerprints within BITS, and each is verified."""
+    from pyspark.sql import functions as F
+
+    texts = family(4)
+    pairs = {(i, j): bits_apart(texts[i], texts[j]) for i in texts for j in range(i) if i // 6 == j // 6}
+    own = docs(spark, list(texts.items())).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("at"), "text")
+    nodes = jaccard.sets(own).drop("text").withColumn("bands", F.array().cast("array<bigint>"))
+    told = {(max(r), min(r)) for r in jaccard.candidates(nodes).collect()}
+    assert all(pairs[p] <= jaccard.BITS for p in told) and any(pairs[p] > 4 for p in told)
+    alike = {p for p in told if 10 * len(shingles(texts[p[0]]) & shingles(texts[p[1]])) >= 8 * len(shingles(texts[p[0]]) | shingles(texts[p[1]]))}
+    assert alike and alike != told
+    assert {(max(r), min(r)) for r in jaccard.links(nodes, own.select("at", "text")).collect()} == alike
+    # a pair within the bits is a candidate or joined by candidates
+    reach = {i: {i} for i in texts}
+    for a, b in told:
+        both = reach[a] | reach[b]
+        for i in both:
+            reach[i] = both
+    assert all(j in reach[i] for (i, j), apart in pairs.items() if apart <= jaccard.BITS)

@@ -93,3 +93,16 @@ def test_keep_one(spark):
     assert kept.columns == table.columns
     ids = sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None))
     assert ids == [1, 4, 5, 6, 7, 8, 11] and kept.where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_direct_links_are_within_the_bits(spark, block):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for _ in range(200)} | {rng.getrandbits(64) for _ in range(100)}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    nodes = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    found = simhash.links(nodes, 6, 13, block=block, direct=True).cache()
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 6 for r in found.collect())
+    got = {r["node"]: r["label"] for r in simhash.components(found).collect()}
+    assert {s: got.get(s, s) for s in signed.values()} == groups({s: f for f, s in signed.items()}, 6)
